@@ -133,22 +133,25 @@ def trip_layout(header: list[str]) -> dict[str, str]:
     raise ValueError(f"unrecognised trip layout: {header}")
 
 
+def unify_trips(frames: list[DataFrame]) -> DataFrame:
+    """Text frames of either layout as one (started, ended, start and end coordinates)."""
+    named = [df.select(*[F.col(f"`{name}`").alias(role) for role, name in trip_layout(df.columns).items()])
+             for df in frames]
+    return reduce(lambda a, b: a.unionByName(b), named)
+
+
 def read_trips(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Trip files of either layout as one text frame (started, ended, coordinates).
+    """Trip files of either layout as one text frame.
 
     Only each file's header line is looked at on the driver; the files themselves
-    are split and read by the tasks, one scan per layout.
+    are split and read by the tasks, one scan per header.
     """
     groups: dict[tuple, list[str]] = {}
     for path in paths:
         header = tuple(spark.read.option("header", True).csv(path).columns)
         groups.setdefault(header, []).append(path)
-    frames = []
-    for header, files in groups.items():
-        roles = trip_layout(list(header))
-        raw = spark.read.schema(text_schema(list(header))).option("header", True).csv(files)
-        frames.append(raw.select(*[F.col(f"`{name}`").alias(role) for role, name in roles.items()]))
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    return unify_trips([spark.read.schema(text_schema(list(header))).option("header", True).csv(files)
+                        for header, files in groups.items()])
 
 
 def trip_ends(trips: DataFrame) -> DataFrame:
