@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["scans", "scalars", "space"]
+FAMILIES = ["scans", "scalars", "space", "relational", "times"]
 
 
 def load_catalog() -> None:
