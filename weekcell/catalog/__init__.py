@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["scans", "scalars", "space", "relational", "times"]
+FAMILIES = ["scans", "scalars", "space", "relational", "times", "models"]
 
 
 def load_catalog() -> None:

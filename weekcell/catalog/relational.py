@@ -240,7 +240,7 @@ def _(spark, d):
     return trips(spark, d)
 
 
-@query("A10_complete_axis", with_sql("boro", "ord", "months") + """SELECT boro, month, coalesce(n, 0) AS n FROM (SELECT DISTINCT boro FROM boro), months
+@query("A10_complete_axis", with_sql("boro", "ord", "months") + """SELECT boro, month, coalesce(n, 0) AS n FROM (SELECT b.boro, m.month FROM (SELECT DISTINCT boro FROM boro) b, months m) f
 LEFT JOIN (SELECT boro, month, count(*) AS n FROM ord JOIN boro USING (cell) GROUP BY ALL) USING (boro, month)""")
 def _(spark, d):
     b = boroughs(spark, d)
