@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["scans", "scalars", "space", "relational", "times", "models"]
+FAMILIES = ["scans", "scalars", "space", "relational", "times", "models", "serving", "profiles", "streams"]
 
 
 def load_catalog() -> None:

@@ -93,7 +93,8 @@ class SlotRates:
 
     @classmethod
     def fit(cls, train: DataFrame, boroughs: DataFrame) -> "SlotRates":
-        totals = slot_totals(train, boroughs)
+        # Slot totals are the smallest form of the training panel and feed every step below.
+        totals = slot_totals(train, boroughs).persist()
         assert_empty(totals.where(F.col("boro").isNull()), "cell without a borough in training data")
         hours = borough_priors(totals)
         b_borough = fit_strength(hours)
