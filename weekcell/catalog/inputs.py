@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weekcell.catalog.stages import staged
 from weekcell.functions.calendar import index_label, month_index, month_label, month_span, month_spine
 from weekcell.functions.predicates import exclude_reason, in_scope
 from weekcell.operators.network import majority_category
@@ -266,10 +267,12 @@ LEFT JOIN (SELECT cell, month_idx, hour_of_week, count(*) AS y FROM ord GROUP BY
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    o = orders(spark, d)
-    built = build_panel(spine(spark, d), o.select("cell", F.col("ts").alias("start")), o.select("cell", "ts"))
-    return built.select("cell", "month", F.col("hour_of_week").cast("int").alias("hour_of_week"), "y",
-                        F.col("exposure").cast("int").alias("exposure"))
+    def build() -> DataFrame:
+        o = orders(spark, d)
+        built = build_panel(spine(spark, d), o.select("cell", F.col("ts").alias("start")), o.select("cell", "ts"))
+        return built.select("cell", "month", F.col("hour_of_week").cast("int").alias("hour_of_week"), "y",
+                            F.col("exposure").cast("int").alias("exposure"))
+    return staged(spark, d, "panel", build, ["month", "cell"])
 
 
 # validation rows scored by a plain shrunk training rate

@@ -8,10 +8,11 @@ from weekcell.catalog.inputs import (CTE, SPLITS, background, boroughs, bridge,
                                      scored, segments, spine, trips, with_sql)
 from weekcell.catalog.registry import query
 from weekcell.catalog.relational import RANKED
-from weekcell.catalog.scans import scratch
+from weekcell.catalog.stages import scratch, staged
 from weekcell.catalog.times import WEEKLY, weekly
 from weekcell.functions.calendar import index_label, label_index
 from weekcell.operators import network as net
+from weekcell.operators.panel import build_panel
 from weekcell.plans import evaluate as ev, features as ft, level, poisson, rates
 from weekcell.plans.features import Inputs
 
@@ -168,11 +169,13 @@ hp AS (SELECT h.*, p.prior FROM hours h JOIN (SELECT boro, sum(y) / sum(exposure
 
 
 def model_panel(spark, d):
-    from weekcell.operators.panel import build_panel
-    o = orders(spark, d)
-    passed = o.where(F.col("o_totalprice") > 20000 * ((F.substring("cell", 2, 20).cast("bigint") * 5 + F.col("hour_of_week")) % 23))
-    built = build_panel(spine(spark, d), passed.select("cell", F.col("ts").alias("start")), passed.select("cell", "ts"))
-    return built.drop("y_raw").withColumns({c: F.col(c).cast("int") for c in ("hour_of_week", "exposure")})
+    def build():
+        o = orders(spark, d)
+        number = F.substring("cell", 2, 20).cast("bigint")
+        passed = o.where(F.col("o_totalprice") > 20000 * ((number * 5 + F.col("hour_of_week")) % 23))
+        built = build_panel(spine(spark, d), passed.select("cell", F.col("ts").alias("start")), passed.select("cell", "ts"))
+        return built.drop("y_raw").withColumns({c: F.col(c).cast("int") for c in ("hour_of_week", "exposure")})
+    return staged(spark, d, "model_panel", build, ["month", "cell"])
 
 
 def split(df, name):

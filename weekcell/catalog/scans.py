@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weekcell.catalog.inputs import background, events, orders, segments, table, with_sql
 from weekcell.catalog.registry import query
+from weekcell.catalog.stages import scratch
 from weekcell.functions.calendar import (index_label, is_complete, label_index, month_chunks, month_label, month_span,
                                          month_spine, month_start, overlap_start)
 from weekcell.sources import readers, store
@@ -200,13 +200,6 @@ def _(spark, d):
     return readers.latest_snapshot(snaps)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the checkpoints, where every executor can write."""
-    from weekcell.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 NOW = datetime(2001, 9, 1, 12, 0)
 
 

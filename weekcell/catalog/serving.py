@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weekcell.catalog.inputs import SPLITS, background, boroughs, lots, panel, spine, table, with_sql
 from weekcell.catalog.registry import query
-from weekcell.catalog.scans import scratch
+from weekcell.catalog.stages import scratch, staged
 from weekcell.catalog.times import DAILY, daily
 from weekcell.functions import geo
 from weekcell.functions.predicates import LANE_TYPES
@@ -31,6 +31,10 @@ INPUTS = with_sql("panel", "scored", "ord", "bg", "boro", "lots") + DAILY + SERV
 
 
 def index(spark, d):
+    return staged(spark, d, "index", lambda: build_index(spark, d), ["cell"])
+
+
+def build_index(spark, d):
     known = spine(spark, d).select("cell").distinct()
     raw = background(spark, d).join(known, "cell", "left_semi").groupBy("cell").agg(F.sum("n").alias("value"))
     return sv.reporting_index(raw)
@@ -45,6 +49,10 @@ def history(spark, d):
 
 
 def served(spark, d):
+    return staged(spark, d, "served", lambda: build_served(spark, d), ["hour_of_week", "cell"])
+
+
+def build_served(spark, d):
     p = panel(spark, d)
     rate = p.where(F.col("month").between(*SPLITS["train"])).groupBy("cell", "hour_of_week").agg(
         ((F.sum("y") + 0.5) / (F.sum("exposure") + 100.0)).alias("mu"))
@@ -57,7 +65,7 @@ def rounded(df, *cols, places=8):
 
 @query("X1_served_table", BASE + "SELECT cell, hour_of_week, round(predicted, 8) AS predicted, round(adjusted, 8) AS adjusted, round(historical, 8) AS historical, historical_hours FROM preds")
 def _(spark, d):
-    return rounded(served(spark, d), *sv.LAYERS)
+    return rounded(build_served(spark, d), *sv.LAYERS)
 
 
 @query("X2_level_as_of", BASE + "SELECT window_start, window_end, observed, round(predicted, 6) AS predicted, round(factor, 9) AS factor FROM lf")
@@ -67,7 +75,7 @@ def _(spark, d):
 
 @query("X3_reporting_index", BASE + "SELECT cell, round(propensity_index, 9) AS propensity_index FROM idx")
 def _(spark, d):
-    return rounded(index(spark, d), "propensity_index", places=9)
+    return rounded(build_index(spark, d), "propensity_index", places=9)
 
 
 @query("X4_historical_rates", BASE + "SELECT cell, hour_of_week, round(historical, 9) AS historical, historical_hours FROM hist")

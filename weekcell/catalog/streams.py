@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from weekcell.catalog.inputs import table, with_sql
 from weekcell.catalog.registry import query
-from weekcell.catalog.scans import MERGED, NOW, PULLS, as_requests, first_pull, order_months, scratch, second_pull
+from weekcell.catalog.scans import MERGED, NOW, PULLS, as_requests, first_pull, order_months, second_pull
+from weekcell.catalog.stages import scratch
 from weekcell.functions.calendar import is_complete, label_index, month_label, overlap_start
 from weekcell.session import configure
 from weekcell.sources import readers, store

@@ -4,7 +4,6 @@
   partitions, instead of one unpartitioned window.
 * ``exact_quantiles`` interpolates exactly on top of it.
 * ``salted_join`` spreads the rows of a hot join key.
-* ``block_scan`` style helpers live in operators/incidents.py.
 """
 
 from __future__ import annotations
@@ -16,10 +15,6 @@ from weekcell.session import cut_lineage
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in the lower 33 bits
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def global_running_sum(df: DataFrame, order_by: list, weight: Column | None = None, name: str = "rn",
                        partitions: int | None = None) -> DataFrame:
     """Inclusive running sum of ``weight`` over the total order ``order_by``.
@@ -28,10 +23,11 @@ def global_running_sum(df: DataFrame, order_by: list, weight: Column | None = No
     columns that make it total, so equal leading values still spread over
     several range partitions. The ranged rows are checkpointed once: partition
     bounds are sampled, and both the partition totals and the final rows have
-    to see the same bounds.
+    to see the same bounds. Unless ``partitions`` is given, adaptive execution
+    merges small neighbouring ranges.
     """
-    ranged = (df.withColumn("_w", F.lit(1).cast("bigint") if weight is None else weight)
-              .repartitionByRange(partitions or _partitions(df), *order_by)
+    weighted = df.withColumn("_w", F.lit(1).cast("bigint") if weight is None else weight)
+    ranged = (weighted.repartitionByRange(*([partitions] if partitions else []), *order_by)
               .sortWithinPartitions(*order_by)
               .withColumn("_seq", F.monotonically_increasing_id()))
     ranged = cut_lineage(ranged).withColumn("_pid", F.shiftright("_seq", _ROW_BITS))

@@ -172,9 +172,9 @@ def cell_series(preds: DataFrame) -> DataFrame:
                    F.col("historical_hours"))
     packed = preds.groupBy("cell").agg(F.array_sort(F.collect_list(row)).alias("_s"),
                                        *[F.sum(c).alias(f"{c}_weekly") for c in LAYERS])
-    return packed.select("cell", *[F.transform("_s", lambda s, c=c: s[c]).alias(f"{c}_series") for c in LAYERS],
-                         F.transform("_s", lambda s: s["historical_hours"]).alias("historical_hours"),
-                         *[f"{c}_weekly" for c in LAYERS])
+    # A field of an array of structs is the array of that field.
+    return packed.select("cell", *[F.col(f"_s.{c}").alias(f"{c}_series") for c in LAYERS],
+                         F.col("_s.historical_hours").alias("historical_hours"), *[f"{c}_weekly" for c in LAYERS])
 
 
 def cell_detail(cells: DataFrame, preds: DataFrame, cell: str | None = None) -> DataFrame:
