@@ -168,6 +168,10 @@ def months(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spine(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, d, "spine", lambda: _spine(spark, d), ['month_idx', 'cell'])
+
+
+def _spine(spark: SparkSession, d: str) -> DataFrame:
     cells = orders(spark, d).select("cell").distinct()
     axis = months(spark, d).agg(F.array_sort(F.collect_list(F.struct("month_idx", "month"))).alias("m"))
     return cells.withColumn("_m", F.explode(axis.scalar())).select("cell", "_m.month_idx", "_m.month")
@@ -201,6 +205,10 @@ def customer_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boroughs(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, d, "boroughs", lambda: _boroughs(spark, d), ['cell'])
+
+
+def _boroughs(spark: SparkSession, d: str) -> DataFrame:
     return majority_category(customer_pairs(spark, d))
 
 
@@ -221,6 +229,10 @@ def trip_ends(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trips(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, d, "trips", lambda: _trips(spark, d), ['month', 'cell'])
+
+
+def _trips(spark: SparkSession, d: str) -> DataFrame:
 
     return trip_cell_months(trip_ends(spark, d))
 
@@ -231,6 +243,10 @@ SELECT 'c' || (l_orderkey // 600) AS cell, strftime(l_shipdate, '%Y-%m') AS mont
 
 
 def background(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, d, "background", lambda: _background(spark, d), ['month', 'cell'])
+
+
+def _background(spark: SparkSession, d: str) -> DataFrame:
     return (table(spark, d, "lineitem").groupBy(
         F.concat(F.lit("c"), F.floor(F.col("l_orderkey") / 600).cast("string")).alias("cell"),
         month_label("l_shipdate").alias("month")).agg(F.count("*").alias("n")))

@@ -18,20 +18,21 @@ def trailing_sum(value: Column, keys: list[str], window: int, month: str = "mont
     return F.coalesce(F.sum(value).over(frame), F.lit(0))
 
 
-def trailing_features(spine: DataFrame, parts: list[tuple[DataFrame, str]], keys: list[str],
+def trailing_features(spine: DataFrame, parts: list[tuple[DataFrame, str | list[str]]], keys: list[str],
                       features: dict[str, tuple[str, int]], month: str = "month_idx") -> DataFrame:
     """Spine rows (keys, month) with one trailing sum per feature.
 
-    ``parts`` are (frame with keys, month and a value column, value column) pairs;
-    they are stacked and folded together, so all features cost one shuffle.
+    ``parts`` are (frame with keys, month and value columns, value column or columns)
+    pairs; they are stacked and folded together, so all features cost one shuffle.
     ``features`` maps output name -> (value column, window in months).
     """
-    names = [v for _, v in parts]
+    listed = [(df, [v] if isinstance(v, str) else list(v)) for df, v in parts]
+    names = [n for _, vs in listed for n in vs]
     zero = F.lit(0).cast("double")
     stacked = spine.select(*keys, month, *[zero.alias(v) for v in names], F.lit(1).alias("_asked"))
-    for frame, value in parts:
+    for frame, values in listed:
         stacked = stacked.unionByName(frame.select(
-            *keys, month, *[(F.col(v).cast("double") if v == value else zero).alias(v) for v in names],
+            *keys, month, *[(F.col(v).cast("double") if v in values else zero).alias(v) for v in names],
             F.lit(0).alias("_asked")))
     folded = stacked.groupBy(*keys, month).agg(*[F.sum(v).alias(v) for v in names], F.max("_asked").alias("_asked"))
     out = folded.select(*keys, month, "_asked",

@@ -11,7 +11,8 @@ from weekcell.functions.geo import ring_cells
 from weekcell.functions.predicates import COMMERCIAL_LANDUSE, drop_prefixed, in_scope
 from weekcell.operators.network import lane_features, segment_months
 from weekcell.operators.panel import carry_forward
-from weekcell.operators.trailing import ring_sum, trailing_features, trailing_sum
+from weekcell.operators.trailing import trailing_features
+from weekcell.session import cut_lineage
 
 LOT_MEASURES = ["com_lot", "com_frontage_ft", "retailarea", "comarea"]
 
@@ -34,51 +35,76 @@ def _indexed(df: DataFrame) -> DataFrame:
     return df.withColumn("month_idx", label_index("month")) if "month_idx" not in df.columns else df
 
 
-def monthly_counts(incidents: DataFrame) -> DataFrame:
-    return _indexed(incidents).groupBy("cell", "month_idx").agg(F.count("*").alias("n"))
+def monthly_measures(incidents: DataFrame, network_history: DataFrame, background: DataFrame,
+                     trips: DataFrame) -> DataFrame:
+    """(cell, month_idx, inc, on_network, bg, tr): every time-stamped input folded to cell and month in one shuffle."""
+    zero = {c: F.lit(0).cast("bigint") for c in ("inc", "on_network", "bg", "tr")}
 
+    def part(df: DataFrame, name: str, value) -> DataFrame:
+        return _indexed(df).select("cell", "month_idx", *[
+            (value.cast("bigint") if c == name else z).alias(c) for c, z in zero.items()])
 
-def group_history(counts: DataFrame, boroughs: DataFrame, months: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Borough and city trailing counts on the month spine: (boro, month_idx, ...) and (month_idx, ...).
+    stacked = (part(incidents, "inc", F.lit(1)).unionByName(part(network_history, "on_network", F.lit(1)))
+               .unionByName(part(background, "bg", F.col("n")))
+               .unionByName(part(trips, "tr", F.col("starts") + F.col("ends"))))
+    return stacked.groupBy("cell", "month_idx").agg(*[F.sum(c).alias(c) for c in zero])
 
-    Both levels come from one GROUPING SETS pass over the cell-month counts. A
-    borough without any incident has no row, so its features stay null.
+
+def with_ring(measures: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
+    """Measures stacked with what each cell's ring-1 neighbours send it, for one trailing pass.
+
+    Incidents count without the cell itself, background and trips with it.
     """
-    levels = (counts.join(boroughs, "cell", "left").groupingSets(
-        [["boro", "month_idx"], ["month_idx"]], "boro", "month_idx")
-        .agg(F.sum("n").alias("n"), F.grouping("boro").alias("city")))
-    boro_counts = levels.where((F.col("city") == 0) & F.col("boro").isNotNull()).select("boro", "month_idx", "n")
-    city_counts = levels.where(F.col("city") == 1).select(F.lit("all").alias("boro"), "month_idx", "n")
+    if neighbours is None:
+        sent = measures.withColumn("cell", F.explode(ring_cells("cell", False)))
+    else:
+        sent = measures.join(neighbours, "cell").withColumn("cell", F.col("neighbour"))
+    own = measures.select("*", F.lit(0).alias("inc_ring"), F.col("bg").alias("bg_ring"), F.col("tr").alias("tr_ring"))
+    nil = [F.lit(0).alias(c) for c in ("inc", "on_network", "bg", "tr")]
+    got = sent.select("cell", "month_idx", *nil, F.col("inc").alias("inc_ring"), F.col("bg").alias("bg_ring"),
+                      F.col("tr").alias("tr_ring"))
+    return own.unionByName(got)
 
-    def on_spine(part: DataFrame, level: str) -> DataFrame:
-        # Months per group: both are calendar- and borough-sized.
-        spine = part.select("boro").distinct().withColumn(
-            "month_idx", F.explode(months.agg(F.collect_set("month_idx").alias("m")).scalar()))
-        return trailing_features(spine, [(part, "n")], ["boro"],
-                                 {f"inc_{level}_3m": ("n", 3), f"inc_{level}_12m": ("n", 12)})
 
-    return on_spine(boro_counts, "boro"), on_spine(city_counts, "city").drop("boro")
+def group_history(measures: DataFrame, rows: DataFrame, boroughs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Borough and city trailing counts for the rows' months: (boro, month_idx, ...) and (month_idx, ...).
+
+    A borough without any incident has no row, so its features stay null.
+    """
+    counts = (measures.where(F.col("inc") > 0).join(boroughs, "cell", "left")
+              .groupBy("boro", "month_idx").agg(F.sum("inc").alias("n")))
+    seen = counts.where(F.col("boro").isNotNull())
+    asked = rows.select("cell", "month_idx").join(boroughs, "cell").select("boro", "month_idx").distinct()
+    by_boro = trailing_features(asked.join(seen.select("boro").distinct(), "boro", "left_semi"), [(seen, "n")], ["boro"],
+                                {"inc_boro_3m": ("n", 3), "inc_boro_12m": ("n", 12)})
+    whole = F.lit("all").alias("city")
+    city = counts.groupBy("month_idx").agg(F.sum("n").alias("n")).select("month_idx", "n", whole)
+    by_city = trailing_features(rows.select("month_idx").distinct().select("month_idx", whole), [(city, "n")], ["city"],
+                                {"inc_city_3m": ("n", 3), "inc_city_12m": ("n", 12)})
+    return by_boro, by_city.drop("city")
+
+
+# feature -> (measure, trailing months)
+HISTORY = {
+    "inc_cell_1m": ("inc", 1), "inc_cell_3m": ("inc", 3), "inc_cell_12m": ("inc", 12),
+    "inc_ring1_12m": ("inc_ring", 12), "months_on_network_12m": ("on_network", 12),
+    "background_cell_12m": ("bg", 12), "background_ring1_12m": ("bg_ring", 12),
+    "trips_cell_1m": ("tr", 1), "trips_cell_12m": ("tr", 12), "trips_ring1_1m": ("tr_ring", 1), "trips_ring1_12m": ("tr_ring", 12),
+}
+MEASURES = ["inc", "on_network", "bg", "tr", "inc_ring", "bg_ring", "tr_ring"]
 
 
 def history_features(rows: DataFrame, incidents: DataFrame, network_history: DataFrame, background: DataFrame,
                      trips: DataFrame, boroughs: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
-    """Time-varying features of (cell, month_idx) rows; month M only ever sees months before M."""
-    inc = monthly_counts(incidents)
-    on = _indexed(network_history).select("cell", "month_idx", F.lit(1).alias("on_network"))
-    bg = _indexed(background).groupBy("cell", "month_idx").agg(F.sum("n").alias("bg"))
-    tr = _indexed(trips).groupBy("cell", "month_idx").agg(F.sum(F.col("starts") + F.col("ends")).alias("tr"))
+    """Time-varying features of (cell, month_idx) rows; month M only ever sees months before M.
+
+    The events are read once: all inputs are folded to (cell, month) and
+    checkpointed, and rings, groups and windows work on that small table.
+    """
+    measures = cut_lineage(monthly_measures(incidents, network_history, background, trips))
     spine = rows.select("cell", "month_idx").distinct()
-    parts = [(inc, "n"), (on, "on_network"), (bg, "bg"), (tr, "tr"),
-             (ring_sum(inc, "n", False, neighbours).withColumnRenamed("n", "n_ring"), "n_ring"),
-             (ring_sum(bg, "bg", True, neighbours).withColumnRenamed("bg", "bg_ring"), "bg_ring"),
-             (ring_sum(tr, "tr", True, neighbours).withColumnRenamed("tr", "tr_ring"), "tr_ring")]
-    own = trailing_features(spine, parts, ["cell"], {
-        "inc_cell_1m": ("n", 1), "inc_cell_3m": ("n", 3), "inc_cell_12m": ("n", 12),
-        "inc_ring1_12m": ("n_ring", 12), "months_on_network_12m": ("on_network", 12),
-        "background_cell_12m": ("bg", 12), "background_ring1_12m": ("bg_ring", 12),
-        "trips_cell_1m": ("tr", 1), "trips_cell_12m": ("tr", 12),
-        "trips_ring1_1m": ("tr_ring", 1), "trips_ring1_12m": ("tr_ring", 12)})
-    by_boro, by_city = group_history(inc, boroughs, spine.select("month_idx").distinct())
+    own = trailing_features(spine, [(with_ring(measures, neighbours), MEASURES)], ["cell"], HISTORY)
+    by_boro, by_city = group_history(measures, spine, boroughs)
     return (own.join(boroughs, "cell", "left").join(by_boro, ["boro", "month_idx"], "left")
             .join(by_city, "month_idx", "left"))
 
@@ -125,7 +151,7 @@ def cell_month_features(rows: DataFrame, inputs: Inputs, last_month: str, histor
     bounds = spark.range(1).select(label_index(F.lit(history_start)).alias("lo"), label_index(F.lit(last_month)).alias("hi"))
     net = network_history(inputs.segments, inputs.bridge, month_spine(bounds))
     trips = carry_forward(inputs.trips, inputs.trips_through, last_month)
-    keyed = _indexed(rows).select("cell", "month_idx")
+    keyed = cut_lineage(_indexed(rows).select("cell", "month_idx").distinct())  # read by every group below
     hist = history_features(keyed, inputs.incidents, net, inputs.background, trips, inputs.boroughs, inputs.neighbours)
     lanes = lane_features(hist, inputs.segments, inputs.bridge)
     lots = lot_features(inputs.lots, keyed, inputs.neighbours)
