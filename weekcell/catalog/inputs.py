@@ -288,7 +288,7 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
         built = build_panel(spine(spark, d), o.select("cell", F.col("ts").alias("start")), o.select("cell", "ts"))
         return built.select("cell", "month", F.col("hour_of_week").cast("int").alias("hour_of_week"), "y",
                             F.col("exposure").cast("int").alias("exposure"))
-    return staged(spark, d, "panel", build, ["month", "cell"])
+    return staged(spark, d, "panel", build)
 
 
 # validation rows scored by a plain shrunk training rate

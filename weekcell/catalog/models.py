@@ -173,9 +173,10 @@ def model_panel(spark, d):
         o = orders(spark, d)
         number = F.substring("cell", 2, 20).cast("bigint")
         passed = o.where(F.col("o_totalprice") > 20000 * ((number * 5 + F.col("hour_of_week")) % 23))
-        built = build_panel(spine(spark, d), passed.select("cell", F.col("ts").alias("start")), passed.select("cell", "ts"))
+        built = build_panel(spine(spark, d), passed.select("cell", F.col("ts").alias("start")),
+                            passed.select("cell", "ts"))
         return built.drop("y_raw").withColumns({c: F.col(c).cast("int") for c in ("hour_of_week", "exposure")})
-    return staged(spark, d, "model_panel", build, ["month", "cell"])
+    return staged(spark, d, "model_panel", build)
 
 
 def split(df, name):
@@ -266,7 +267,7 @@ BOOST = {"learning_rate": 0.3, "max_depth": 5, "min_rows_in_leaf": 200, "feature
 @query("M6_poisson_boosted")
 def _(spark, d):
     p = design(model_panel(spark, d))
-    model = poisson.train_boosted(split(p, "train"), split(p, "validate"), POISSON_FEATURES, BOOST, rounds=6, early_stop=3)
+    model = poisson.train_boosted(split(p, "train"), split(p, "validate"), POISSON_FEATURES, BOOST, rounds=4, early_stop=3)
     return ev.evaluate(model.predict(split(p, "validate"))).withColumn("trees", F.lit(len(model.trees)))
 
 

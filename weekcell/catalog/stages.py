@@ -21,14 +21,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame], sort: list[str]) -> DataFrame:
-    """The table ``name`` of input folder ``d``, written on first use in range order of ``sort``.
+def staged(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame],
+           sort: list[str] | None = None) -> DataFrame:
+    """The table ``name`` of input folder ``d``, written on first use in range order of ``sort`` (or as it comes).
 
     Sorted files keep narrow value ranges per row group, so later filters skip most of them.
     """
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _WRITTEN:
         path = scratch(spark, name)
-        build().repartitionByRange(*sort).sortWithinPartitions(*sort).write.parquet(path)
+        df = build()
+        if sort:
+            df = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+        df.write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])

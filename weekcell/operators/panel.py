@@ -36,11 +36,15 @@ def slot_counts(events: DataFrame, ts: str, name: str) -> DataFrame:
         F.count("*").alias(name))
 
 
-def build_panel(network: DataFrame, incidents: DataFrame, events: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
+def build_panel(network: DataFrame, incidents: DataFrame, events: DataFrame, zone: str = LOCAL_ZONE,
+                partitions: int | None = None) -> DataFrame:
     """Exactly 168 rows per on-network (cell, month): y, y_raw and exposure, zeros explicit.
 
     The counts of a cell-month travel as one map, and the spine is widened to
     168 slots only after the join, so the dense panel itself is never shuffled.
+    The compact rows are range-partitioned by (month, cell) into a fixed number
+    of tasks: adaptive execution would size tasks by the compact rows, 168 times
+    too large, and written files get month ranges that later filters can skip.
     """
     spine = network.select("cell", label_index("month").alias("month_idx")).distinct()
     counted = (slot_counts(incidents, "start", "y").withColumn("y_raw", F.lit(0).cast("bigint"))
@@ -55,10 +59,13 @@ def build_panel(network: DataFrame, incidents: DataFrame, events: DataFrame, zon
                               lambda s: s["exposure"]).alias("hours")))
     wide = (spine.join(packed, ["cell", "month_idx"], "left")
             .join(F.broadcast(hours), "month_idx"))  # one row per calendar month
-    slot = wide.withColumn("hour_of_week", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    spark = network.sparkSession
+    tasks = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    wide = wide.repartitionByRange(tasks, "month_idx", "cell").sortWithinPartitions("month_idx", "cell")
+    slot = wide.withColumn("month", index_label("month_idx")).withColumn("hour_of_week", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
     found = F.try_element_at("slots", F.col("hour_of_week"))
     return slot.select(
-        "cell", index_label("month_idx").alias("month"), F.col("hour_of_week").cast("smallint"),
+        "cell", "month", F.col("hour_of_week").cast("smallint"),
         F.coalesce(found["y"], F.lit(0)).cast("int").alias("y"),
         F.coalesce(found["y_raw"], F.lit(0)).cast("int").alias("y_raw"),
         F.element_at("hours", F.col("hour_of_week") + 1).cast("smallint").alias("exposure"))

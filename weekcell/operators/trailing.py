@@ -14,8 +14,16 @@ from weekcell.functions.geo import ring_cells
 
 
 def trailing_sum(value: Column, keys: list[str], window: int, month: str = "month_idx") -> Column:
-    frame = Window.partitionBy(*keys).orderBy(month).rangeBetween(-window, -1)
-    return F.coalesce(F.sum(value).over(frame), F.lit(0))
+    """Sum of counts over the ``window`` months before, as a difference of two running sums.
+
+    Running frames are updated row by row, while a sliding frame is added up
+    again for every row; counts keep the difference exact.
+    """
+    def upto(last: int) -> Column:
+        frame = Window.partitionBy(*keys).orderBy(month).rangeBetween(Window.unboundedPreceding, -last)
+        return F.coalesce(F.sum(value).over(frame), F.lit(0))
+
+    return upto(1) - upto(window + 1)
 
 
 def trailing_features(spine: DataFrame, parts: list[tuple[DataFrame, str | list[str]]], keys: list[str],
@@ -34,7 +42,8 @@ def trailing_features(spine: DataFrame, parts: list[tuple[DataFrame, str | list[
         stacked = stacked.unionByName(frame.select(
             *keys, month, *[(F.col(v).cast("double") if v in values else zero).alias(v) for v in names],
             F.lit(0).alias("_asked")))
-    folded = stacked.groupBy(*keys, month).agg(*[F.sum(v).alias(v) for v in names], F.max("_asked").alias("_asked"))
+    # Partitioned by the window key up front, the fold and the windows share one shuffle.
+    folded = stacked.repartition(*keys).groupBy(*keys, month).agg(*[F.sum(v).alias(v) for v in names], F.max("_asked").alias("_asked"))
     out = folded.select(*keys, month, "_asked",
                         *[trailing_sum(F.col(v), keys, w, month).alias(name) for name, (v, w) in features.items()])
     return out.where(F.col("_asked") == 1).drop("_asked")

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     # The panel and the event store are laid out by month; let a filter on the
     # month spine prune the partitions that are read.
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
+    # No Python call-site lookup per Column operation: plans here have thousands of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
