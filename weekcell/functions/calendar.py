@@ -60,7 +60,8 @@ def index_label(idx: Column | str) -> Column:
 
 
 def month_label(ts: Column | str) -> Column:
-    return F.date_format(_col(ts), "yyyy-MM")
+    """'yyyy-MM' of a wall-clock time or date, read off its text form: no zone is involved."""
+    return F.substring(_col(ts).cast("string"), 1, 7)
 
 
 def month_start(idx: Column | str) -> Column:

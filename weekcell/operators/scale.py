@@ -45,29 +45,26 @@ def global_running_sum(df: DataFrame, order_by: list, weight: Column | None = No
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], name: str = "quantiles") -> DataFrame:
-    """One row holding the linearly interpolated quantiles of ``value`` (nulls ignored), in ``probs`` order.
+    """One row: array of the linearly interpolated quantiles of ``value`` in ``probs`` order; nulls if there is no value.
 
-    Equal values are folded to (value, count) before the sort, and only the two
-    order statistics around each position are kept.
+    Equal values are folded to (value, count) before the sort. The order
+    statistics around each position are then picked in one aggregate.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(
         F.count("*").alias("_c"))
     ranked = global_running_sum(counts, ["_v"], F.col("_c"), "_upto")
-    total = counts.agg(F.sum("_c").alias("_n"))
-    spots = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
-                                for i, p in enumerate(probs)])).alias("spot")
-    want = total.where(F.col("_n") > 0).select("_n", spots).select(
-        F.col("spot.i").alias("_i"), (F.col("spot.p") * (F.col("_n") - 1)).alias("_pos"))
-    # A handful of wanted positions: each value row keeps those that fall in its rank interval.
-    lo, hi = F.floor("_pos"), F.ceil("_pos")
+    total = ranked.agg(F.sum("_c").alias("_n"))
     start = F.col("_upto") - F.col("_c")
-    hit = ranked.join(F.broadcast(want), ((lo >= start) & (lo < F.col("_upto")))
-                      | ((hi >= start) & (hi < F.col("_upto"))))
-    at = lambda rank: F.max(F.when((rank >= start) & (rank < F.col("_upto")), F.col("_v")))
-    ends = hit.groupBy("_i", "_pos").agg(at(lo).alias("_a"), at(hi).alias("_b"))
-    q = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
-    return ends.select("_i", q.alias("_q")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias(name))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= start) & (rank < F.col("_upto")), F.col("_v")))
+
+    picked, out = [], []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        picked += [at(F.floor(pos)).alias(f"_a{i}"), at(F.ceil(pos)).alias(f"_b{i}"), F.max(pos - F.floor(pos)).alias(f"_f{i}")]
+        out.append(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}"))
+    return ranked.withColumn("_n", total.scalar()).agg(*picked).select(F.array(*out).alias(name))
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str, spread: list, salts: int) -> DataFrame:

@@ -14,6 +14,7 @@ from weekcell.operators.scale import assert_empty, first_row, salted_join
 
 TOLERANCE_M = 40.0
 BUCKET_M = 100.0
+SALTS = 8  # parts of a crowded bucket; the piece side is copied that often
 SAMPLE_M = 10.0
 # fixed values: drop reasons in report order
 DROP_REASONS = ["no_coords", "no_lane_within_tol", "lane_not_installed", "lane_not_active"]
@@ -114,7 +115,7 @@ def within_distance(points: DataFrame, pieces: DataFrame, tolerance: float = TOL
 
 
 def snap(points: DataFrame, pieces: DataFrame, tolerance: float = TOLERANCE_M, edge: float = geo.HEX_EDGE_M,
-         salts: int = 1) -> DataFrame:
+         salts: int = SALTS) -> DataFrame:
     """Each point to its nearest segment valid at the point's time, or a reason why not.
 
     ``points``: point_id, ts, x, y (nullable). ``pieces``: in-scope pieces with
@@ -143,7 +144,7 @@ def snap(points: DataFrame, pieces: DataFrame, tolerance: float = TOLERANCE_M, e
 
 def nearest_segment(points: DataFrame, pieces: DataFrame, tolerance: float = TOLERANCE_M) -> DataFrame:
     """(point_id, segment_id, dist_m) of the nearest segment, dates ignored; ties to the lower id."""
-    near = within_distance(points, pieces, tolerance)
+    near = within_distance(points, pieces, tolerance, salts=SALTS, spread=["point_id"])
     return first_row(near, ["point_id"], ["dist_m", "segment_id"], [])
 
 

@@ -51,7 +51,7 @@ def scale_edges(preds: DataFrame, column: str, name: str = "edges") -> DataFrame
     """One row: quantiles of the positive values; all 0 when there is none."""
     edges = exact_quantiles(preds.where(F.col(column) > 0), column, SCALE_QUANTILES, name)
     zero = F.array(*[F.lit(0.0)] * len(SCALE_QUANTILES))
-    return edges.select(F.when(F.size(name) > 0, F.col(name)).otherwise(zero).alias(name))
+    return edges.select(F.when(F.col(name)[0].isNotNull(), F.col(name)).otherwise(zero).alias(name))
 
 
 def serve_predictions(raw: DataFrame, factor: float | Column, index: DataFrame, history: DataFrame) -> DataFrame:

@@ -15,6 +15,10 @@ RUNTIME_CONF = {
     # The panel and the event store are laid out by month; let a filter on the
     # month spine prune the partitions that are read.
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
+}
+
+# Only settable when the session is built.
+STATIC_CONF = {
     # No Python call-site lookup per Column operation: plans here have thousands of them.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -25,7 +29,7 @@ def build_session(app: str = "weekcell", master: str | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **(conf or {})}.items():
+    for key, value in {**STATIC_CONF, **RUNTIME_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
