@@ -187,7 +187,7 @@ def grid_sql(name: str, src: str) -> str:
     """The engine's narrowing grid search over log b, in SQL."""
     parts, lo, hi = [], "0.0::DOUBLE", "20.0::DOUBLE"
     for i in range(rates.GRID_STEPS):
-        parts.append(f"""{name}g{i} AS (SELECT lo + k * (hi - lo) / 20 AS lb, (hi - lo) / 20 AS w FROM (SELECT {lo} AS lo, {hi} AS hi), (SELECT unnest(range(21)) AS k)),
+        parts.append(f"""{name}g{i} AS (SELECT lo + k * (hi - lo) / {rates.GRID_POINTS - 1} AS lb, (hi - lo) / {rates.GRID_POINTS - 1} AS w FROM (SELECT {lo} AS lo, {hi} AS hi), (SELECT unnest(range({rates.GRID_POINTS})) AS k)),
 {name}b{i} AS (SELECT arg_max(lb, ll) AS b, any_value(w) AS w FROM (SELECT lb, any_value(w) AS w, sum(n * (CASE WHEN y > 0 THEN lgamma(exp(lb) * prior + y) - lgamma(exp(lb) * prior) ELSE 0 END
   + exp(lb) * prior * ln(exp(lb) / (exp(lb) + e)) + y * ln(e / (exp(lb) + e)))) AS ll FROM {name}g{i}, (SELECT y::DOUBLE AS y, exposure::DOUBLE AS e, prior, count(*) AS n FROM {src} WHERE exposure > 0 GROUP BY ALL) GROUP BY lb))""")
         lo, hi = f"(SELECT greatest(0, b - w) FROM {name}b{i})", f"(SELECT least(20, b + w) FROM {name}b{i})"

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weekcell.operators.scale import assert_empty
 
 LOG_B_BOUNDS = (0.0, 20.0)
-GRID_POINTS = 21
-GRID_STEPS = 5
+GRID_POINTS = 101
+GRID_STEPS = 3  # log b to about 1e-4
 
 
 def log_gamma(x: Column) -> Column:
