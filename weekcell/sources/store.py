@@ -127,7 +127,7 @@ def read_control(spark: SparkSession, path: str) -> DataFrame:
         .select("store", "month", "_r.*")
 
 
-def build_range(control: DataFrame, first: str, at_least: str | None = None) -> DataFrame:
+def build_range(control: DataFrame, first: str) -> DataFrame:
     """One row (lo, hi): from ``first`` to the last month complete in every store."""
     per_store = control.where("complete").groupBy("store").agg(F.max("month").alias("last"))
     return per_store.agg(F.lit(first).alias("lo"), F.min("last").alias("hi"))
