@@ -11,7 +11,7 @@ class Memo(dict):
     Pieces longer than ``longest`` are computed each time and not held.
     """
 
-    def __init__(self, compute: Callable[[str], object], limit: int = 24 << 20, longest: int = 64):
+    def __init__(self, compute: Callable[[str], object], limit: int = 64 << 20, longest: int = 64):
         super().__init__()
         self.compute, self.limit, self.longest, self.held = compute, limit, longest, 0
 
@@ -21,6 +21,6 @@ class Memo(dict):
             if self.held > self.limit:
                 self.clear()
                 self.held = 0
-            self.held += len(piece) + 160
+            self.held += len(piece) + 240
             self[piece] = value
         return value

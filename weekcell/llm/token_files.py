@@ -9,11 +9,12 @@ byte at which each block starts. A *block* is BLOCK_IDS ids (the last one of a s
     exceptions: u16 position each, then u32 value minus minimum each
 
 The width is that of the 95th percentile of the block; larger values are exceptions and keep their low bits in place.
-``part`` and ``segment`` give ascending doc_id order.
+``part`` and ``segment`` give ascending doc_id order; ``first`` is the number of ids in the part before the segment.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -34,7 +35,7 @@ SEGMENT_IDS = 1 << 16
 PERCENTILE = 95
 _HEAD = struct.Struct("<IBHH")
 
-SEGMENT_SCHEMA = ("part int, segment long, doc_ids array<bigint>, lengths array<bigint>, n_ids long, "
+SEGMENT_SCHEMA = ("part int, segment long, first long, doc_ids array<bigint>, lengths array<bigint>, n_ids long, "
                   "block_starts array<bigint>, payload binary")
 
 
@@ -81,47 +82,89 @@ def unpack(starts, payload: bytes, first: int = 0, last: int | None = None) -> n
     return np.concatenate(blocks) if blocks else np.zeros(0, dtype=np.uint32)
 
 
+#: A word that the vocabulary's normalizer and splitter leave in one piece, and what ASCII marks may follow it.
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([^\\w\\s']*)", re.ASCII)
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, word by word.
 
     The vocabulary's normalizer and splitter drop white space and never look across it, so a text's ids are those of
-    its ASCII-white-space separated words, in order (tested against whole texts).
+    its ASCII-white-space separated words, in order; case of A-Z does not count. Nor do they look from a run of letters to
+    the marks behind it, unless an apostrophe or a special token (both opened by other characters) is among
+    them. So plain words and their marks are encoded apart, and each is remembered. Tested against whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(lambda word: np.array(
-            tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes())
+        self.tokenizer = Tokenizer.from_file(path)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.sign = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.special = b"<|"
+        self.words = Memo(self._word, limit=64 << 20)
+        self.letters = Memo(self._letters, limit=48 << 20)
+        self.marks = Memo(self._whole, limit=1 << 20)
+
+    def _pack(self, ids) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def _whole(self, word: str) -> bytes:
+        return self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _letters(self, word: str) -> bytes:
+        """A run of letters that need no normalizing goes straight to the library's merges."""
+        signs = word if word.isascii() else "".join(self.sign[b] for b in word.encode("utf-8"))
+        return self._pack([t.id for t in self.tokenizer.model.tokenize(signs)])
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        plain = _PLAIN.fullmatch(text)
+        if plain and plain[2].isascii():
+            return self.letters[plain[1]] + (self.marks[plain[2]] if plain[2] else b"")
+        return self._whole(text)
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.memo.__getitem__, text.split()))
+        if self.special in text:
+            return b"".join(self._whole(w.decode("utf-8")) for w in text.split())
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    """A worker's encoder; what it remembers serves all tasks of the worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _segments(tokenizer: str, end_id: int):
     tail = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        docs, lengths, held, size = [], [], [], 0
+        encoder, part, number = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        docs, lengths, held, size, first = [], [], [], 0, 0
 
         def segment():
             ids = np.frombuffer(b"".join(held), dtype="<u4")
             starts, payload = pack(ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())),
+                [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([first], pa.int64()),
+                 pa.array([docs], pa.list_(pa.int64())),
                  pa.array([lengths], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()),
                  pa.array([starts], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
-                ["part", "segment", "doc_ids", "lengths", "n_ids", "block_starts", "payload"])
+                ["part", "segment", "first", "doc_ids", "lengths", "n_ids", "block_starts", "payload"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary())):
                 ids = encoder.encode(text.as_py() or b"") + tail
                 if held and size + len(ids) // 4 > SEGMENT_IDS:
                     yield segment()
-                    number, docs, lengths, held, size = number + 1, [], [], [], 0
+                    number, first, docs, lengths, held, size = number + 1, first + size, [], [], [], 0
                 docs.append(doc_id.as_py())
                 lengths.append(len(ids) // 4)
                 held.append(ids)
@@ -162,17 +205,12 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments with ``start``, the number of ids in all segments before.
 
-    Sums of whole parts are ordered in one small window (a row for each part that was written, nothing else);
-    within a part the window is the part's own.
+    Sums of whole parts are ordered in one small window: a row for each part that was written, nothing else.
     """
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    sizes = segments.select("part", "segment", "n_ids")
-    parts = (sizes.groupBy("part").agg(F.sum("n_ids").alias("held"))
+    parts = (segments.groupBy("part").agg(F.sum("n_ids").alias("held"))
              .withColumn("before", F.sum("held").over(Window.orderBy("part")) - F.col("held")).select("part", "before"))
-    within = Window.partitionBy("part").orderBy("segment")
-    starts = (sizes.withColumn("ahead", F.sum("n_ids").over(within) - F.col("n_ids"))
-              .join(parts, "part").select("part", "segment", (F.col("before") + F.col("ahead")).alias("start")))
-    return segments.join(starts, ["part", "segment"])
+    return segments.join(parts, "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
