@@ -37,7 +37,7 @@ def test_pieces_are_the_librarys(corpus):
         ids = library.encode(text)
         assert pieces.encode(text, PIECES) == ids
         assert own.decode(ids) == library.decode(ids)
-        found = [memo[p] for p in pieces.cut(text)]
+        found = [memo[p] for p in own.cut(text)]
         assert ",".join(x[1] for x in found) == ",".join(map(str, ids))
         assert "".join(x[2] for x in found)[1:] == library.decode(ids)
 
@@ -114,3 +114,24 @@ def test_odd_rows(spark, tmp_path):
     assert n == [(False, 1, 0), (False, 2, len(library.encode("word " * 200_000))), (False, 3, 0), (False, 3, 0), (True, 0, 2)]
     assert pieces.with_ids(docs, PIECES).filter("doc_id = 1").collect()[0].ids == []
     assert pieces.piece_digests(docs.limit(0), PIECES).collect() == []
+
+
+def test_pairs_by_history_are_pairs_by_merging():
+    own, _ = pieces._table(PIECES)
+    draw = random.Random(11)
+    tokens = list(own.ids.values())
+    short = [k for k in tokens if len(own.text[k]) < 4]
+    spaces = [k for k in tokens if set(own.text[k]) == {pieces.SPACE}]
+    pairs = [(draw.choice(tokens), draw.choice(tokens)) for _ in range(20_000)]
+    pairs += [(draw.choice(short), draw.choice(short)) for _ in range(20_000)] + [(a, b) for a in spaces for b in spaces + short[:200]]
+    for word in ("thing", "unhappiness", "aaaaaaa", "abababab", "enenenen", "ß", "ionsion"):
+        near = [k for k in tokens if own.text[k].strip(pieces.SPACE) in word]
+        pairs += [(a, b) for a in near for b in near]
+    wrong = 0
+    for a, b in pairs:
+        if own.origins[a] is pieces._ODD or own.origins[b] is pieces._ODD:
+            continue
+        apart = own._merge(own.text[a] + own.text[b]) == [own.text[a], own.text[b]]
+        wrong += own._compatible((a, b)) != apart
+    assert wrong == 0
+    assert sum(own.origins[k] is pieces._ODD for k in tokens) < len(tokens) // 20

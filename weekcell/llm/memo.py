@@ -17,10 +17,11 @@ class Memo(dict):
 
     def __missing__(self, piece):
         value = self.compute(piece)
-        if len(piece) <= self.longest:
+        size = len(piece) if hasattr(piece, "__len__") else 1
+        if size <= self.longest:
             if self.held > self.limit:
                 self.clear()
                 self.held = 0
-            self.held += len(piece) + 240
+            self.held += size + 240
             self[piece] = value
         return value

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +24,9 @@ from weekcell.llm.memo import Memo
 from weekcell.llm.registry import query, table
 
 SPACE = "▁"  # stands for a space in the vocabulary
+_NEVER = float("-inf")
+_ODD = (-1, -1)
+_LETTERS = string.ascii_letters + "".join(map(chr, range(0xC0, 0x100)))
 
 
 class PieceTable:
@@ -53,26 +57,81 @@ class PieceTable:
         for piece, k in self.ids.items():
             self.automaton.add_word(piece, (k, len(piece)))
         self.automaton.make_automaton()
+        # characters that no token has right behind a Latin letter: a run of letters ends there for certain
+        inside = {piece[k:k + 2] for piece in self.ids for k in range(len(piece) - 1)}
+        self.stops = "".join(c for c in string.punctuation if not any(x + c in inside for x in _LETTERS))
+        self.pattern = re.compile(rf"{SPACE}*[{_LETTERS}]+(?=[{re.escape(self.stops)}])|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        self.origins = Memo(self._origin, limit=1 << 40, longest=1 << 30)  # as many as there are tokens
         self.pairs = Memo(self._compatible, longest=2)
         self.alone = Memo(lambda k: self._merge(self.text[k[0]]) == [self.text[k[0]]], longest=1)
 
-    def _merge(self, text: str) -> list[str]:
-        """Merge neighbours by best score, leftmost first: the definition, for the few characters of two tokens."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                token = self.ids.get(parts[k] + parts[k + 1])
-                if token is not None and (best is None or self.scores[token] > best):
-                    best, at = self.scores[token], k
-            if at < 0:
+    def _merge(self, text: str, stop: int = -1) -> list[str]:
+        """Merge neighbours by best score, leftmost first: the definition, for the few characters of two tokens.
+
+        With ``stop``, the state before the merge that makes this token of the whole text.
+        """
+        parts, ids, scores = list(text), self.ids, self.scores
+
+        def worth(k: int) -> float:
+            token = ids.get(parts[k] + parts[k + 1])
+            return _NEVER if token is None else scores[token]
+
+        gain = [worth(k) for k in range(len(parts) - 1)]
+        while gain:
+            best = max(gain)
+            if best == _NEVER:
                 break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            k = gain.index(best)
+            if len(parts) == 2 and stop == ids[parts[0] + parts[1]]:
+                break
+            parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            del gain[k]
+            if k < len(gain):
+                gain[k] = worth(k)
+            if k:
+                gain[k - 1] = worth(k - 1)
         return parts
 
+    def _origin(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge made ``token`` (None: a character); _ODD if it isn't the latest of the merges within."""
+        text = self.text[token]
+        if len(text) == 1:
+            return None
+        ends = [0]
+        for part in self._merge(text, stop=token):
+            ends.append(ends[-1] + len(part))
+        if len(ends) != 3:
+            return _ODD
+        halves = self.ids[text[:ends[1]]], self.ids[text[ends[1]:]]
+        for half in halves:
+            inner = self.origins[half]
+            if inner is _ODD or inner is not None and self.scores[half] <= self.scores[token]:
+                return _ODD
+        return halves
+
     def _compatible(self, pair: tuple[int, int]) -> bool:
-        left, right = self.text[pair[0]], self.text[pair[1]]
-        return self._merge(left + right) == [left, right]
+        """Whether the two tokens stay apart when their characters are merged.
+
+        Going back in time from the last merge, each pair that met at the border must not have been a better merge
+        than the one that changed the border next (of equal ones the left one comes first).
+        """
+        left, right = pair
+        if self.origins[left] is _ODD or self.origins[right] is _ODD:
+            texts = [self.text[left], self.text[right]]
+            return self._merge("".join(texts)) == texts
+        ids, text, scores, origins = self.ids, self.text, self.scores, self.origins
+        least, or_equal = _NEVER, False
+        while True:
+            joined = ids.get(text[left] + text[right])
+            if joined is not None and (scores[joined] > least or or_equal and scores[joined] == least):
+                return False
+            of_left, of_right = origins[left], origins[right]
+            if of_left is not None and (of_right is None or scores[left] < scores[right]):
+                least, or_equal, left = scores[left], False, of_left[1]
+            elif of_right is not None:
+                least, or_equal, right = scores[right], True, of_right[0]
+            else:
+                return True
 
     def _known(self, run: str) -> list[int]:
         """Ids of a run of characters that are all in the vocabulary."""
@@ -91,6 +150,10 @@ class PieceTable:
             n -= size[n]
         return out[::-1]
 
+    def cut(self, text: str) -> list[str]:
+        """The text with its opening space, marked and cut where no token can reach across."""
+        return self.pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of a piece of text; characters outside the vocabulary part it and become bytes."""
         if all(c in self.ids for c in piece):
@@ -107,46 +170,36 @@ class PieceTable:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: marks become spaces, the first space goes, bytes are joined to UTF-8 (or U+FFFD for each bad byte)."""
-        out, pending = [], bytearray()
-
-        def flush():
-            at = 0
-            while at < len(pending):
-                for n in (1, 2, 3, 4):
-                    try:
-                        out.append(pending[at:at + n].decode("utf-8"))
-                        at += n
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                else:
-                    out.append("�")
-                    at += 1
-            pending.clear()
-
-        first = True
-        for k in ids:
+        pieces = self.text
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([pieces[k] for k in ids]).replace(SPACE, " ").removeprefix(" ")
+        out, run = [], bytearray()
+        for k in [*ids, -1]:
             if k in self.byte_of:
-                pending.append(self.byte_of[k])
-                first = False
+                run.append(self.byte_of[k])
                 continue
-            flush()
-            piece = self.text[k]
-            if first and piece.startswith(SPACE):
-                piece = piece[1:]
-            first = False
-            out.append(piece.replace(SPACE, " "))
-        flush()
-        return "".join(out)
-
-
-#: Spaces and what follows them, or one line feed.
-_CUT = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-
-
-def cut(text: str) -> list[str]:
-    """The text with its opening space, marked and cut where no token can reach across."""
-    return _CUT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+            out.append(_text_of(run))
+            run.clear()
+            if k >= 0:
+                out.append(pieces[k].replace(SPACE, " "))
+        text = "".join(out)
+        return text[1:] if pieces[ids[0]].startswith(SPACE) else text
+
+
+def _text_of(data: bytearray) -> str:
+    out, at = [], 0
+    while at < len(data):
+        for n in (1, 2, 3, 4):
+            try:
+                out.append(data[at:at + n].decode("utf-8"))
+                at += n
+                break
+            except UnicodeDecodeError:
+                continue
+        else:
+            out.append("\ufffd")
+            at += 1
+    return "".join(out)
 
 
 _TABLES: dict[str, tuple[PieceTable, Memo]] = {}
@@ -160,24 +213,24 @@ def _table(model_file: str) -> tuple[PieceTable, Memo]:
         def compute(piece: str):
             ids = pieces.encode_piece(piece)
             # a mark before the piece keeps its own spaces: decode() drops one space at the start of a text only
-            text = pieces.decode([pieces.ids[SPACE], *ids]) if ids else ""
+            text = pieces.decode([pieces.ids[SPACE], *ids])
             return len(ids), ",".join(map(str, ids)), text
-        _TABLES[model_file] = pieces, Memo(compute)
+        _TABLES[model_file] = pieces, Memo(compute, limit=96 << 20)
     return _TABLES[model_file]
 
 
 def encode(text: str, model_file: str) -> list[int]:
     pieces, _ = _table(model_file)
-    return [k for piece in cut(text) for k in pieces.encode_piece(piece)]
+    return [k for piece in pieces.cut(text) for k in pieces.encode_piece(piece)]
 
 
 def _digests(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, memo = _table(model_file)
+        pieces, memo = _table(model_file)
         for batch in batches:
             n_tokens, ids_sha, text_sha = [], [], []
             for value in batch.column("text"):
-                found = list(map(memo.__getitem__, cut(value.as_py() or "")))
+                found = list(map(memo.__getitem__, pieces.cut(value.as_py() or "")))
                 n_tokens.append(sum(x[0] for x in found))
                 ids_sha.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
                 decoded = "".join([x[2] for x in found])
