@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weekcell.llm import bitmaps
 from weekcell.llm.components import connected_components, written
 from weekcell.llm.registry import query, table
 from weekcell.llm.words import distinct_by_row, mix, shingles, span_hashes, text_bytes, text_chunks, word_spans
@@ -82,7 +83,7 @@ def part_signatures(values: np.ndarray, rows: np.ndarray, percent: int) -> tuple
     return np.concatenate(out_rows), np.concatenate(out)
 
 
-def _sets(column: pa.Array, low: int, high: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def set_rows(column: pa.Array, low: int, high: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles by row, and a fingerprint of each set."""
     data, offsets = text_bytes(column, low, high)
     starts, lengths, word_rows = word_spans(data, offsets)
@@ -96,7 +97,7 @@ def _fingerprints(n: int):
         for batch in batches:
             column, sizes, prints, sketches = batch.column("text"), [], [], []
             for low, high in text_chunks(column):
-                values, rows, fp = _sets(column, low, high, n)
+                values, rows, fp = set_rows(column, low, high, n)
                 owner = np.repeat(np.arange(high - low), np.diff(rows))
                 counts = np.bincount(owner * SKETCH + (mix(values + np.uint64(5)) >> np.uint64(60)).astype(np.int64),
                                      minlength=(high - low) * SKETCH)
@@ -118,7 +119,7 @@ def _signatures(n: int, percent: int):
         for batch in batches:
             column = batch.column("text")
             for low, high in text_chunks(column):
-                values, rows, fp = _sets(column, low, high, n)
+                values, rows, fp = set_rows(column, low, high, n)
                 new = np.zeros(high - low, dtype=bool)
                 for k, x in enumerate(fp.tolist()):
                     if rows[k + 1] > rows[k] and x not in seen:
@@ -132,36 +133,20 @@ def _signatures(n: int, percent: int):
     return run
 
 
-def _fetch(n: int, bits):
+def fetch_sets(n: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = bits.value
         for batch in batches:
             slot = np.asarray(batch.column("slot"))
-            batch = batch.filter(pa.array((filled[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+            batch = batch.filter(pa.array(bitmaps.holds(filled, slot)))
             column = batch.column("text")
             for low, high in text_chunks(column):
-                values, rows, fp = _sets(column, low, high, n)
+                values, rows, fp = set_rows(column, low, high, n)
                 lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), lists], ["fp", "items"])
     return run
 
 
-def _slot(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-
-
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A bitmap of the ids; 1 MB for any number of them."""
-    rows = (ids.select((_slot(F.col("doc_id")) + 1).alias("slot"))  # Spark's buckets hold 1 to 32768, 32769 to 65536, ...
-            .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect())
-    out = np.zeros(FILTER_BITS // 8 + 4096, dtype=np.uint8)
-    for r in rows:
-        at = (r.bucket - 1) * 4096
-        out[at:at + 4096] = np.frombuffer(r.bits, dtype=np.uint8)
-    return out
-
-
 class NgramJoin:
     """The join over one table: its classes of equal sets, links between classes, and components.
 
@@ -206,8 +191,9 @@ class NgramJoin:
         classes = self.base.filter("n_shingles > 0").groupBy("fp").agg(
             F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
         info = written(classes.join(wanted, "fp"), "info")
-        bits = self.docs.sparkSession.sparkContext.broadcast(_filter_bits(info))
-        fetched = (self.docs.withColumn("slot", _slot(F.col("doc_id"))).mapInArrow(_fetch(self.n, bits), "fp long, items array<bigint>"))
+        bits = self.docs.sparkSession.sparkContext.broadcast(
+            bitmaps.build(info.select(bitmaps.slot(F.col("doc_id"), FILTER_BITS).alias("slot")), FILTER_BITS))
+        fetched = (self.docs.withColumn("slot", bitmaps.slot(F.col("doc_id"), FILTER_BITS)).mapInArrow(fetch_sets(self.n, bits), "fp long, items array<bigint>"))
         sets = written(fetched.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
         traits = info.select("fp", "n_shingles", "sketch")
         links, labels = None, None
