@@ -6,7 +6,8 @@ import importlib
 
 from weekcell.llm.registry import ORACLES, QUERIES
 
-MODULES = ["sharding", "token_files", "pieces", "toxicity", "languages", "quality", "ngram_join", "decontamination", "lm_score"]
+MODULES = ["sharding", "token_files", "pieces", "toxicity", "languages", "quality", "ngram_join", "decontamination", "lm_score",
+           "html_extraction"]
 
 for module in MODULES:
     importlib.import_module(f"weekcell.llm.{module}")
