@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weekcell.llm import bitmaps
 from weekcell.llm.components import written
-from weekcell.llm.ngram_join import FILTER_BITS, fetch_sets, set_rows
+from weekcell.llm.ngram_join import FILTER_BITS, fetch_sets, rows_without, set_rows
 from weekcell.llm.registry import query, table
 from weekcell.llm.words import mix, shingles, span_hashes, text_bytes, text_chunks, word_spans
 
@@ -116,7 +116,7 @@ def _document_keys(n: int, classes: list[int], shared):
 
 
 def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_found) for every item of which a document holds ``percent`` % of the shingles or more.
+    """(doc_id, fp, item_id, n_shingles, n_found) for every item of which a document holds ``percent`` % of the shingles or more.
 
     Words are runs of other bytes than ASCII white space, A-Z in lower case; an item or document of fewer than n words is one
     shingle, a null text or one without words has none and is never found. Rows that share a doc_id give their pairs once for each
@@ -141,7 +141,7 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int
              .join(known.select("item_id", "n_shingles", "items"), "item_id")
              .select("fp", "item_id", "n_shingles", F.size(F.array_intersect("held", "items")).cast("long").alias("n_found"))
              .filter(F.lit(100) * F.col("n_found") >= F.lit(percent) * F.col("n_shingles")).distinct())
-    return found.join(passed.select("fp", "doc_id", "item_id"), ["fp", "item_id"]).select("doc_id", "item_id", "n_shingles", "n_found")
+    return found.join(passed.select("fp", "doc_id", "item_id"), ["fp", "item_id"]).select("doc_id", "fp", "item_id", "n_shingles", "n_found")
 
 
 OP6_SQL = r"""
@@ -162,4 +162,10 @@ GROUP BY d.id, i.id, i.n HAVING 100 * count(*) >= 80 * i.n
 
 @query("op6_decontamination", OP6_SQL)
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_found")
+
+
+def without_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that contain no item, as they are."""
+    return rows_without(docs, contained_items(docs, items, n, percent).select("doc_id", "fp"), n)

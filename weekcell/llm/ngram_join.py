@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weekcell.llm import bitmaps
 from weekcell.llm.components import connected_components, written
@@ -226,12 +227,60 @@ class NgramJoin:
         return links
 
     def components(self) -> DataFrame:
-        """doc_id, n_shingles, component_id (least doc_id of the component) and fp for every row of ``docs``."""
+        """doc_id, n_shingles, component_id (least doc_id of the component), fp and the component's root for every row of ``docs``."""
         labels = connected_components(self.links())
         rooted = self.base.select("doc_id", "n_shingles", "fp").join(labels.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         least = (rooted.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")))
         return (rooted.join(least, "root", "left")
-                .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "fp"))
+                .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "fp", "root"))
+
+
+def _marked(n: int, keep: list[str], bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, sizes, prints = batch.column("__text"), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for low, high in text_chunks(column):
+                _, rows, fp = set_rows(column, low, high, n)
+                sizes.append(np.diff(rows))
+                prints.append(fp)
+            doubt = bitmaps.holds(bits.value, np.asarray(batch.column("__slot")))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in keep), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(prints).view(np.int64)), pa.array(doubt)],
+                [*keep, "__n", "__fp", "__doubt"])
+    return run
+
+
+def rows_without(docs: DataFrame, dropped: DataFrame, n: int, once: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` but those of ``dropped`` (doc_id, fp); of equal pairs of ``once`` (doc_id, fp), one row stays.
+
+    Most rows are told from a bitmap of fixed size to be neither, and stay where they are; the others meet the two tables in an exact join.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    dropped = written(dropped.distinct(), "dropped")
+    named = dropped.select("doc_id") if once is None else dropped.select("doc_id").union(once.select("doc_id"))
+    bits = spark.sparkContext.broadcast(bitmaps.build(named.select(bitmaps.slot(F.col("doc_id"), FILTER_BITS).alias("slot")), FILTER_BITS))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__fp", T.LongType()), T.StructField("__doubt", T.BooleanType())])
+    marked = (docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+              .withColumn("__slot", bitmaps.slot(F.col("doc_id").cast("long"), FILTER_BITS)).mapInArrow(_marked(n, columns, bits), schema))
+    doubt = marked.filter("__doubt AND __n > 0").alias("m")
+    left = doubt.join(dropped.alias("d"), F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.__fp") == F.col("d.fp")), "left_anti")
+    if once is not None:
+        left = left.dropDuplicates(["doc_id", "__fp"])
+    return marked.filter("NOT __doubt OR __n = 0").unionByName(left).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, one for each component of similar documents: that with the least doc_id (then fingerprint).
+
+    Documents without words are groups of their own and all stay.
+    """
+    labelled = NgramJoin(docs, n, percent).components().filter("n_shingles > 0")
+    first = written(labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("f"))
+                    .select("root", F.col("f.doc_id").alias("first_id"), F.col("f.fp").alias("first_fp")), "first")
+    pairs = labelled.groupBy("root", "doc_id", "fp").agg(F.count(F.lit(1)).alias("copies")).join(first, "root")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("fp") == F.col("first_fp"))
+    return rows_without(docs, pairs.filter(~is_first).select("doc_id", "fp"), n,
+                        once=pairs.filter(is_first & (F.col("copies") > 1)).select("doc_id", "fp"))
 
 
 OP2_SQL = r"""

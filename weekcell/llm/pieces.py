@@ -15,10 +15,14 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weekcell.llm.memo import Memo
 from weekcell.llm.registry import query, table
@@ -206,7 +210,7 @@ _TABLES: dict[str, tuple[PieceTable, Memo]] = {}
 
 
 def _table(model_file: str) -> tuple[PieceTable, Memo]:
-    """The worker's table, and a memo of cut pieces: number of ids, ids as text, decoded bytes."""
+    """The worker's table, and a memo of cut pieces: number of ids, ids as text, decoded text, ids as 32-bit integers."""
     if model_file not in _TABLES:
         pieces = PieceTable(model_file)
 
@@ -214,7 +218,7 @@ def _table(model_file: str) -> tuple[PieceTable, Memo]:
             ids = pieces.encode_piece(piece)
             # a mark before the piece keeps its own spaces: decode() drops one space at the start of a text only
             text = pieces.decode([pieces.ids[SPACE], *ids])
-            return len(ids), ",".join(map(str, ids)), text
+            return len(ids), ",".join(map(str, ids)), text, array("i", ids).tobytes()
         _TABLES[model_file] = pieces, Memo(compute, limit=96 << 20)
     return _TABLES[model_file]
 
@@ -243,19 +247,22 @@ def _digests(model_file: str):
 
 def _encoded(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, memo = _table(model_file)
         for batch in batches:
-            ids = [encode(x.as_py() or "", model_file) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))],
-                                             [*batch.schema.names, "ids"])
+            found = [[memo[p][3] for p in pieces.cut(x.as_py() or "")] for x in batch.column("__text")]
+            data = [b"".join(x) for x in found]
+            offsets = np.cumsum([0] + [len(x) // 4 for x in data])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(data), np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "__text"), lists],
+                                             [*(c for c in batch.schema.names if c != "__text"), "ids"])
     return run
 
 
 def with_ids(docs: DataFrame, model_file: str) -> DataFrame:
     """``docs`` with the column ``ids`` (one of that name is replaced). A null or empty text has no ids."""
-    from pyspark.sql import types as T
-
     docs = docs.drop("ids")
-    return docs.mapInArrow(_encoded(model_file), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(
+        _encoded(model_file), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def piece_digests(docs: DataFrame, model_file: str) -> DataFrame:

@@ -90,9 +90,10 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, and the text as ``__text``."""
+    """doc_id, lang, the text as ``__text``, and the whole row as ``__row``, so that no column of ``docs`` can clash."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("__text"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"),
+                       lang.alias("lang"), F.col("text").cast("string").alias("__text"))
 
 
 def word_reference(based: DataFrame) -> list[tuple[str, str, float]]:
@@ -181,8 +182,8 @@ def with_word_distance(based: DataFrame, reference: list[tuple[str, str, float]]
             F.col("__common"), F.aggregate(F.col("__common"), F.lit(0), lambda a, x: a + x["n"]))))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, the two distances and ``kept``, a row for each row of ``docs``.
+def judged(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (as ``__row``) with doc_id, the base counts, base_failed, the two distances and ``kept``.
 
     References come from all of ``docs``. A document is kept if it passes the base rules and each histogram that it is
     long enough for is near some language. Without a language in the corpus only the base rules decide.
@@ -193,8 +194,18 @@ def judge(docs: DataFrame) -> DataFrame:
     out = with_word_distance(based, [x for x in words if x[0] in known]).withColumn("class_distance", class_distance(classes))
     far = (((F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
            | ((F.col("__chars") >= LEAST_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      "word_distance", "class_distance", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, the base counts, base_failed, the two distances and ``kept``, a row for each row of ``docs``."""
+    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                               "word_distance", "class_distance", "kept")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, as they are."""
+    return judged(docs).filter("kept").select("__row.*")
 
 
 @query("op10_quality")
