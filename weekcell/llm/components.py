@@ -24,10 +24,14 @@ def _hub(edges: DataFrame) -> DataFrame:
     return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
+def _state(edges: DataFrame):
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node of ``edges`` (u, v), root being the least node of its component (itself included)."""
     edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
+    state = _state(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (_hub(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
@@ -35,7 +39,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = written(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                         .union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
         # a star forest is the one state that a round leaves as it is
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = _state(edges)
         if now == state:
             break
         state = now

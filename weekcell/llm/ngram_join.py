@@ -29,7 +29,7 @@ from weekcell.llm.words import distinct_by_row, mix, shingles, span_hashes, text
 #: Parts beyond which an empty part needs no further scheme.
 CHAIN_PARTS = 64
 #: Counters of the sketch of a set: features by hash, so that summed differences of two sketches are at most the sets' difference.
-SKETCH = 16
+SKETCH = 64
 #: Bits of the filter that picks the rows whose sets are fetched; it has this size for any input.
 FILTER_BITS = 1 << 23
 #: Star rounds before the pairs that are left are enumerated.
@@ -100,7 +100,7 @@ def _fingerprints(n: int):
             for low, high in text_chunks(column):
                 values, rows, fp = set_rows(column, low, high, n)
                 owner = np.repeat(np.arange(high - low), np.diff(rows))
-                counts = np.bincount(owner * SKETCH + (mix(values + np.uint64(5)) >> np.uint64(60)).astype(np.int64),
+                counts = np.bincount(owner * SKETCH + (mix(values + np.uint64(5)) >> np.uint64(58)).astype(np.int64),
                                      minlength=(high - low) * SKETCH)
                 sizes.append(np.diff(rows))
                 prints.append(fp)
@@ -179,19 +179,22 @@ class NgramJoin:
     def links(self) -> DataFrame:
         """Links (u, v) between classes (fingerprints) that connect just what all links connect.
 
-        Signatures are dealt by value once. Per signature, classes are compared with the least one; classes that a
+        Signatures are dealt by value once. Per signature, classes are first compared with the one that shares most signatures
+        with others (the text that the others are copies of, as a rule), then with others in turn; classes that a
         link has joined need no comparison among them, so a group of near copies costs its size, not its square. After
-        STAR_ROUNDS rounds with other centres, all pairs of classes that share a signature and are still apart are compared, if size and
+        STAR_ROUNDS rounds, all pairs of classes that share a signature and are still apart are compared, if size and
         sketch allow a link; nothing is left out.
         """
         signatures = self.docs.select("text").mapInArrow(_signatures(self.n, self.percent), "sig long, fp long")
         same = Window.partitionBy("sig")
         shared = written(signatures.withColumns({"least": F.min("fp").over(same), "most": F.max("fp").over(same)})
                          .filter("least < most").select("sig", "fp").distinct(), "shared")
+        sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+        degrees = shared.join(sizes, "sig").groupBy("fp").agg(F.sum("size").alias("degree"))
         wanted = shared.select("fp").distinct()
         classes = self.base.filter("n_shingles > 0").groupBy("fp").agg(
             F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
-        info = written(classes.join(wanted, "fp"), "info")
+        info = written(classes.join(degrees, "fp"), "info")
         bits = self.docs.sparkSession.sparkContext.broadcast(
             bitmaps.build(info.select(bitmaps.slot(F.col("doc_id"), FILTER_BITS).alias("slot")), FILTER_BITS))
         fetched = (self.docs.withColumn("slot", bitmaps.slot(F.col("doc_id"), FILTER_BITS)).mapInArrow(fetch_sets(self.n, bits), "fp long, items array<bigint>"))
@@ -200,27 +203,29 @@ class NgramJoin:
         links, labels = None, None
         for turn in range(STAR_ROUNDS + 1):
             if labels is None:
-                held = shared.withColumn("root", F.col("fp"))
+                held = shared.join(info.select("fp", "degree"), "fp").withColumn("root", F.col("fp"))
             else:
                 held = shared.join(labels.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
                 open_ = held.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("sig")
                 held = written(held.join(open_, "sig", "left_semi"), "held")
                 if held.isEmpty():
                     break
-            left, right = held.alias("l"), held.alias("r")
             if turn < STAR_ROUNDS:
-                centre = held.groupBy("sig").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(turn))).alias("c"))
+                rank = F.struct("degree", "fp") if turn == 0 else F.struct(F.xxhash64("fp", F.lit(turn)), "fp")
+                centre = held.groupBy("sig").agg(F.max_by(F.struct("fp", "root"), rank).alias("c"))
                 pairs = (held.join(centre, "sig").filter(F.col("root") != F.col("c.root"))
                          .select(F.greatest("fp", "c.fp").alias("u"), F.least("fp", "c.fp").alias("v")).distinct())
                 named = (pairs.join(traits.withColumnRenamed("fp", "u").select("u", F.struct("n_shingles", "sketch").alias("a")), "u")
                          .join(traits.withColumnRenamed("fp", "v").select("v", F.struct("n_shingles", "sketch").alias("b")), "v"))
                 pairs = named.filter(self._close("a", "b")).select("u", "v")
             else:
+                # pairs within the largest group of joined classes need no look: one side is the rest
                 rich = held.join(traits, "fp")
-                left, right = rich.alias("l"), rich.alias("r")
-                pairs = (left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.fp") > F.col("r.fp"))
-                                   & (F.col("l.root") != F.col("r.root")) & self._close("l", "r"))
-                         .select(F.col("l.fp").alias("u"), F.col("r.fp").alias("v")).distinct())
+                largest = (held.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("size"))
+                           .groupBy("sig").agg(F.max_by("root", F.struct("size", "root")).alias("largest")))
+                left, right = rich.join(largest, "sig").filter("root <> largest").alias("l"), rich.alias("r")
+                pairs = (left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.root") != F.col("r.root")) & self._close("l", "r"))
+                         .select(F.greatest("l.fp", "r.fp").alias("u"), F.least("l.fp", "r.fp").alias("v")).distinct())
             found = self._linked(pairs, sets)
             links = written(found if links is None else links.union(found), "links")
             labels = written(connected_components(links), "labels")
