@@ -70,10 +70,11 @@ def with_base(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("__text"), F.lit(""))
 
     def kept(pattern: str) -> Column:
-        return F.char_length(F.regexp_replace(text, f"[^{pattern}]+", "")).cast("long")
+        """Characters of a class, counted in what is left of the text without plain letters and spaces."""
+        return F.char_length(F.regexp_replace(F.col("__rest"), f"[^{pattern}]+", "")).cast("long")
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_NOT_SPACE))
-    full = (docs.withColumn("__words", words_of(F.col("__text")))
+    return (docs.withColumns({"__words": words_of(F.col("__text")), "__rest": F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "")})
             .withColumns({
                 "n_words": F.size("__words").cast("long"),
                 "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
@@ -81,12 +82,11 @@ def with_base(docs: DataFrame) -> DataFrame:
                 "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
                 "n_repeat_words": let(_windows(F.col("__words")), _covered).cast("long"),
                 "__upper": kept(r"\p{Lu}"), "__digit": kept(r"\p{Nd}"), "__mark": kept(r"\p{P}"), "__symbol": kept(r"\p{S}"),
-                "__chars": F.char_length(text).cast("long")}))
-    space = F.col("__chars") - F.col("word_chars")
-    return full.withColumns({
-        "base_failed": (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words")),
-        "__space": space,
-        "__letter": F.col("__chars") - space - F.col("__upper") - F.col("__digit") - F.col("__mark") - F.col("__symbol")})
+                "__chars": F.char_length(text).cast("long")})
+            .withColumns({
+                "base_failed": (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words")),
+                "__space": F.col("__chars") - F.col("word_chars"),
+                "__letter": F.col("word_chars") - F.col("__upper") - F.col("__digit") - F.col("__mark") - F.col("__symbol")}))
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -97,11 +97,11 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 
 def word_reference(based: DataFrame) -> list[tuple[str, str, float]]:
-    """(language, word, share) of each language's most common words, from all documents that pass the base rules.
+    """(language, word, share) of each language's most common words, from all documents of ten words or more.
 
     Words are lower-cased; ties go to the first in order. Comes to the driver: COMMON_WORDS rows a language.
     """
-    good = based.filter(~F.col("base_failed") & F.col("lang").isNotNull())
+    good = based.filter((F.col("n_words") >= 10) & F.col("lang").isNotNull())
     counts = (good.select("lang", F.explode("__words").alias("w")).select("lang", F.lower("w").alias("word"))
               .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     top = (counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
@@ -111,8 +111,8 @@ def word_reference(based: DataFrame) -> list[tuple[str, str, float]]:
 
 
 def class_reference(based: DataFrame) -> list[tuple[str, list[float]]]:
-    """(language, shares of CLASSES) over all documents that pass the base rules; small languages have none."""
-    good = based.filter(~F.col("base_failed") & F.col("lang").isNotNull())
+    """(language, shares of CLASSES) over all documents of ten words or more; small languages have none."""
+    good = based.filter((F.col("n_words") >= 10) & F.col("lang").isNotNull())
     sums = (good.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("__chars").alias("chars"),
                                      *[F.sum(f"__{c}").alias(c) for c in CLASSES])
             .filter(F.col("docs") >= LEAST_DOCUMENTS))
@@ -158,7 +158,7 @@ def with_word_distance(based: DataFrame, reference: list[tuple[str, str, float]]
     # one array of shares for each word, found by its place among the sorted words
     places = F.create_map(*[x for k, w in enumerate(vocabulary) for x in (F.lit(w), F.lit(k))])
     shares = F.array(*[F.array(*[F.lit(float(share.get((lang, w), 0.0))) for lang in languages]) for w in vocabulary])
-    common = F.sort_array(F.filter(F.transform(F.col("__words"), lambda w: F.lower(w)), lambda w: w.isin(vocabulary)))
+    common = F.sort_array(F.transform(F.filter(F.col("__words"), lambda w: F.lower(w).isin(vocabulary)), lambda w: F.lower(w)))
 
     def runs(x: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1),
