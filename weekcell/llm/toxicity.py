@@ -19,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekcell.llm import bitmaps
+from weekcell.llm.components import written
 from weekcell.llm.registry import query, table
 from weekcell.llm.words import mix, span_hashes, text_bytes, text_chunks
 
 #: Features that the model may use, and labelled rows that its weights are fitted to.
 MAX_FEATURES = 4096
 MAX_FIT_ROWS = 20_000
+#: Bits of the filter of labelled documents.
+LABEL_BITS = 1 << 23
 #: A feature must be in so many toxic documents.
 LEAST_DOCUMENTS = 3
 #: Lengths in bytes of the openings of a word.
@@ -240,10 +244,25 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(folds) == F.lit(fold)
 
 
+def _holds_id(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = bitmaps.holds(shared.value, np.asarray(batch.column("slot")))
+            yield batch.filter(pa.array(hit)).select(["doc_id", "text"])
+    return run
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of labelled documents outside the held-out fold (a doc_id without a checksum, null, is outside)."""
-    return (docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-            .filter(~held_out(F.col("doc_id"), 5, 0)))
+    """doc_id, text, toxic of labelled documents outside the held-out fold, as a written table (a null doc_id has no label).
+
+    A bitmap of fixed size keeps most texts without a label out of the exact join.
+    """
+    known = labels.filter("toxic IN (0, 1)").selectExpr("cast(doc_id AS long) AS doc_id", "toxic").filter(~held_out(F.col("doc_id"), 5, 0))
+    bits = docs.sparkSession.sparkContext.broadcast(
+        bitmaps.build(known.select(bitmaps.slot(F.col("doc_id"), LABEL_BITS).alias("slot")), LABEL_BITS))
+    near = (docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").filter(~held_out(F.col("doc_id"), 5, 0))
+            .withColumn("slot", bitmaps.slot(F.col("doc_id"), LABEL_BITS)).mapInArrow(_holds_id(bits), "doc_id long, text string"))
+    return written(near.join(known, "doc_id"), "labelled")
 
 
 def corpus_model(spark: SparkSession, folder: str) -> ToxicityModel:
