@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,7 +72,7 @@ def _grams(column: pa.Array, low: int, high: int) -> tuple[np.ndarray, np.ndarra
     space = out == 32
     rows, hashes = [], []
     for n in GRAMS:
-        size = len(eights) - n
+        size = max(0, len(eights) - n)
         inner = np.ones(size, dtype=bool)
         for k in range(1, n - 1):
             inner &= ~space[k:k + size]
@@ -135,22 +135,16 @@ def fit_languages(docs: DataFrame) -> LanguageFilters:
     grams = (known.mapInArrow(_count(languages), "language int, gram long, documents long")
              .groupBy("gram", "language").agg(F.sum("documents").alias("documents"))
              .withColumn("share", F.col("documents") / total)
-             .groupBy("gram").agg(F.collect_list(F.struct("language", "documents", "share")).alias("held"), F.max("share").alias("best"))
-             .select("gram", "best", F.explode("held").alias("h"))
-             .filter((F.col("h.documents") >= F.least(F.lit(LEAST_DOCUMENTS), total_of(languages, sizes))) & (F.col("h.share") >= LEAST_SHARE)
-                     & (F.col("h.share") >= LEAST_OF_BEST * F.col("best")))
-             .select(F.col("h.language").alias("language"), "gram"))
+             .withColumn("best", F.max("share").over(Window.partitionBy("gram")))
+             .filter((F.col("documents") >= F.least(F.lit(LEAST_DOCUMENTS), total)) & (F.col("share") >= LEAST_SHARE)
+                     & (F.col("share") >= LEAST_OF_BEST * F.col("best")))
+             .select("language", "gram"))
     table_rows = (grams.mapInArrow(_bits, "row long, word long, bits long")
                   .groupBy("row", "word").agg(F.bit_or("bits").alias("bits")).toArrow())
     out[table_rows["row"].to_numpy(), table_rows["word"].to_numpy()] = table_rows["bits"].to_numpy().view(np.uint64)
     return LanguageFilters(languages, out)
 
 
-def total_of(languages: list[str], sizes: dict[str, int]):
-    """The language's number of documents, so that a language of one document has n-grams too."""
-    return F.element_at(F.array(*[F.lit(sizes[x]) for x in languages]), F.col("h.language") + 1)
-
-
 def _decide(filters: LanguageFilters, text: str, keep: list[str], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, chance = shared.value
