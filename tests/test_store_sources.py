@@ -64,6 +64,12 @@ def test_W6_whole_month_replace(spark, tmp_path):
     done = store.ingest_grid(spark, path, g(9, "2023-04"), ["2023-04"], NOW)
     assert rows(done, "month", "cells", "rows", "no_location") == [("2023-04", 1, 11, 2)]
     assert rows(readers.read_store(spark, path, ["month", "n"])) == [("2023-03", 2), ("2023-03", 7), ("2023-04", 2), ("2023-04", 9)]
+    # a month that comes back empty is emptied; rows of other months are refused
+    done = store.ingest_grid(spark, path, g(4, "2023-04"), ["2023-03", "2023-04"], NOW)
+    assert rows(done, "month", "rows") == [("2023-03", 0), ("2023-04", 6)]
+    assert rows(readers.read_store(spark, path, ["month", "n"])) == [("2023-04", 2), ("2023-04", 4)]
+    with pytest.raises(Exception, match="outside"):
+        store.ingest_grid(spark, path, g(4, "2023-05"), ["2023-04"], NOW)
 
 
 @pytest.mark.parametrize("month, now, done", [("2023-04", "2023-05-04 02:00:00", False), ("2023-04", "2023-05-04 05:00:00", True),

@@ -31,11 +31,11 @@ def drained(df, name: str, spark):
 
 
 @query("T1_late_data", PULLS + f"""SELECT month, count(*) AS n, count(*) FILTER (descriptor = 'F') AS closed FROM (SELECT *, strftime(created_date, '%Y-%m') AS month FROM ({MERGED}))
-WHERE month >= '2000-12' GROUP BY month""")
+WHERE month >= '2000-11' GROUP BY month""")
 def _(spark, d):
     # each run pulls the last two stored months again, so late changes to them arrive
     old, new = first_pull(spark, d), second_pull(spark, d)
-    start = old.agg(overlap_start(F.max(month_label("created_date")), overlap=1).alias("m"))
+    start = old.agg(overlap_start(F.max(month_label("created_date")), overlap=2).alias("m"))
     again = new.where(month_label("created_date") >= start.scalar())
     merged = store.merge_newest(old, again).transform(readers.with_month)
     return merged.where(F.col("month") >= start.scalar()).groupBy("month").agg(

@@ -58,12 +58,6 @@ def majority_category(pairs: DataFrame, key: str = "cell", category: str = "boro
     return counts.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.c").alias(category))
 
 
-def cell_boroughs(segments: DataFrame, bridge: DataFrame, scope: str = "lanes_on_street") -> DataFrame:
-    """(cell, boro) over all usable segments in scope, whatever their dates."""
-    eligible = segments.where(F.col("usable") & in_scope(scope)).select("segment_id", "boro")
-    return majority_category(eligible.join(bridge.select("segment_id", "cell"), "segment_id"))
-
-
 def lane_features(rows: DataFrame, segments: DataFrame, bridge: DataFrame, scope: str = "lanes_on_street") -> DataFrame:
     """Rows (cell, month_idx) with lane metres by type, their total and the newest lane's age at month start."""
     typed = segments.where(in_scope(scope)).withColumn("_type", lane_type())

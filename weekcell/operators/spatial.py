@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weekcell.functions import geo
 from weekcell.functions.predicates import active_at
-from weekcell.operators.scale import assert_empty, first_row, salted_join
+from weekcell.operators.scale import assert_empty, salted_join
 
 TOLERANCE_M = 40.0
 BUCKET_M = 100.0
@@ -142,12 +142,6 @@ def snap(points: DataFrame, pieces: DataFrame, tolerance: float = TOLERANCE_M, e
                          F.col("_best.dist_m").alias("snap_dist_m"), "cell", reason.alias("drop_reason"))
 
 
-def nearest_segment(points: DataFrame, pieces: DataFrame, tolerance: float = TOLERANCE_M) -> DataFrame:
-    """(point_id, segment_id, dist_m) of the nearest segment, dates ignored; ties to the lower id."""
-    near = within_distance(points, pieces, tolerance, salts=SALTS, spread=["point_id"])
-    return first_row(near, ["point_id"], ["dist_m", "segment_id"], [])
-
-
 def drop_stats(snapped: DataFrame) -> DataFrame:
     reason = F.col("drop_reason")
     moved = F.col("cell").isNotNull() & (F.col("cell") != F.col("raw_cell"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weekcell.functions.calendar import day_of_week, label_index, month_label
-from weekcell.operators.scale import assert_empty
 from weekcell.operators.trailing import trailing_ratio
 
 WINDOW_MONTHS = 3
@@ -89,15 +88,6 @@ def apply_weekly(rows: DataFrame, factors: DataFrame) -> DataFrame:
     return scaled.withColumn("mu", F.col("mu") * F.col("_f")).drop("_f", "_dow")
 
 
-def weekly_recalibrated(rows: DataFrame, incidents: DataFrame, target_months: list[str],
-                        window_days: int = WINDOW_DAYS, lag_days: int = LAG_DAYS) -> DataFrame:
-    """Rows of the target months, rescaled; earlier months only feed the windows."""
-    daily = daily_totals(rows, incidents)
-    days = daily.where(month_label("day").isin(target_months)).select("day")
-    factors = weekly_factor(daily, days, window_days, lag_days)
-    return apply_weekly(rows.where(F.col("month").isin(target_months)), factors)
-
-
 def factor_as_of(daily: DataFrame, as_of: str, window_days: int = WINDOW_DAYS, lag_days: int = LAG_DAYS) -> DataFrame:
     """One row (window_start, window_end, observed, predicted, factor) of the window ending ``lag_days`` before."""
     end = F.date_sub(F.to_date(F.lit(as_of)), lag_days)
@@ -108,11 +98,3 @@ def factor_as_of(daily: DataFrame, as_of: str, window_days: int = WINDOW_DAYS, l
     ratio = F.when(F.col("days") == window_days, F.col("observed") / F.col("predicted")).otherwise(
         F.raise_error(F.lit("recalibration window is not covered by daily totals")).cast("double"))
     return one.withColumn("factor", ratio).drop("days")
-
-
-def bias(rows: DataFrame) -> DataFrame:
-    return rows.agg((F.sum("y") / F.sum("mu")).alias("bias"))
-
-
-def check_covered(daily: DataFrame, days: DataFrame) -> None:
-    assert_empty(days.select("day").join(daily, "day", "left_anti"), "day without totals")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weekcell.functions import geo
-from weekcell.functions.calendar import (DAY_NAMES, LOCAL_ZONE, SLOTS, day_of_week, hour_of_day, label_index, parse_slot)
+from weekcell.functions.calendar import (DAY_NAMES, LOCAL_ZONE, SLOTS, day_of_week, hour_of_day, parse_slot)
 from weekcell.functions.predicates import LANE_TYPES, code_label
 from weekcell.operators.scale import assert_empty, exact_quantiles
 
@@ -36,9 +36,9 @@ def reporting_index(raw: DataFrame, value: str = "value") -> DataFrame:
 
 def historical_rates(cells: DataFrame, panel: DataFrame, month: str) -> DataFrame:
     """(cell, hour_of_week, historical, historical_hours) over the 12 months before ``month``; no history is 0."""
-    idx = label_index("month")
-    target = label_index(F.lit(month))
-    used = panel.where((idx >= target - 12) & (idx < target))
+    year, number = (int(x) for x in month.split("-"))
+    # month labels sort as text, so two literals reach the scan
+    used = panel.where((F.col("month") >= f"{year - 1:04d}-{number:02d}") & (F.col("month") < month))
     sums = used.groupBy("cell", F.col("hour_of_week").cast("int").alias("hour_of_week")).agg(
         F.sum("y").alias("y"), F.sum("exposure").alias("e"))
     out = slot_spine(cells).join(sums, ["cell", "hour_of_week"], "left")

@@ -67,10 +67,6 @@ def background_grid(events: DataFrame, pair: tuple[str, str], start: str | None,
             .agg(F.count("*").alias("n")))
 
 
-def read_event_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.schema(text_schema(EVENT_COLUMNS)).json(paths)
-
-
 def normalize_events(raw: DataFrame, source: str, ingested_at: Column | None = None) -> DataFrame:
     """Text rows -> event schema: ISO times, numbers, text, lineage columns. A malformed value fails."""
     have = set(raw.columns)

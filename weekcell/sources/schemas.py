@@ -51,12 +51,6 @@ GRID_SCHEMA = T.StructType([
     T.StructField("month_complete", T.BooleanType()), T.StructField("source_dataset", T.StringType()),
     T.StructField("ingested_at", T.TimestampType())])
 
-CONTROL_SCHEMA = T.StructType([
-    T.StructField("store", T.StringType()), T.StructField("month", T.StringType()),
-    T.StructField("pulled_at", T.TimestampType()), T.StructField("complete", T.BooleanType()),
-    T.StructField("rows", T.LongType())])
-
-
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of ``schema`` in order; absent ones become typed nulls, present ones are cast."""
     have = set(df.columns)

@@ -93,8 +93,17 @@ def ingest_rows(spark: SparkSession, path: str, new: DataFrame, months: list[str
 
 def ingest_grid(spark: SparkSession, path: str, grid: DataFrame, months: list[str], now: datetime,
                 store: str = "background") -> DataFrame:
-    """Replace whole months of grid counts; returns per-month totals."""
-    write_months(grid, path, sort=["grid_lat", "grid_lon"])
+    """Replace whole months of grid counts; returns per-month totals.
+
+    A requested month without rows in the pull is emptied; rows outside the requested months fail.
+    """
+    assert_empty(grid.where(~F.coalesce(F.col("month").isin(months), F.lit(False))), "rows outside the requested months")
+    present = {r["month"] for r in grid.select("month").distinct().collect()}  # calendar-sized
+    if present:
+        write_months(grid, path, sort=["grid_lat", "grid_lon"])
+    none = grid.drop("month").limit(0)
+    for month in sorted(set(months) - present):
+        none.write.mode("overwrite").parquet(f"{path}/month={month}")
     stored = read_store(spark, path, months=months)
     per = stored.groupBy("month").agg(
         F.count_if(F.col("grid_lat").isNotNull()).alias("cells"), F.sum("n").alias("rows"),

@@ -104,13 +104,13 @@ def upsert_stream(stream: DataFrame, store: str, checkpoint: str, ts: str = "cre
     """Drain the available files into the month store: each micro-batch is one idempotent upsert.
 
     Late rows land in the month they belong to; only touched months are rewritten.
-    A key delivered twice in one batch keeps one row.
+    A row delivered twice in one batch counts once; two versions of a key in one batch fail, since neither is known to be newer.
     """
 
     def one(batch: DataFrame, _epoch: int) -> None:
         months = [r["m"] for r in batch.select(month_label(ts).alias("m")).distinct().collect()]  # calendar-sized
         if months:
-            ingest_rows(batch.sparkSession, store, batch.dropDuplicates([key]), sorted(months),
+            ingest_rows(batch.sparkSession, store, batch.distinct(), sorted(months),
                         now or datetime.now(timezone.utc), ts, key)
 
     return (stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
