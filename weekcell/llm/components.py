@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node of ``edges`` (u, v), root being the least node of its component (itself included)."""
     edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(edges)
-    while True:
+    while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (_hub(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
         small = _hub(large)

@@ -189,6 +189,8 @@ class NgramJoin:
         same = Window.partitionBy("sig")
         shared = written(signatures.withColumns({"least": F.min("fp").over(same), "most": F.max("fp").over(same)})
                          .filter("least < most").select("sig", "fp").distinct(), "shared")
+        if shared.isEmpty():
+            return shared.selectExpr("fp AS u", "fp AS v")
         sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
         degrees = shared.join(sizes, "sig").groupBy("fp").agg(F.sum("size").alias("degree"))
         wanted = shared.select("fp").distinct()
@@ -227,6 +229,9 @@ class NgramJoin:
                 pairs = (left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.root") != F.col("r.root")) & self._close("l", "r"))
                          .select(F.greatest("l.fp", "r.fp").alias("u"), F.least("l.fp", "r.fp").alias("v")).distinct())
             found = self._linked(pairs, sets)
+            found = written(found, "found")
+            if links is not None and found.isEmpty():
+                continue  # nothing is joined that was apart
             links = written(found if links is None else links.union(found), "links")
             labels = written(connected_components(links), "labels")
         return links
