@@ -205,12 +205,12 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments with ``start``, the number of ids in all segments before.
 
-    Sums of whole parts are ordered in one small window: a row for each part that was written, nothing else.
+    Sums of whole parts are ordered in one small window and broadcast: a row for each task that wrote, nothing else.
     """
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     parts = (segments.groupBy("part").agg(F.sum("n_ids").alias("held"))
              .withColumn("before", F.sum("held").over(Window.orderBy("part")) - F.col("held")).select("part", "before"))
-    return segments.join(parts, "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
+    return segments.join(F.broadcast(parts), "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
