@@ -7,7 +7,7 @@ set enumerates its signatures in its own instance and in the next. (This is the
 signatures; the exact check makes up for its weaker filter.)
 
 Two sets could agree only on a part that is empty in both. An empty part gives no signature; a set that has one enumerates another scheme with another hash,
-until a scheme leaves it no empty part, so the two meet there. Past CHAIN_PARTS parts the chance that k differences
+until a scheme leaves it no empty part, so the two meet there (at the latest in scheme SCHEMES, where empty parts sign too). Past CHAIN_PARTS parts the chance that k differences
 hit every other part is below 1e-27, and no further scheme is made.
 """
 
@@ -28,6 +28,8 @@ from weekcell.llm.words import distinct_by_row, mix, shingles, span_hashes, text
 
 #: Parts beyond which an empty part needs no further scheme.
 CHAIN_PARTS = 64
+#: Schemes of a set at most; in the last one its empty parts sign too (which low similarities alone need).
+SCHEMES = 12
 #: Counters of the sketch of a set: features by hash, so that summed differences of two sketches are at most the sets' difference.
 SKETCH = 64
 #: Bits of the filter that picks the rows whose sets are fetched; it has this size for any input.
@@ -78,7 +80,16 @@ def part_signatures(values: np.ndarray, rows: np.ndarray, percent: int) -> tuple
             out.append(mix(mix(content + where) ^ seed[who]))
             out_rows.append(todo[who])
             filled = np.bincount(who, minlength=len(todo))
-            todo, scheme = todo[(filled < parts[todo]) & (parts[todo] <= CHAIN_PARTS)], scheme + 1
+            left = (filled < parts[todo]) & (parts[todo] <= CHAIN_PARTS)
+            if scheme == SCHEMES - 1:  # sets that no scheme fills: here the empty parts sign too
+                rest = np.flatnonzero(left)
+                n = parts[todo[rest]]
+                every = np.repeat(rest << 32, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                empty = np.setdiff1d(every, key[first], assume_unique=True)
+                out.append(mix(mix((empty & 0xFFFFFFFF).astype(np.uint64)) ^ seed[empty >> 32]))
+                out_rows.append(todo[empty >> 32])
+                break
+            todo, scheme = todo[left], scheme + 1
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(out_rows), np.concatenate(out)
