@@ -125,7 +125,7 @@ def _score(order: int, backoff: float, least: int):
         log[todo] += np.log(count[0][todo])
         bare = todo
         owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-        sums = [np.bincount(owner, weights=x, minlength=len(rows) - 1) for x in (log, bare.astype(float))]
+        sums = [np.bincount(owner, weights=x, minlength=len(rows) - 1).astype(float) for x in (log, bare)]
         return pa.table({"doc_id": block.column("doc_id"), "n_words": pa.array(np.diff(rows).astype(np.int64)),
                          "partial": pa.array(sums[0]), "n_bare": pa.array(sums[1].astype(np.int64))})
     return run
