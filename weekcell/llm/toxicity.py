@@ -169,7 +169,7 @@ def fit_bags(toxic: np.ndarray, bags: list[np.ndarray], sentences: np.ndarray, n
 def fit_toxicity(labelled: DataFrame) -> ToxicityModel:
     """A model from rows (doc_id, text, toxic); rows without a label are left out, a null text is empty.
 
-    Feature counts come from all rows; weights from the MAX_FIT_ROWS rows whose doc_id has the smallest hash, as small
+    Feature counts come from all rows; weights from the MAX_FIT_ROWS rows with the smallest hash of doc_id and text, as small
     integer lists. Without labels, or with one kind only, every sentence gets the same score.
     """
     rows = labelled.filter("toxic IN (0, 1)").selectExpr("cast(doc_id AS long) AS doc_id", "coalesce(cast(text AS string), '') AS text",
@@ -185,8 +185,11 @@ def fit_toxicity(labelled: DataFrame) -> ToxicityModel:
               .withColumn("worth", F.col("bad") * F.log(rate_bad / rate_good))
               .orderBy(F.desc("worth"), "feature").limit(MAX_FEATURES).select("feature").toPandas())
     features = np.sort(chosen["feature"].to_numpy(dtype=np.int64).view(np.uint64))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT_ROWS) if bad + good > MAX_FIT_ROWS else rows
-    got = sample.select("text", "toxic").mapInArrow(_bags(features), "toxic int, bag array<int>, sentences long").toPandas()
+    # the sample's limit is found from hashes alone, so that no text moves; equal rows may share the last hash
+    h = F.xxhash64("doc_id", "text")
+    last = rows.select(h.alias("h")).orderBy("h").limit(MAX_FIT_ROWS).agg(F.max("h")).first()[0]
+    sample = rows.filter(h <= F.lit(last))
+    got = sample.select("text", "toxic").mapInArrow(_bags(features), "toxic int, bag array<int>, sentences long").limit(MAX_FIT_ROWS).toPandas()
     w, b = fit_bags(got["toxic"].to_numpy(), list(got["bag"]), got["sentences"].to_numpy(), len(features))
     return ToxicityModel(features, w, b)
 
