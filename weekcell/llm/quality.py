@@ -96,13 +96,14 @@ def prepared(docs: DataFrame) -> DataFrame:
                        lang.alias("lang"), F.col("text").cast("string").alias("__text"))
 
 
-def word_reference(based: DataFrame) -> list[tuple[str, str, float]]:
-    """(language, word, share) of each language's most common words, from all documents of ten words or more.
+def word_reference(docs: DataFrame) -> list[tuple[str, str, float]]:
+    """Of ``prepared`` rows: (language, word, share) of each language's most common words, from all documents of ten words or more.
 
     Words are lower-cased; ties go to the first in order. Comes to the driver: COMMON_WORDS rows a language.
     """
-    good = based.filter((F.col("n_words") >= 10) & F.col("lang").isNotNull())
-    counts = (good.select("lang", F.explode("__words").alias("w")).select("lang", F.lower("w").alias("word"))
+    # lowered as a whole and split once: a filter on the number of words would split every text again
+    words = let(words_of(F.lower("__text")), lambda w: F.when(F.size(w) >= 10, w))
+    counts = (docs.filter(F.col("lang").isNotNull()).select("lang", F.explode(words).alias("word"))
               .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     top = (counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
            .filter(F.col("r") <= COMMON_WORDS))
@@ -112,9 +113,12 @@ def word_reference(based: DataFrame) -> list[tuple[str, str, float]]:
 
 def class_reference(based: DataFrame) -> list[tuple[str, list[float]]]:
     """(language, shares of CLASSES) over all documents of ten words or more; small languages have none."""
-    good = based.filter((F.col("n_words") >= 10) & F.col("lang").isNotNull())
-    sums = (good.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("__chars").alias("chars"),
-                                     *[F.sum(f"__{c}").alias(c) for c in CLASSES])
+    def of_good(value: Column) -> Column:  # no filter, which would compute the words twice
+        return F.sum(F.when(F.col("n_words") >= 10, value))
+
+    sums = (based.filter(F.col("lang").isNotNull()).groupBy("lang")
+            .agg(of_good(F.lit(1)).alias("docs"), of_good(F.col("__chars")).alias("chars"),
+                 *[of_good(F.col(f"__{c}")).alias(c) for c in CLASSES])
             .filter(F.col("docs") >= LEAST_DOCUMENTS))
     return [(r.lang, [r[c] / r.chars for c in CLASSES]) for r in sums.collect()]
 
@@ -158,7 +162,7 @@ def with_word_distance(based: DataFrame, reference: list[tuple[str, str, float]]
     # one array of shares for each word, found by its place among the sorted words
     places = F.create_map(*[x for k, w in enumerate(vocabulary) for x in (F.lit(w), F.lit(k))])
     shares = F.array(*[F.array(*[F.lit(float(share.get((lang, w), 0.0))) for lang in languages]) for w in vocabulary])
-    common = F.sort_array(F.transform(F.filter(F.col("__words"), lambda w: F.lower(w).isin(vocabulary)), lambda w: F.lower(w)))
+    common = F.sort_array(F.filter(F.transform("__words", lambda w: F.lower(w)), lambda w: w.isin(vocabulary)))
 
     def runs(x: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1),
@@ -169,17 +173,19 @@ def with_word_distance(based: DataFrame, reference: list[tuple[str, str, float]]
     def divergences(pairs: Column, total: Column) -> Column:
         """Per language: sums over the words present, and what the reference holds of the others."""
         def add(acc: Column, pair: Column) -> Column:
-            p = pair["n"] / total
-            return let(F.get(shares, F.element_at(places, pair["w"])), lambda q: F.zip_with(acc, q, lambda a, b: F.struct(
-                (a["s"] + _half(p, b) + _half(b, p)).alias("s"), (a["seen"] + b).alias("seen"))))
+            def with_share(p: Column, q: Column) -> Column:
+                """A word that the language doesn't have adds p * log2(2)."""
+                return F.zip_with(acc, q, lambda a, b: F.struct(
+                    (a["s"] + F.when(b > 0, _half(p, b) + _half(b, p)).otherwise(p)).alias("s"), (a["seen"] + b).alias("seen")))
+            return let(pair["n"] / total, lambda p: let(F.get(shares, F.element_at(places, pair["w"])), lambda q: with_share(p, q)))
         zero = F.array(*[F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("seen")) for _ in languages])
         return F.aggregate(pairs, zero, add, lambda acc: F.array_min(F.transform(
             acc, lambda a: _distance(a["s"] + F.greatest(F.lit(0.0), F.lit(1.0) - a["seen"])))))
 
     return based.withColumn("__common", let(common, lambda x: F.when(F.size(x) > 0, runs(x)).otherwise(
         F.array().cast("array<struct<w:string,n:int>>")))).withColumn(
-        "word_distance", F.when(F.size("__common") == 0, F.lit(1.0)).otherwise(divergences(
-            F.col("__common"), F.aggregate(F.col("__common"), F.lit(0), lambda a, x: a + x["n"]))))
+        "word_distance", F.when(F.size("__common") == 0, F.lit(1.0)).otherwise(let(
+            F.aggregate(F.col("__common"), F.lit(0), lambda a, x: a + x["n"]), lambda total: divergences(F.col("__common"), total))))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -188,8 +194,9 @@ def judged(docs: DataFrame) -> DataFrame:
     References come from all of ``docs``. A document is kept if it passes the base rules and each histogram that it is
     long enough for is near some language. Without a language in the corpus only the base rules decide.
     """
-    based = with_base(prepared(docs))
-    words, classes = word_reference(based), class_reference(based)
+    rows = prepared(docs)
+    based = with_base(rows)
+    words, classes = word_reference(rows), class_reference(based)
     known = {lang for lang, _ in classes}
     out = with_word_distance(based, [x for x in words if x[0] in known]).withColumn("class_distance", class_distance(classes))
     far = (((F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
