@@ -4,9 +4,9 @@ A document is a bag of sentences. A sentence's score is logistic in the words it
 noisy-or of its sentences, 1 - prod(1 - p). Only documents have labels, yet training the two together gives sentence scores
 that say where the document offends.
 
-Features are hashes of a word and of its first bytes (so that inflected forms share features). Which of them count is
-found from all labelled rows: document counts by label, added up by Spark. The weights are then fitted to a bounded
-sample of the labelled rows, held as lists of selected features.
+The model is learned from a bounded sample of the labels (MAX_LABELS). Features are hashes of a word and of its first bytes
+(so that inflected forms share features). Which of them count is found from document counts by label, added up by Spark. The
+weights are then fitted to at most MAX_FIT_ROWS of these documents, held as lists of selected features.
 """
 
 from __future__ import annotations
@@ -19,20 +19,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcell.llm import bitmaps
 from weekcell.llm.components import written
 from weekcell.llm.registry import query, table
 from weekcell.llm.words import mix, span_hashes, text_bytes, text_chunks
 
-#: Features that the model may use, and labelled rows that its weights are fitted to.
+#: Features that the model may use, labels that it is learned from (features' counts), and rows of these that its weights are fitted to.
 MAX_FEATURES = 4096
+MAX_LABELS = 60_000
 MAX_FIT_ROWS = 20_000
-#: Bits of the filter of labelled documents.
-LABEL_BITS = 1 << 23
 #: A feature must be in so many toxic documents.
 LEAST_DOCUMENTS = 3
 #: Lengths in bytes of the openings of a word.
 OPENINGS = (4, 5, 6, 7, 8)
+#: Buckets of the hash that picks labels.
+_BUCKETS = 1 << 32
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[128:] = True
@@ -247,25 +247,18 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(folds) == F.lit(fold)
 
 
-def _holds_id(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = bitmaps.holds(shared.value, np.asarray(batch.column("slot")))
-            yield batch.filter(pa.array(hit)).select(["doc_id", "text"])
-    return run
-
-
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> DataFrame:
     """doc_id, text, toxic of labelled documents outside the held-out fold, as a written table (a null doc_id has no label).
 
-    A bitmap of fixed size keeps most texts without a label out of the exact join.
+    Of more than ``most`` labels, those with a hash of doc_id under a limit are taken (``most`` on average; repeated labels count once),
+    so that the labels can be broadcast and no text moves. A document with both labels counts as one of each.
     """
-    known = labels.filter("toxic IN (0, 1)").selectExpr("cast(doc_id AS long) AS doc_id", "toxic").filter(~held_out(F.col("doc_id"), 5, 0))
-    bits = docs.sparkSession.sparkContext.broadcast(
-        bitmaps.build(known.select(bitmaps.slot(F.col("doc_id"), LABEL_BITS).alias("slot")), LABEL_BITS))
-    near = (docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").filter(~held_out(F.col("doc_id"), 5, 0))
-            .withColumn("slot", bitmaps.slot(F.col("doc_id"), LABEL_BITS)).mapInArrow(_holds_id(bits), "doc_id long, text string"))
-    return written(near.join(known, "doc_id"), "labelled")
+    known = (labels.filter("toxic IN (0, 1)").selectExpr("cast(doc_id AS long) AS doc_id", "cast(toxic AS int) AS toxic")
+             .filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).distinct())
+    limit = int(_BUCKETS * min(1.0, most / max(1, known.count())))
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS)) < limit)
+    return written(docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").join(F.broadcast(chosen), "doc_id"),
+                   "labelled")
 
 
 def corpus_model(spark: SparkSession, folder: str) -> ToxicityModel:
