@@ -18,6 +18,8 @@ from weekcell.llm.registry import query, table
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 _SPLIT, _NOT_SPACE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+#: Ten words at least; reads no further than the tenth.
+_TEN_WORDS = rf"^[\x20\x09-\x0D]*+(?:{_NOT_SPACE}++{_SPLIT}+){{9}}{_NOT_SPACE}"
 
 #: Most frequent words of a language that its reference holds.
 COMMON_WORDS = 64
@@ -62,31 +64,43 @@ def _windows(words: Column) -> Column:
         F.sequence(F.lit(0), F.size(h) - 5), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(5)]))))
 
 
+def _rest(text: Column) -> Column:
+    """A text without plain letters and spaces."""
+    return F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "")
+
+
+def _kept(pattern: str) -> Column:
+    """Characters of a class, counted in what is left of the text without plain letters and spaces."""
+    return F.char_length(F.regexp_replace(F.col("__rest"), f"[^{pattern}]+", "")).cast("long")
+
+
+def _classes() -> dict[str, Column]:
+    return {"__upper": _kept(r"\p{Lu}"), "__digit": _kept(r"\p{Nd}"), "__mark": _kept(r"\p{P}"), "__symbol": _kept(r"\p{S}")}
+
+
+def _others() -> dict[str, Column]:
+    return {"__space": F.col("__chars") - F.col("word_chars"),
+            "__letter": F.col("word_chars") - F.col("__upper") - F.col("__digit") - F.col("__mark") - F.col("__symbol")}
+
+
 def with_base(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang) with __words, the base counts and the counts of character classes.
 
     A null text has no words and no lines. Lines that hold no word are never repeated lines.
     """
     text = F.coalesce(F.col("__text"), F.lit(""))
-
-    def kept(pattern: str) -> Column:
-        """Characters of a class, counted in what is left of the text without plain letters and spaces."""
-        return F.char_length(F.regexp_replace(F.col("__rest"), f"[^{pattern}]+", "")).cast("long")
-
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_NOT_SPACE))
-    return (docs.withColumns({"__words": words_of(F.col("__text")), "__rest": F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "")})
+    return (docs.withColumns({"__words": words_of(F.col("__text")), "__rest": _rest(text)})
             .withColumns({
                 "n_words": F.size("__words").cast("long"),
                 "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
-                "n_symbols": kept(r"#*$%&|<>"),
+                "n_symbols": _kept(r"#*$%&|<>"),
                 "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
                 "n_repeat_words": let(_windows(F.col("__words")), _covered).cast("long"),
-                "__upper": kept(r"\p{Lu}"), "__digit": kept(r"\p{Nd}"), "__mark": kept(r"\p{P}"), "__symbol": kept(r"\p{S}"),
-                "__chars": F.char_length(text).cast("long")})
+                **_classes(), "__chars": F.char_length(text).cast("long")})
             .withColumns({
                 "base_failed": (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words")),
-                "__space": F.col("__chars") - F.col("word_chars"),
-                "__letter": F.col("word_chars") - F.col("__upper") - F.col("__digit") - F.col("__mark") - F.col("__symbol")}))
+                **_others()}))
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -102,8 +116,8 @@ def word_reference(docs: DataFrame) -> list[tuple[str, str, float]]:
     Words are lower-cased; ties go to the first in order. Comes to the driver: COMMON_WORDS rows a language.
     """
     # lowered as a whole and split once: a filter on the number of words would split every text again
-    words = let(words_of(F.lower("__text")), lambda w: F.when(F.size(w) >= 10, w))
-    counts = (docs.filter(F.col("lang").isNotNull()).select("lang", F.explode(words).alias("word"))
+    counts = (docs.filter(F.col("lang").isNotNull() & F.col("__text").rlike(_TEN_WORDS))
+              .select("lang", F.explode(words_of(F.lower("__text"))).alias("word"))
               .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     top = (counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
            .filter(F.col("r") <= COMMON_WORDS))
@@ -111,14 +125,15 @@ def word_reference(docs: DataFrame) -> list[tuple[str, str, float]]:
     return [(r.lang, r.word, r.share) for r in held.select("lang", "word", "share").collect()]
 
 
-def class_reference(based: DataFrame) -> list[tuple[str, list[float]]]:
-    """(language, shares of CLASSES) over all documents of ten words or more; small languages have none."""
-    def of_good(value: Column) -> Column:  # no filter, which would compute the words twice
-        return F.sum(F.when(F.col("n_words") >= 10, value))
-
-    sums = (based.filter(F.col("lang").isNotNull()).groupBy("lang")
-            .agg(of_good(F.lit(1)).alias("docs"), of_good(F.col("__chars")).alias("chars"),
-                 *[of_good(F.col(f"__{c}")).alias(c) for c in CLASSES])
+def class_reference(docs: DataFrame) -> list[tuple[str, list[float]]]:
+    """Of ``prepared`` rows: (language, shares of CLASSES) over all documents of ten words or more; small languages have none."""
+    text = F.col("__text")
+    counted = (docs.filter(F.col("lang").isNotNull() & text.rlike(_TEN_WORDS))
+               .select("lang", F.char_length(text).cast("long").alias("__chars"), _rest(text).alias("__rest"),
+                       F.char_length(F.regexp_replace(text, _SPLIT, "")).cast("long").alias("word_chars"))
+               .withColumns(_classes()).withColumns(_others()))
+    sums = (counted.groupBy("lang")
+            .agg(F.count(F.lit(1)).alias("docs"), F.sum("__chars").alias("chars"), *[F.sum(f"__{c}").alias(c) for c in CLASSES])
             .filter(F.col("docs") >= LEAST_DOCUMENTS))
     return [(r.lang, [r[c] / r.chars for c in CLASSES]) for r in sums.collect()]
 
@@ -196,7 +211,7 @@ def judged(docs: DataFrame) -> DataFrame:
     """
     rows = prepared(docs)
     based = with_base(rows)
-    words, classes = word_reference(rows), class_reference(based)
+    words, classes = word_reference(rows), class_reference(rows)
     known = {lang for lang, _ in classes}
     out = with_word_distance(based, [x for x in words if x[0] in known]).withColumn("class_distance", class_distance(classes))
     far = (((F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
