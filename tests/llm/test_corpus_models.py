@@ -185,3 +185,25 @@ def test_quality_odd_rows(spark, odd):
     assert quality.judge(odd.limit(0)).collect() == []
     alone = odd.withColumn("lang", F.lit(None).cast("string"))
     assert all(r.kept == (not r.base_failed) for r in quality.judge(alone).collect())
+
+
+def test_references_leave_out_failed_documents_and_copies(spark, folder):
+    """Neither junk that fails the base rules nor copies of a passing text move a distance of the other documents."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    names = " ".join(f"zq{k}x" for k in range(64))
+    once = [(10_000, " ".join(f"pass{k}" for k in range(70)), "en")]
+    junk = [(20_000 + k, " ".join([names] * 20), "en") for k in range(100)]
+    copies = [(30_000 + k, *once[0][1:]) for k in range(100)]
+    plain = docs.union(spark.createDataFrame(once, docs.schema))
+    want = {(r.doc_id, r.word_distance, r.class_distance, r.kept) for r in quality.judge(plain).collect()}
+    got = quality.judge(plain.union(spark.createDataFrame(junk + copies, docs.schema))).collect()
+    assert {(r.doc_id, r.word_distance, r.class_distance, r.kept) for r in got if r.doc_id < 20_000} == want
+    assert sum(r.base_failed for r in got if 20_000 <= r.doc_id < 30_000) == 100
+    good = {(d.lang, d.text) for d in plain.collect() if d.lang and not counts(d.text)[5]}
+    held = Counter((lang, w.lower()) for lang, text in good for w in re.split(r"[\x20\x09-\x0D]+", text) if w)
+    based = quality._based(plain)
+    for lang in {x for x, _ in good}:
+        top = sorted(((w, n) for (x, w), n in held.items() if x == lang), key=lambda x: (-x[1], x[0]))[:quality.COMMON_WORDS]
+        total = sum(n for _, n in top)
+        found = {w: s for x, w, s in quality.word_reference(based, quality.distinct_texts(based)) if x == lang}
+        assert found.keys() == {w for w, _ in top} and all(math.isclose(found[w], n / total) for w, n in top)

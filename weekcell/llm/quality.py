@@ -12,14 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weekcell.llm.components import written
 from weekcell.llm.registry import query, table
 
 #: Characters that part words, and those that count as symbols.
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 _SPLIT, _NOT_SPACE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
-#: Ten words at least; reads no further than the tenth.
-_TEN_WORDS = rf"^[\x20\x09-\x0D]*+(?:{_NOT_SPACE}++{_SPLIT}+){{9}}{_NOT_SPACE}"
 
 #: Most frequent words of a language that its reference holds.
 COMMON_WORDS = 64
@@ -110,14 +109,37 @@ def prepared(docs: DataFrame) -> DataFrame:
                        lang.alias("lang"), F.col("text").cast("string").alias("__text"))
 
 
-def word_reference(docs: DataFrame) -> list[tuple[str, str, float]]:
-    """Of ``prepared`` rows: (language, word, share) of each language's most common words, from all documents of ten words or more.
+def _based(docs: DataFrame) -> DataFrame:
+    """Of ``docs``: the rows of ``with_base`` without their text (``__row`` holds it) as a written table, so that the verdict of the base
+    rules is computed once; with a row number and a hash of the text."""
+    rows = (with_base(prepared(docs)).withColumns({"__key": F.xxhash64("__text"), "__id": F.monotonically_increasing_id()})
+            .drop("__words", "__rest", "__text"))
+    return written(rows, "based", compression="zstd")
 
-    Words are lower-cased; ties go to the first in order. Comes to the driver: COMMON_WORDS rows a language.
+
+def _text(based: DataFrame) -> DataFrame:
+    return based.withColumn("__text", F.col("__row")["text"].cast("string"))
+
+
+def distinct_texts(based: DataFrame) -> DataFrame:
+    """Of each language the documents that pass the base rules, a row for each distinct text: least row number and character counts.
+
+    Texts are known by a 64-bit hash. Folded before they are dealt, so a group of copies is no task of its own.
+    """
+    return (based.filter(~F.col("base_failed") & F.col("lang").isNotNull()).groupBy("lang", "__key")
+            .agg(*[F.min(c).alias(c) for c in ("__id", "__chars", *[f"__{c}" for c in CLASSES])]))
+
+
+def word_reference(based: DataFrame, texts: DataFrame) -> list[tuple[str, str, float]]:
+    """(language, word, share) of each language's most common words, from each distinct text that passes the base rules once.
+
+    ``texts`` are the ``distinct_texts`` of ``based``. Words are lower-cased; ties go to the first in order. Comes to the driver:
+    COMMON_WORDS rows a language. The numbers of further copies are written, so that their size says whether they can be broadcast
+    to the texts.
     """
-    # lowered as a whole and split once: a filter on the number of words would split every text again
-    counts = (docs.filter(F.col("lang").isNotNull() & F.col("__text").rlike(_TEN_WORDS))
-              .select("lang", F.explode(words_of(F.lower("__text"))).alias("word"))
+    good = based.filter(~F.col("base_failed") & F.col("lang").isNotNull())
+    copies = written(good.select("__id").join(texts.select("__id"), "__id", "left_anti"), "copies")
+    counts = (_text(good.join(copies, "__id", "left_anti")).select("lang", F.explode(words_of(F.lower("__text"))).alias("word"))
               .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     top = (counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
            .filter(F.col("r") <= COMMON_WORDS))
@@ -125,14 +147,9 @@ def word_reference(docs: DataFrame) -> list[tuple[str, str, float]]:
     return [(r.lang, r.word, r.share) for r in held.select("lang", "word", "share").collect()]
 
 
-def class_reference(docs: DataFrame) -> list[tuple[str, list[float]]]:
-    """Of ``prepared`` rows: (language, shares of CLASSES) over all documents of ten words or more; small languages have none."""
-    text = F.col("__text")
-    counted = (docs.filter(F.col("lang").isNotNull() & text.rlike(_TEN_WORDS))
-               .select("lang", F.char_length(text).cast("long").alias("__chars"), _rest(text).alias("__rest"),
-                       F.char_length(F.regexp_replace(text, _SPLIT, "")).cast("long").alias("word_chars"))
-               .withColumns(_classes()).withColumns(_others()))
-    sums = (counted.groupBy("lang")
+def class_reference(texts: DataFrame) -> list[tuple[str, list[float]]]:
+    """(language, shares of CLASSES) over ``distinct_texts``; small languages have none."""
+    sums = (texts.groupBy("lang")
             .agg(F.count(F.lit(1)).alias("docs"), F.sum("__chars").alias("chars"), *[F.sum(f"__{c}").alias(c) for c in CLASSES])
             .filter(F.col("docs") >= LEAST_DOCUMENTS))
     return [(r.lang, [r[c] / r.chars for c in CLASSES]) for r in sums.collect()]
@@ -206,14 +223,14 @@ def with_word_distance(based: DataFrame, reference: list[tuple[str, str, float]]
 def judged(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` (as ``__row``) with doc_id, the base counts, base_failed, the two distances and ``kept``.
 
-    References come from all of ``docs``. A document is kept if it passes the base rules and each histogram that it is
+    References come from those of ``docs`` that pass the base rules. A document is kept if it passes the base rules and each histogram that it is
     long enough for is near some language. Without a language in the corpus only the base rules decide.
     """
-    rows = prepared(docs)
-    based = with_base(rows)
-    words, classes = word_reference(rows), class_reference(rows)
+    based = _based(docs)
+    texts = written(distinct_texts(based), "texts", compression="zstd")
+    words, classes = word_reference(based, texts), class_reference(texts)
     known = {lang for lang, _ in classes}
-    out = with_word_distance(based, [x for x in words if x[0] in known]).withColumn("class_distance", class_distance(classes))
+    out = with_word_distance(_text(based).withColumn("__words", words_of(F.col("__text"))), [x for x in words if x[0] in known]).withColumn("class_distance", class_distance(classes))
     far = (((F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
            | ((F.col("__chars") >= LEAST_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
