@@ -207,3 +207,12 @@ def test_references_leave_out_failed_documents_and_copies(spark, folder):
         total = sum(n for _, n in top)
         found = {w: s for x, w, s in quality.word_reference(based, quality.distinct_texts(based)) if x == lang}
         assert found.keys() == {w for w, _ in top} and all(math.isclose(found[w], n / total) for w, n in top)
+
+
+def test_quality_of_rare_languages(spark, folder):
+    """One clean document of a language is kept; a language without a passing document has no distance."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    rare = [(50_001, " ".join(f"слово{k}" for k in range(90)), "ru"), (50_002, "gåte " * 90, "no")]
+    got = {r.doc_id: r for r in quality.judge(docs.union(spark.createDataFrame(rare, docs.schema))).collect()}
+    assert got[50_001].kept and got[50_001].class_distance < 1e-6
+    assert got[50_002].base_failed and got[50_002].word_distance is None and got[50_002].class_distance is None

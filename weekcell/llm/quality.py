@@ -22,8 +22,8 @@ _SPLIT, _NOT_SPACE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 #: Most frequent words of a language that its reference holds.
 COMMON_WORDS = 64
-#: Documents that a language needs for a reference.
-LEAST_DOCUMENTS = 5
+#: Distinct texts that a language needs for a reference: any makes one.
+LEAST_DOCUMENTS = 1
 #: Limits of the two distances, and how many words or characters a document needs to be judged by them.
 MAX_WORD_DISTANCE = 0.78
 LEAST_WORDS = 60
@@ -148,7 +148,7 @@ def word_reference(based: DataFrame, texts: DataFrame) -> list[tuple[str, str, f
 
 
 def class_reference(texts: DataFrame) -> list[tuple[str, list[float]]]:
-    """(language, shares of CLASSES) over ``distinct_texts``; small languages have none."""
+    """(language, shares of CLASSES) over ``distinct_texts``."""
     sums = (texts.groupBy("lang")
             .agg(F.count(F.lit(1)).alias("docs"), F.sum("__chars").alias("chars"), *[F.sum(f"__{c}").alias(c) for c in CLASSES])
             .filter(F.col("docs") >= LEAST_DOCUMENTS))
@@ -224,13 +224,16 @@ def judged(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` (as ``__row``) with doc_id, the base counts, base_failed, the two distances and ``kept``.
 
     References come from those of ``docs`` that pass the base rules. A document is kept if it passes the base rules and each histogram that it is
-    long enough for is near some language. Without a language in the corpus only the base rules decide.
+    long enough for is near some language. Where a document names a language without reference (no document of it passes the base
+    rules), or the corpus has none, the distances are null and only the base rules decide.
     """
     based = _based(docs)
     texts = written(distinct_texts(based), "texts", compression="zstd")
     words, classes = word_reference(based, texts), class_reference(texts)
-    known = {lang for lang, _ in classes}
-    out = with_word_distance(_text(based).withColumn("__words", words_of(F.col("__text"))), [x for x in words if x[0] in known]).withColumn("class_distance", class_distance(classes))
+    known = sorted({lang for lang, _ in classes})
+    compared = F.col("lang").isNull() | F.col("lang").isin(known)
+    out = with_word_distance(_text(based).withColumn("__words", words_of(F.col("__text"))), [x for x in words if x[0] in known])
+    out = out.withColumns({"word_distance": F.when(compared, F.col("word_distance")), "class_distance": F.when(compared, class_distance(classes))})
     far = (((F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
            | ((F.col("__chars") >= LEAST_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
