@@ -47,6 +47,18 @@ def test_toxicity_learns_sentences_from_documents(spark):
     assert len(spans) > 40 and np.mean([bool(re.search("vile|horrid|wicked", s)) for s in spans]) > 0.95
 
 
+def test_toxicity_of_long_clean_texts(spark):
+    """Length alone is no offence, and one vile sentence in a long text still is one."""
+    draw = random.Random(3)
+    long = [" ".join(f"calm{draw.randrange(100, 200)}" for _ in range(6)) + "." for _ in range(20_000)]  # calm3 stands in vile sentences
+    rows = spark.createDataFrame([(1, " ".join(long)), (2, " ".join([*long, "you vile calm3."])), (3, long[0])], "doc_id long, text string")
+    sample = spark.createDataFrame(bags(400, 1), "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(rows, toxicity.fit_toxicity(sample)).collect()}
+    assert got[1] < 0.5 <= got[2] and math.isclose(got[1], got[3])
+    clean = toxicity.fit_toxicity(sample.withColumn("toxic", F.lit(0)))
+    assert all(r.toxicity < 0.01 for r in toxicity.score_toxicity(rows, clean).collect())
+
+
 def test_noisy_or_of_sentences():
     model = toxicity.ToxicityModel(np.sort(np.array([1], np.uint64)), np.array([3.0]), -2.0)
     import pyarrow as pa

@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is logistic in the words it holds; a document's score is the
-noisy-or of its sentences, 1 - prod(1 - p). Only documents have labels, yet training the two together gives sentence scores
+noisy-or of its sentences, 1 - prod(1 - p), and of one prior. A sentence without any feature adds nothing, so that length alone is no
+offence. Only documents have labels, yet training the two together gives sentence scores
 that say where the document offends.
 
 The model is learned from a bounded sample of the labels (MAX_LABELS). Features are hashes of a word and of its first bytes
@@ -44,10 +45,17 @@ _END[[10, 33, 46, 63]] = True  # line feed ! . ?
 
 @dataclass
 class ToxicityModel:
-    """Sorted feature hashes, their weights, and the score of a sentence without any of them (log-odds)."""
+    """Sorted feature hashes, their weights, and log-odds: bias of a sentence, score of a sentence without any feature (None: the
+    bias), prior of a document that has a sentence."""
     features: np.ndarray
     weights: np.ndarray
     bias: float
+    plain: float | None = None
+    prior: float = -np.inf
+
+    @property
+    def plain_score(self) -> float:
+        return self.bias if self.plain is None else self.plain
 
 
 def _found(column: pa.Array, low: int, high: int):
@@ -141,8 +149,11 @@ def _softplus(z):
 
 
 def fit_bags(toxic: np.ndarray, bags: list[np.ndarray], sentences: np.ndarray, n_features: int,
-             steps: int = 300, rate: float = 0.1, decay: float = 2e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias that maximize the documents' likelihood under noisy-or, by Adam over the whole sample."""
+             steps: int = 300, rate: float = 0.1, decay: float = 2e-3) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and prior that maximize the documents' likelihood under noisy-or, by Adam over the whole sample.
+
+    Sentences without features add nothing; a document with any sentence has the prior.
+    """
     doc = np.repeat(np.arange(len(bags)), [len(b) // 2 for b in bags])
     flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in bags]) if bags else np.zeros(0, np.int64)
     inner, place = flat[0::2], flat[1::2]
@@ -150,34 +161,36 @@ def fit_bags(toxic: np.ndarray, bags: list[np.ndarray], sentences: np.ndarray, n
     edge[1:] = (doc[1:] != doc[:-1]) | (inner[1:] != inner[:-1])
     sid = np.cumsum(edge) - 1
     owner = doc[edge]
-    plain = sentences - np.bincount(owner, minlength=len(toxic))
-    w, b = np.zeros(n_features), -4.0
-    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    some = (sentences > 0).astype(float)
+    w, b, c = np.zeros(n_features), -4.0, -4.0
+    m, v = np.zeros(n_features + 2), np.zeros(n_features + 2)
     for t in range(1, steps + 1):
         z = b + np.bincount(sid, weights=w[place], minlength=len(owner))
-        q = np.bincount(owner, weights=_softplus(z), minlength=len(toxic)) + plain * _softplus(b)
+        q = np.bincount(owner, weights=_softplus(z), minlength=len(toxic)) + some * _softplus(c)
         pull = np.where(toxic == 1, -1.0 / np.expm1(np.maximum(q, 1e-9)), 1.0) / len(toxic)
         slope = pull[owner] / (1 + np.exp(-z))
         grad = np.append(np.bincount(place, weights=slope[sid], minlength=n_features) + decay * w / max(1, n_features) ** 0.5,
-                         slope.sum() + (pull * plain).sum() / (1 + np.exp(-b)))
+                         [slope.sum(), (pull * some).sum() / (1 + np.exp(-c))])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad ** 2
         step = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+        w, b, c = w - step[:-2], b - step[-2], c - step[-1]
+    return w, float(b), float(c)
 
 
 def fit_toxicity(labelled: DataFrame) -> ToxicityModel:
     """A model from rows (doc_id, text, toxic); rows without a label are left out, a null text is empty.
 
     Feature counts come from all rows; weights from the MAX_FIT_ROWS rows with the smallest hash of doc_id and text, as small
-    integer lists. Without labels, or with one kind only, every sentence gets the same score.
+    integer lists. Without labels, or with clean ones only, every document gets the same low score; with toxic ones only,
+    every sentence the same high one.
     """
     rows = labelled.filter("toxic IN (0, 1)").selectExpr("cast(doc_id AS long) AS doc_id", "coalesce(cast(text AS string), '') AS text",
                                                          "cast(toxic AS int) AS toxic")
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 4.0 if bad else -8.0)
+        none = np.zeros(0, np.uint64), np.zeros(0)
+        return ToxicityModel(*none, 4.0) if bad else ToxicityModel(*none, -8.0, -np.inf, -8.0)
     rate_bad, rate_good = (F.col("bad") + 0.5) / (bad + 1.0), (F.col("good") + 0.5) / (good + 1.0)
     chosen = (rows.select("text", "toxic").mapInArrow(_count, "feature long, bad long, good long")
               .groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
@@ -190,8 +203,8 @@ def fit_toxicity(labelled: DataFrame) -> ToxicityModel:
     last = rows.select(h.alias("h")).orderBy("h").limit(MAX_FIT_ROWS).agg(F.max("h")).first()[0]
     sample = rows.filter(h <= F.lit(last))
     got = sample.select("text", "toxic").mapInArrow(_bags(features), "toxic int, bag array<int>, sentences long").limit(MAX_FIT_ROWS).toPandas()
-    w, b = fit_bags(got["toxic"].to_numpy(), list(got["bag"]), got["sentences"].to_numpy(), len(features))
-    return ToxicityModel(features, w, b)
+    w, b, c = fit_bags(got["toxic"].to_numpy(), list(got["bag"]), got["sentences"].to_numpy(), len(features))
+    return ToxicityModel(features, w, b, -np.inf, c)
 
 
 def _score(model: ToxicityModel, keep: list[str]):
@@ -204,7 +217,8 @@ def _score(model: ToxicityModel, keep: list[str]):
                 for sentence, place, n, *_ in _rows(model.features, column, low, high):
                     with_some, at = np.unique(sentence, return_index=True)
                     z = model.bias + (np.add.reduceat(weights[place], at) if len(at) else np.zeros(0))
-                    q = _softplus(z).sum() + max(n - len(with_some), 0) * _softplus(model.bias)
+                    q = _softplus(z).sum() + max(n - len(with_some), 0) * _softplus(model.plain_score)
+                    q += _softplus(model.prior) if n else 0.0
                     scores.append(-np.expm1(-q))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())],
                                              [*keep, "toxicity"])
@@ -229,7 +243,8 @@ def offending_sentences(docs: DataFrame, model: ToxicityModel, least: float = 0.
             column, out, row = batch.column("text"), ([], [], [], []), 0
             for low, high in text_chunks(column):
                 for sentence, place, n, ends, begin, stop in _rows(model.features, column, low, high):
-                    z = model.bias + np.bincount(sentence, weights=weights[place], minlength=n)
+                    z = np.where(np.bincount(sentence, minlength=n) > 0,
+                                 model.bias + np.bincount(sentence, weights=weights[place], minlength=n), model.plain_score)
                     p = 1 / (1 + np.exp(-z))
                     stops = np.flatnonzero(ends[begin:stop]) + 1
                     starts = np.concatenate([[0], stops[:-1]])
