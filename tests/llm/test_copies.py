@@ -185,6 +185,18 @@ def test_blocks_of_untidy_markup():
     assert html_blocks.blocks("<" * 3000)[0].text == "<" * 3000
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<article><p>a</p><svg class="i"/><p>long rest', ["a", "long rest"]), ("<p>a<math/> b", ["a b"]),
+    ("<head><title>x</title><p>whole article</p>", ["whole article"]), ("<html><head><meta charset=u><script>s</script>text", ["text"]),
+    ("<head><title>x</title></head><p>a", ["a"]), ("<head><template><div>no</div></template><link><div>a</div>", ["a"]),
+    ("<div><svg><path></div><p>a", ["a"]), ("<p><span><svg><path d=1></span> a", ["a"]), ("<div><object><p>no</div>a", ["a"]),
+    ("<div><template><div>no</div>no</div>a", ["a"]), ("<div><math><mi>no</mi></div>a", ["a"]), ("<svg><g><p>a", ["a"]),
+    ("<svg><svg></svg>no</svg>a", ["a"]), ("<svg><foreignObject><div>no</div></foreignObject>no</svg>a", ["a"]),
+    ("<svg><style/><path/></svg><p>a", ["a"]), ("<svg><title>no</title></svg>a<script>'<p>no'</script>b", ["ab"]), ("<object>no</object>a", ["a"])])
+def test_blocks_around_hidden_tags(page, want):
+    assert [b.text for b in html_blocks.blocks(page)] == want
+
+
 @pytest.fixture(scope="module")
 def labeller(spark):
     return html_extraction.fit_labeller(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
