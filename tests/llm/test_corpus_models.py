@@ -158,16 +158,13 @@ def test_quality_against_brute_force(spark, folder):
             "P": "mark", "S": "symbol"}.get(unicodedata.category(c)[0], "letter")) for c in text)
         return [kind[c] for c in quality.CLASSES]
 
-    good = [d for d in docs if counts(d.text)[0] >= 10]
-    languages_ = {d.lang for d in good}
+    # references come from the distinct texts that pass the base rules
+    good = {(d.lang, d.text) for d in docs if d.lang is not None and not counts(d.text)[5]}
     shares, words = {}, {}
-    for lang in languages_:
-        own = [d for d in good if d.lang == lang]
-        if len(own) < quality.LEAST_DOCUMENTS:
-            continue
-        sums = np.sum([classes(d.text) for d in own], axis=0)
-        shares[lang] = sums / sum(len(d.text) for d in own)
-        held = Counter(w.lower() for d in own for w in re.split(r"[\x20\x09-\x0D]+", d.text) if w)
+    for lang in {lang for lang, _ in good}:
+        own = [text for x, text in good if x == lang]
+        shares[lang] = np.sum([classes(text) for text in own], axis=0) / sum(map(len, own))
+        held = Counter(w.lower() for text in own for w in re.split(r"[\x20\x09-\x0D]+", text) if w)
         top = sorted(held.items(), key=lambda x: (-x[1], x[0]))[:quality.COMMON_WORDS]
         words[lang] = {w: n / sum(n for _, n in top) for w, n in top}
     vocabulary = sorted({w for x in words.values() for w in x})
