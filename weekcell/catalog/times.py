@@ -34,6 +34,14 @@ def _(spark, d):
     return t.withColumn("hour_of_week", F.col("hour_of_week").cast("int"))
 
 
+@query("I3_one_cell", """WITH RECURSIVE anchors AS (SELECT min(ts) AS start FROM events
+  UNION ALL SELECT (SELECT min(ts) FROM events WHERE ts > start + INTERVAL 15 MINUTE) FROM anchors WHERE start IS NOT NULL)
+SELECT 'all' AS cell, start, count(*) AS n_events FROM anchors JOIN events ON ts >= start AND ts <= start + INTERVAL 15 MINUTE GROUP BY start""")
+def _(spark, d):
+    # every event in the same cell: its windows still open in parallel
+    return inc.anchored_incidents(table(spark, d, "events").select(F.lit("all").alias("cell"), "ts"))
+
+
 @query("I4_exposure", with_sql("expo") + "SELECT month, hour_of_week, exposure FROM expo")
 def _(spark, d):
     e = pan.exposure_calendar(months(spark, d))

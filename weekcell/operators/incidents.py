@@ -2,34 +2,37 @@
 
 An anchored window opens at its first event and covers everything up to
 ``window`` later, inclusive; the next event opens another one. The windows of a
-cell depend on each other through time, so a cell must not be one task. Time is
-cut twice:
-
-1. Hour blocks. Per (cell, hour) only min, max and count are kept; neighbouring
-   hours whose gap is at most the window belong to one *run*. No window can
-   cross a run border, so runs are independent.
-2. Runs of at most ``fold_limit`` events are folded as one sorted array.
-   Longer runs are cut into days: each day is reduced, in parallel, to a step
-   function (time covered on entry -> time covered on exit), the step functions
-   are chained, and the days are then resolved in parallel from their known entry.
-
-Both roads give the same incidents; only the size of a run picks one.
+cell depend on each other through time, so a cell must not be one task.
+
+Time is cut into blocks as long as a window, so one window opens in a block at most. What a block does is a step function:
+*covered until* on entry -> *covered until* on exit, kept as a sorted array of
+(entry, exit): entering covered until c gives the exit of the first pair whose entry is
+greater than c, and c itself where there is none. Composition is associative, so
+a tree over time chains the blocks of a cell: going up, each node composes its children's functions; going down, each node
+tells its children what they are entered with. Then each block opens its window by itself.
+
+Every step is a groupBy or an equi-join whose key holds the cell and a stretch of time,
+on expressions only; there is one road for sparse and for crowded cells.
 """
 
 from __future__ import annotations
 
 from datetime import timedelta
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weekcell.functions.arrays import let, places_after
 from weekcell.functions.calendar import hour_of_week, month_label
+from weekcell.session import cut_lineage
 
 WINDOW = timedelta(minutes=15)
-FOLD_LIMIT = 2000
-_UNCOVERED = np.iinfo(np.int64).min
-_DAYS_PER_GROUP = 32
+#: Children of a node of the tree.
+_FAN = 4096
+#: The tree spans this many years around 1970; its depth follows from the length of a block.
+_YEARS = 400
+_MICROS = 1_000_000
+_UNCOVERED = -(1 << 63)
+_STEPS = "array<struct<entry:bigint,exit:bigint>>"
 
 
 def _interval(window: timedelta) -> Column:
@@ -54,146 +57,115 @@ def hour_blocks(events: DataFrame, window: timedelta) -> DataFrame:
             .withColumn("linked", F.coalesce(F.col("lo") <= F.col("prev_hi") + _interval(window), F.lit(False))))
 
 
-def _runs(events: DataFrame, window: timedelta) -> DataFrame:
-    """(cell, block, run, run_n); a run is named by its first block."""
-    per_cell = Window.partitionBy("cell").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = hour_blocks(events, window).withColumn(
-        "run", F.last(F.when(~F.col("linked"), F.col("block")), ignorenulls=True).over(per_cell))
-    return blocks.select("cell", "block", "run", F.sum("n").over(Window.partitionBy("cell", "run")).alias("run_n"))
+# -- anchored windows ---------------------------------------------------------------
+
+
+def _wall_micros(ts: str) -> Column:
+    """Microseconds of the wall clock since 1970, zone-free."""
+    part = F.extract(F.lit("SECOND"), F.col(ts)) * _MICROS
+    return (F.unix_date(F.to_date(F.col(ts))).cast("bigint") * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60) * _MICROS + part.cast("bigint")
+
+
+def _wall_time(micros: str) -> Column:
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col(micros).cast("decimal(20,0)") / F.lit(_MICROS).cast("decimal(7,0)"))
+
 
+def _long(n: int) -> Column:
+    return F.lit(n).cast("bigint")
 
-def anchored_incidents(events: DataFrame, window: timedelta = WINDOW, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Events (cell, ts) -> incidents (cell, start, n_events)."""
-    events = events.select("cell", "ts").where(F.col("ts").isNotNull())
-    tagged = (events.withColumn("block", _block("ts"))
-              .join(_runs(events, window), ["cell", "block"]))
-    short = _fold_runs(tagged.where(F.col("run_n") <= fold_limit), window)
-    long = _resolve_runs(tagged.where(F.col("run_n") > fold_limit), window)
-    return short.unionByName(long)
 
+def _thin(steps: Column, limit: Column) -> Column:
+    """Steps that an entry below ``limit`` can meet, the last of each row of equal exits."""
+    near = F.filter(steps, lambda p, i: (i == 0) | (F.get(steps, i - 1)["entry"] < limit))
+    return let(near, lambda s: F.filter(s, lambda p, i: F.coalesce(F.get(s, i + 1)["exit"] != p["exit"], F.lit(True))))
 
-def _fold_runs(tagged: DataFrame, window: timedelta) -> DataFrame:
-    """At most ``fold_limit`` events per run: one sorted array and one fold that keeps the openings."""
-    step = _interval(window)
-    runs = tagged.groupBy("cell", "run").agg(F.array_sort(F.collect_list("ts")).alias("times"))
-    none = F.array().cast("array<timestamp_ntz>")
-    anchors = F.aggregate(
-        "times", none,
-        lambda acc, t: F.when((F.size(acc) == 0) | (t > F.element_at(acc, -1) + step),
-                              F.array_append(acc, t)).otherwise(acc))
-    opened = runs.withColumn("anchors", anchors)
-    sized = F.transform("anchors", lambda a: F.struct(
-        a.alias("start"),
-        F.size(F.filter("times", lambda t: (t >= a) & (t <= a + step))).cast("bigint").alias("n_events")))
-    return opened.select("cell", F.inline(sized))
+
+def _compose(first: Column, then: Column, limit: Column) -> Column:
+    """Step function of ``first`` and ``then`` one after the other, thinned."""
+    def joined(at: Column) -> Column:
+        through = F.transform(first, lambda p, i: F.struct(
+            p["entry"].alias("entry"), F.coalesce(F.get(then, F.get(at, i))["exit"], p["exit"]).alias("exit")))
+        last = F.coalesce(F.get(first, F.size(first) - 1)["entry"], _long(_UNCOVERED))
+        return F.concat(through, F.filter(then, lambda p: p["entry"] > last))
+    both = let(places_after(F.transform(first, lambda p: p["exit"]), F.transform(then, lambda p: p["entry"])), joined)
+    return let(both, lambda s: _thin(s, limit))
+
+
+def _leave(steps: Column, covered: Column) -> Column:
+    """What a step function makes of one entry."""
+    return F.coalesce(F.get(F.filter(steps, lambda p: p["entry"] > covered), F.lit(0))["exit"], covered)
+
+
+def _parents(nodes: DataFrame, fan: int | None) -> DataFrame:
+    """(cell, node, low, children, steps) one level up; without ``fan`` a cell has one parent.
+
+    ``low`` is the earliest time of the node. Children are at most ``fan`` structs (node, low, steps) in the order of time.
+    """
+    up = F.floor(F.col("node") / fan) if fan else F.lit(0).cast("bigint")
+    rows = nodes.groupBy("cell", up.alias("parent")).agg(F.array_sort(F.collect_list(F.struct("node", "low", "steps"))).alias("children"))
+    return rows.select("cell", F.col("parent").alias("node"), F.get("children", F.lit(0))["low"].alias("low"), "children")
 
 
-# -- long runs -------------------------------------------------------------
+def _with_steps(nodes: DataFrame, w: int) -> DataFrame:
+    folded = F.aggregate("children", F.array().cast(_STEPS), lambda acc, c: _compose(acc, c["steps"], F.col("low") + w))
+    return nodes.withColumn("steps", folded)
 
 
-def _micros(s: pd.Series) -> np.ndarray:
-    return s.to_numpy().astype("datetime64[us]").astype(np.int64)
+def _entries(nodes: DataFrame) -> DataFrame:
+    """(cell, node, covered) of the children of ``nodes`` (cell, children, covered)."""
+    start = F.struct(F.col("covered").alias("c"), F.array().cast("array<struct<node:bigint,covered:bigint>>").alias("told"))
+    told = F.aggregate(
+        "children", start,
+        lambda s, c: F.struct(_leave(c["steps"], s["c"]).alias("c"),
+                              F.array_append(s["told"], F.struct(c["node"].alias("node"), s["c"].alias("covered"))).alias("told")),
+        lambda s: s["told"])
+    return nodes.select("cell", F.inline(told))
 
 
-def _exit_steps(times: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Step function of one sorted slice of time.
+def _openings(covered: Column, times: Column, w: int) -> Column:
+    """(start, n_events) of the windows in a block of sorted (t, n): the one carried in and the one that opens, if they take events.
 
-    Returns (first event taken, time covered on exit): entering covered until s
-    means the first event later than s is the next opening. Only slices'
-    openings that lead to different exits are kept.
+    The block is no longer than a window, so the one that opens takes all that is left.
     """
-    nxt = np.searchsorted(times, times + w, side="right")
-    last = np.arange(len(times))
-    hop = np.where(nxt < len(times), nxt, last)
-    while True:  # doubling: each pass squares the number of windows skipped
-        jumped = hop[hop]
-        if np.array_equal(jumped, hop):
-            break
-        hop = jumped
-    exits = times[hop] + w
-    keep = np.append(exits[1:] != exits[:-1], True)  # exits never fall as the entry moves on
-    return times[keep], exits[keep]
-
-
-def _apply_steps(entries: np.ndarray, exits: np.ndarray, covered: np.ndarray) -> np.ndarray:
-    """Exit state for each entry state; past the last event the state passes through."""
-    pos = np.searchsorted(entries, covered, side="right")
-    inside = pos < len(entries)
-    return np.where(inside, exits[np.minimum(pos, len(exits) - 1)], covered)
-
-
-_STEPS = "cell string, run int, day int, entries array<bigint>, exits array<bigint>"
-_STATE = "cell string, run int, day int, covered bigint"
-
-
-def _resolve_runs(tagged: DataFrame, window: timedelta) -> DataFrame:
-    w = int(window / timedelta(microseconds=1))
-
-    def day_steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        entries, exits = _exit_steps(np.sort(_micros(pdf["ts"])), w)
-        return pd.DataFrame({"cell": [key[0]], "run": [key[1]], "day": [key[2]],
-                             "entries": [entries], "exits": [exits]})
-
-    def group_steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        # Any entry state of the group behaves like "just before" one of the events a day can open with.
-        entries = np.concatenate(list(pdf["entries"]))
-        state = entries - 1
-        first_day = np.repeat(np.arange(len(pdf)), [len(e) for e in pdf["entries"]])
-        for i, (e, x) in enumerate(zip(pdf["entries"], pdf["exits"])):
-            state = np.where(first_day <= i, _apply_steps(np.asarray(e), np.asarray(x), state), state)
-        keep = np.append(state[1:] != state[:-1], True)
-        return pd.DataFrame({"cell": [key[0]], "run": [key[1]], "day": [key[2]],
-                             "entries": [entries[keep]], "exits": [state[keep]]})
-
-    def chain(pdf: pd.DataFrame, covered: int) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        states = []
-        for e, x in zip(pdf["entries"], pdf["exits"]):
-            states.append(covered)
-            covered = int(_apply_steps(np.asarray(e), np.asarray(x), np.array([covered]))[0])
-        return pdf[["cell", "run", "day"]].assign(covered=states)
-
-    def top_states(pdf: pd.DataFrame) -> pd.DataFrame:
-        return chain(pdf, _UNCOVERED)
-
-    def day_states(pdf: pd.DataFrame) -> pd.DataFrame:
-        return chain(pdf, int(pdf["covered"].iloc[0]))
-
-    def openings(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(_micros(pdf["ts"]))
-        covered = int(pdf["covered"].iloc[0])
-        starts, counts = [], []
-        if covered > _UNCOVERED:  # events still under the window carried in
-            starts.append(covered - w)
-            counts.append(int(np.searchsorted(times, covered, side="right")))
-        pos = int(np.searchsorted(times, covered, side="right"))
-        while pos < len(times):
-            end = int(np.searchsorted(times, times[pos] + w, side="right"))
-            starts.append(int(times[pos]))
-            counts.append(end - pos)
-            pos = end
-        start = pd.Series(np.array(starts, dtype="int64").astype("datetime64[us]"))
-        return pd.DataFrame({"cell": key[0], "start": start, "n_events": counts})
-
-    keyed = tagged.select("cell", "run", _day("ts").alias("day"), "ts")
-    days = keyed.groupBy("cell", "run", "day").applyInPandas(day_steps, _STEPS)
-    group = F.floor(F.col("day") / _DAYS_PER_GROUP).cast("int")
-    groups = (days.withColumn("grp", group).groupBy("cell", "run", "grp")
-              .applyInPandas(group_steps, _STEPS))
-    group_entry = groups.groupBy("cell", "run").applyInPandas(top_states, _STATE).withColumnRenamed("day", "grp")
-    day_entry = (days.withColumn("grp", group).join(group_entry, ["cell", "run", "grp"])
-                 .groupBy("cell", "run", "grp").applyInPandas(day_states, _STATE))
-    pieces = (keyed.join(day_entry, ["cell", "run", "day"]).groupBy("cell", "run", "day")
-              .applyInPandas(openings, "cell string, start timestamp_ntz, n_events bigint"))
-    # A window that crosses midnight comes from both days.
-    return pieces.groupBy("cell", "start").agg(F.sum("n_events").alias("n_events"))
+    taken = F.filter(times, lambda e: e["t"] <= covered)
+    left = F.filter(times, lambda e: e["t"] > covered)
+    total = lambda events: F.aggregate(events, _long(0), lambda a, e: a + e["n"])
+    return F.array_compact(F.array(
+        F.when(F.size(taken) > 0, F.struct((covered - w).alias("start"), total(taken).alias("n_events"))),
+        F.when(F.size(left) > 0, F.struct(F.get(left, F.lit(0))["t"].alias("start"), total(left).alias("n_events")))))
+
+
+def anchored_incidents(events: DataFrame, window: timedelta = WINDOW) -> DataFrame:
+    """Events (cell, ts) -> incidents (cell, start, n_events). Events without a cell or a time belong to none."""
+    w = window // timedelta(microseconds=1)
+    if w < 1:
+        raise ValueError("a window lasts a microsecond at least")
+    known = events.where(F.col("ts").isNotNull() & F.col("cell").isNotNull())
+    times = known.groupBy("cell", _wall_micros("ts").alias("t")).agg(F.count("*").alias("n"))  # equal times are folded before they are dealt
+    block = F.call_function("div", F.col("t") - F.pmod("t", _long(w)), _long(w))
+    # read at the bottom of the tree and at its top, so written once
+    blocks = cut_lineage(times.groupBy("cell", block.alias("node")).agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("times")))
+    level = blocks.select("cell", "node", F.get("times", F.lit(0))["t"].alias("low"),
+                          F.transform("times", lambda e: F.struct(e["t"].alias("entry"), (e["t"] + w).alias("exit"))).alias("steps"))
+    levels, reach = [], _YEARS * 366 * 86_400 * _MICROS // w
+    while reach > _FAN:
+        nodes = _parents(level, _FAN)
+        levels.append(nodes)
+        level = _with_steps(nodes, w).select("cell", "node", "low", "steps")
+        reach //= _FAN
+    told = _entries(_parents(level, None).withColumn("covered", _long(_UNCOVERED)))
+    for nodes in reversed(levels):
+        told = _entries(nodes.join(told, ["cell", "node"]))
+    opened = blocks.join(told, ["cell", "node"]).select("cell", F.inline(_openings(F.col("covered"), F.col("times"), w)))
+    # a window that crosses the border of two blocks comes from both
+    return (opened.groupBy("cell", "start").agg(F.sum("n_events").alias("n_events"))
+            .select("cell", _wall_time("start").alias("start"), "n_events"))
 
 
 # -- rows, chained sessions, incident table ----------------------------------
 
 
-def assign_incidents(events: DataFrame, window: timedelta = WINDOW, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def assign_incidents(events: DataFrame, window: timedelta = WINDOW) -> DataFrame:
     """Every event with the start of the incident it belongs to (column ``incident_start``).
 
     Windows of a cell never overlap, so an event has one match; both sides are
@@ -201,7 +173,7 @@ def assign_incidents(events: DataFrame, window: timedelta = WINDOW, fold_limit:
     """
     seconds = int(window.total_seconds())
     slice_of = lambda ts: F.floor((_day_seconds(ts)) / seconds)
-    starts = anchored_incidents(events, window, fold_limit).select(F.col("cell"), F.col("start").alias("incident_start"))
+    starts = anchored_incidents(events, window).select(F.col("cell"), F.col("start").alias("incident_start"))
     slices = starts.withColumn("_slice", F.explode(F.array(
         slice_of(F.col("incident_start")), slice_of(F.col("incident_start")) + 1)))
     rows = events.withColumn("_slice", slice_of(F.col("ts")))
@@ -236,8 +208,8 @@ def chained_sessions(events: DataFrame, gap: timedelta = WINDOW) -> DataFrame:
             .drop("block", "prev_hi", "_open", "_here", "_carry"))
 
 
-def incident_table(events: DataFrame, window: timedelta = WINDOW, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def incident_table(events: DataFrame, window: timedelta = WINDOW) -> DataFrame:
     """(cell, start, month, hour_of_week, n_events); the first event sets month and slot."""
-    inc = anchored_incidents(events, window, fold_limit)
+    inc = anchored_incidents(events, window)
     return inc.select("cell", "start", month_label("start").alias("month"),
                       hour_of_week("start").cast("smallint").alias("hour_of_week"), "n_events")
