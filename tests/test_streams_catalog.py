@@ -1,25 +1,65 @@
 """T: streams. The catalog as the driver sees it."""
 
 import os
+import random
 import re
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from conftest import TESTDATA, rows
-from weekcell.catalog import inputs
 from weekcell.operators.incidents import anchored_incidents
+from weekcell.streaming import live
 
 
-def test_T5_live_windows_equal_the_batch_windows(spark):
-    live = set(rows(entry.queries()["T5_live_incidents"](spark, TESTDATA), "cell", "start", "n_events"))
-    batch = set(rows(anchored_incidents(inputs.events(spark, TESTDATA)), "cell", "start", "n_events"))
-    assert live <= batch
-    last = {}
-    for cell, start, n in batch:
-        last[cell] = max(last.get(cell, start), start)
-    assert all(start == last[cell] for cell, start, n in batch - live)  # only windows still open are held back
+def drain(spark, tmp_path, files, delay):
+    """Windows of a feed of one file a batch, and the batches that emitted them."""
+    feed = tmp_path / "feed"
+    for k, data in enumerate(files):
+        spark.createDataFrame(data, "cell string, ts timestamp_ntz").coalesce(1).write.parquet(str(feed / f"part={k}"))
+        for f in (feed / f"part={k}").iterdir():
+            os.utime(f, (1_700_000_000 + 60 * k, 1_700_000_000 + 60 * k))
+    stream = spark.readStream.schema("cell string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(feed))
+    batches = []
+    with live.state_store(spark):
+        query = (live.live_incidents(stream, delay=delay).writeStream.foreachBatch(lambda df, k: batches.append(rows(df)))
+                 .option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True).start())
+        query.awaitTermination()
+    return batches
+
+
+def test_T5_rows_out_of_order_over_three_batches(spark, tmp_path):
+    draw = random.Random(17)
+    start = datetime(2030, 3, 3, 4)
+    data = [(f"k{draw.randrange(3)}", start + timedelta(seconds=draw.randrange(6 * 3600))) for _ in range(400)]
+    data += data[:20]
+    # each row comes up to 40 minutes late, so every batch opens windows before some of the last one
+    late = sorted(data, key=lambda e: e[1] + timedelta(seconds=draw.randrange(2400)))
+    files = [late[:150], late[150:300], late[300:], [(None, start + timedelta(days=1))]]
+    batches = drain(spark, tmp_path, files, "41 minutes")
+    got = sorted(r for b in batches for r in b)
+    want = rows(anchored_incidents(spark.createDataFrame(data, "cell string, ts timestamp_ntz")))
+    assert got == want
+    assert sum(bool(b) for b in batches) >= 3  # windows come out as the watermark moves, not all at the end
+
+
+def test_T5_open_windows_wait(spark, tmp_path):
+    at = datetime(2030, 3, 3, 4)
+    m = timedelta(minutes=1)
+    files = [[("a", at), ("a", at + 10 * m), ("b", at + 2 * m), (None, at + 40 * m)], [("a", at + 30 * m), ("b", at + 200 * m), ("a", None)]]
+    got = sorted(r for b in drain(spark, tmp_path, files, "15 minutes") for r in b)
+    assert got == [("a", at, 2), ("a", at + 30 * m, 1), ("b", at + 2 * m, 1)]  # b's second window is still open
+
+
+def test_T5_leaves_the_session_as_it_was(spark):
+    key = next(iter(live.STATE_STORE_CONF))
+    before = spark.conf.get(key)
+    with pytest.raises(RuntimeError), live.state_store(spark):
+        assert spark.conf.get(key) == live.STATE_STORE_CONF[key]
+        raise RuntimeError
+    assert spark.conf.get(key) == before
 
 
 def test_every_operator_id_has_a_query_or_a_test():

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
@@ -35,11 +37,12 @@ def hourly_counts(stream: DataFrame, ts: str = "ts", delay: str = "15 minutes")
 
 
 class AnchoredWindows(StatefulProcessor):
-    """One open window per cell: the anchor and its event count.
+    """Anchored windows of a cell, the same as a batch over all its events would open.
 
-    Only (anchor, count) is kept between batches. A timer at anchor + window
-    closes the window once the watermark has passed it, so a quiet cell is
-    flushed too.
+    Events wait in a buffer until the watermark has passed them: no earlier one can come any more, so they are taken in the order of time however they
+    arrived. A window closes when an event lies past its end or when the watermark does. State of a cell: the times that wait, folded to
+    (time, count), and the open window. One event-time timer is set to when the next waiting event, or the end of the
+    open window, is passed, so a quiet cell is flushed too. Rows without a cell only move the watermark.
     """
 
     def __init__(self, window: timedelta = WINDOW):
@@ -48,57 +51,104 @@ class AnchoredWindows(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", "anchor bigint, n bigint")
-
-    def _closed(self, key: tuple, anchor: int, n: int) -> dict:
-        return {"cell": key[0], "start": pd.Timestamp(anchor, unit="us"), "n_events": n}
-
-    def _retime(self, before: int | None, after: int | None) -> None:
+        self.waiting = handle.getListState("waiting", "t bigint, n bigint")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _release(self, key: tuple, passed_us: int) -> list[dict]:
+        """Take the waiting events up to ``passed_us``; windows that are closed by then."""
+        held = np.array([(int(t), int(n)) for t, n in self.waiting.get()], dtype=np.int64).reshape(-1, 2) if self.waiting.exists() else np.zeros((0, 2), np.int64)
+        due, later = held[held[:, 0] <= passed_us], held[held[:, 0] > passed_us]
+        due = due[np.argsort(due[:, 0], kind="stable")]
+        times, running = due[:, 0], np.concatenate([[0], np.cumsum(due[:, 1])])
+        anchor, n = (int(v) for v in self.open.get()) if self.open.exists() else (None, 0)
+        done, at = [], 0
+        while True:
+            if anchor is not None:
+                end = int(np.searchsorted(times, anchor + self.window_us, side="right"))
+                n += int(running[end] - running[at])
+                at = end
+                if at == len(times) and anchor + self.window_us > passed_us:
+                    break
+                done.append({"cell": key[0], "start": pd.Timestamp(anchor, unit="us"), "n_events": n})
+                anchor, n = None, 0
+            if at == len(times):
+                break
+            anchor = int(times[at])
+        if len(due):
+            self._keep(self.waiting, [tuple(v) for v in later.tolist()])
+        if anchor is None:
+            self.open.clear()
+        else:
+            self.open.update((anchor, n))
+        ahead = ([] if anchor is None else [anchor + self.window_us]) + ([int(later[:, 0].min())] if len(later) else [])
+        self._set_timer(min(ahead, default=None))
+        return done
+
+    @staticmethod
+    def _keep(state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        else:
+            state.clear()
+
+    def _set_timer(self, us: int | None) -> None:
+        at = None if us is None else us // 1000 + 1
+        before = int(self.timer.get()[0]) if self.timer.exists() else None
+        if before == at:
+            return
         if before is not None:
-            self.handle.deleteTimer((before + self.window_us) // 1000 + 1)
-        if after is not None:
-            self.handle.registerTimer((after + self.window_us) // 1000 + 1)
+            self.handle.deleteTimer(before)
+        if at is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        state = self.open.get() if self.open.exists() else None
-        before = None if state is None else int(state[0])
-        anchor, n = (None, 0) if state is None else (int(state[0]), int(state[1]))
-        # The micro-batch bounds the rows of a key (maxFilesPerTrigger / maxBytesPerTrigger).
-        times = pd.concat([r["event_time"] for r in rows]).dt.tz_localize(None).astype("datetime64[us]").astype("int64")
-        done = []
-        for t in times.sort_values():
-            if anchor is not None and anchor <= t <= anchor + self.window_us:
-                n += 1
-                continue
-            if anchor is not None and t < anchor:  # late, but inside the watermark: belongs to no open window
-                done.append(self._closed(key, int(t), 1))
-                continue
-            if anchor is not None:
-                done.append(self._closed(key, anchor, n))
-            anchor, n = int(t), 1
-        self.open.update((anchor, n))
-        if anchor != before:
-            self._retime(before, anchor)
+        if key[0] is None:
+            return
+        for part in rows:  # folded as they come, so a micro-batch of a crowded cell is never held whole
+            times = part["event_time"].dt.tz_localize(None).astype("datetime64[us]").astype("int64").to_numpy()
+            self.waiting.appendList([(int(t), int(n)) for t, n in zip(*np.unique(times, return_counts=True))])
+        done = self._release(key, timerValues.getCurrentWatermarkInMs() * 1000)
         if done:
             yield pd.DataFrame(done)
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            anchor, n = self.open.get()
-            self.open.clear()
-            yield pd.DataFrame([self._closed(key, int(anchor), int(n))])
+        self.timer.clear()
+        done = self._release(key, timerValues.getCurrentWatermarkInMs() * 1000)
+        if done:
+            yield pd.DataFrame(done)
 
     def close(self) -> None:
         pass
 
 
 def live_incidents(stream: DataFrame, ts: str = "ts", delay: str = "15 minutes", window: timedelta = WINDOW) -> DataFrame:
-    """Closed anchored windows (cell, start, n_events) of a stream of (cell, ts)."""
-    return (with_event_time(stream.select("cell", ts), ts, delay).select("cell", "event_time").groupBy("cell")
+    """Closed anchored windows (cell, start, n_events) of a stream of (cell, ts), in any order within ``delay``.
+
+    A window comes out once the watermark has passed its end: a feed that ends with a row without cell and a time past all windows gives every window.
+    """
+    timed = with_event_time(stream.select("cell", ts), ts, delay).where(F.col(ts).isNotNull())
+    return (timed.select("cell", "event_time").groupBy("cell")
             .transformWithStateInPandas(
                 statefulProcessor=AnchoredWindows(window), outputStructType="cell string, start timestamp_ntz, n_events bigint",
                 outputMode="Append", timeMode="EventTime"))
 
 
+@contextmanager
+def state_store(spark: SparkSession):
+    """The state store that these streams need, set for the time of a block."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE_CONF}
+    for k, v in STATE_STORE_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def upsert_stream(stream: DataFrame, store: str, checkpoint: str, ts: str = "created_date", key: str = "unique_key",
                   now: datetime | None = None) -> StreamingQuery:
     """Drain the available files into the month store: each micro-batch is one idempotent upsert.
