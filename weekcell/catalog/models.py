@@ -13,8 +13,9 @@ from weekcell.catalog.times import WEEKLY, weekly
 from weekcell.functions.calendar import index_label, label_index
 from weekcell.operators import network as net
 from weekcell.operators.panel import build_panel
-from weekcell.plans import evaluate as ev, features as ft, level, poisson, rates
+from weekcell.plans import evaluate as ev, features as ft, level, poisson, rate_model, rates
 from weekcell.plans.features import Inputs
+from weekcell.session import cut_lineage
 
 # -- features --------------------------------------------------------------------------
 
@@ -102,9 +103,11 @@ def _(spark, d):
     return out.withColumn("month", index_label("month_idx")).drop("month_idx")
 
 
-@query("F7_slot_history", with_sql("panel", "ord") + """, c AS (SELECT cell, hour_of_week, month_idx, month, y AS n FROM panel)
-SELECT cell, month, hour_of_week, """ + ", ".join(
-    f"CAST(coalesce(sum(n) OVER (PARTITION BY cell, hour_of_week ORDER BY month_idx RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS inc_cellhow_{w}m" for w in (12, 36)) + " FROM c")
+SLOT_ROWS = "SELECT cell, month, hour_of_week, " + ", ".join(
+    f"CAST(coalesce(sum(n) OVER (PARTITION BY cell, hour_of_week ORDER BY month_idx RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS inc_cellhow_{w}m" for w in (12, 36)) + " FROM {c}"
+
+
+@query("F7_slot_history", with_sql("panel", "ord") + ", c AS (SELECT cell, hour_of_week, month_idx, month, y AS n FROM panel) " + SLOT_ROWS.format(c="c"))
 def _(spark, d):
     return ft.slot_history(panel(spark, d), orders(spark, d)).withColumn("month", index_label("month_idx")).drop("month_idx")
 
@@ -142,17 +145,23 @@ def feature_inputs(spark, d) -> Inputs:
 ALL_HISTORY = {c: e for cols in HISTORY.values() for c, e in cols.items()} | {"months_on_network_12m": trail("onet", "1", 12)}
 # trips are only covered through 2001-05; later months repeat it
 TRIP_IDX = idx_sql("trips", "starts + ends AS n")
-GAPPED = BASE.replace(TRIP_IDX, f"""(SELECT * FROM {TRIP_IDX} WHERE month_idx <= 2001 * 12 + 4
-  UNION ALL SELECT cell, g.m, starts + ends FROM trips, (VALUES (2001 * 12 + 5), (2001 * 12 + 6)) g(m) WHERE month = '2001-05')""")
+TRIP_GAP = f"""(SELECT * FROM {TRIP_IDX} WHERE month_idx <= 2001 * 12 + 4
+  UNION ALL SELECT cell, g.m, starts + ends FROM trips, (VALUES (2001 * 12 + 5), (2001 * 12 + 6)) g(m) WHERE month = '2001-05')"""
+GAPPED = BASE.replace(TRIP_IDX, TRIP_GAP)
 SEG_CTES = "".join(f", {n} AS ({CTE[n][1]})" for n in ("seg", "bridge", "lots"))
 
 
-@query("F10_feature_assembly", GAPPED + SEG_CTES + OLD + NBX + LOT_SQL
-       + "SELECT r.cell, r.month, " + ", ".join(f"{e} AS {c}" for c, e in ALL_HISTORY.items()) + ", " + ", ".join(LANE_COLS + LOT_COLS)
-       + ", boro.boro, CAST(r.month_idx % 12 + 1 AS INTEGER) AS month_of_year FROM onet r JOIN (SELECT DISTINCT cell FROM spine) k USING (cell) LEFT JOIN boro USING (cell) LEFT JOIN lanes USING (cell, month_idx) LEFT JOIN lotf USING (cell)")
+F10_ROWS = ("SELECT r.cell, r.month, " + ", ".join(f"{e} AS {c}" for c, e in ALL_HISTORY.items()) + ", " + ", ".join(LANE_COLS + LOT_COLS)
+            + ", boro.boro, CAST(r.month_idx % 12 + 1 AS INTEGER) AS month_of_year FROM onet r JOIN (SELECT DISTINCT cell FROM spine) k USING (cell) LEFT JOIN boro USING (cell) LEFT JOIN lanes USING (cell, month_idx) LEFT JOIN lotf USING (cell)")
+
+
+def network_rows(spark, d):
+    return old_network(spark, d).join(spine(spark, d).select("cell").distinct(), "cell", "left_semi")
+
+
+@query("F10_feature_assembly", GAPPED + SEG_CTES + OLD + NBX + LOT_SQL + F10_ROWS)
 def _(spark, d):
-    rows = old_network(spark, d).join(spine(spark, d).select("cell").distinct(), "cell", "left_semi")
-    out = ft.cell_month_features(rows, feature_inputs(spark, d), "2001-08", "1995-01")
+    out = ft.cell_month_features(network_rows(spark, d), feature_inputs(spark, d), "2001-08", "1995-01")
     return out.select("cell", "month", *ALL_HISTORY, *LANE_COLS, *[F.round(c, 4).alias(c) for c in LOT_COLS], "boro",
                       F.col("month_of_year").cast("int").alias("month_of_year"))
 
@@ -194,10 +203,11 @@ def grid_sql(name: str, src: str) -> str:
     return ",\n".join(parts) + f", {name} AS (SELECT exp(b) AS b FROM {name}b{rates.GRID_STEPS - 1})"
 
 
-EB = MP + ", " + grid_sql("bb", "hp") + """, hr AS (SELECT boro, hour_of_week, (y + bb.b * prior) / (exposure + bb.b) AS rate FROM hp, bb),
+EB_STEPS = grid_sql("bb", "hp") + """, hr AS (SELECT boro, hour_of_week, (y + bb.b * prior) / (exposure + bb.b) AS rate FROM hp, bb),
 sp AS (SELECT s.*, hr.rate AS prior FROM slots s JOIN hr USING (boro, hour_of_week)), """ + grid_sql("bc", "sp") + """,
 sr AS (SELECT cell, hour_of_week, boro, y, exposure, prior, (y + bc.b * prior) / (exposure + bc.b) AS rate FROM sp, bc)
 """
+EB = MP + ", " + EB_STEPS
 
 
 def fitted(spark, d) -> rates.SlotRates:
@@ -242,7 +252,65 @@ def _(spark, d):
     return rates.constant_rate(split(model_panel(spark, d), "train")).select(F.round("rate", 12).alias("rate"))
 
 
-# -- Poisson models: fitted, so rows only -----------------------------------------------------
+# -- Poisson models ---------------------------------------------------------------------------
+
+# hour of the day and a level of the cell's commercial lots, by row of the model panel
+FACTORS = with_sql("panel", "ord", "boro", "lots") + MP + """, ll AS (SELECT cell, CAST(sum(CASE WHEN landuse IN ('4', '5') THEN 1 ELSE 0 END) // 4 AS BIGINT) AS lots_level FROM lots GROUP BY cell),
+fp AS (SELECT mp.cell, mp.month, hour_of_week, y, exposure, boro, CAST(hour_of_week % 24 AS INTEGER) AS hour, coalesce(lots_level, 0) AS lots_level
+  FROM mp LEFT JOIN ll USING (cell) LEFT JOIN boro USING (cell) WHERE exposure > 0),
+train AS (SELECT * FROM fp WHERE month BETWEEN '1995-01' AND '1998-12'), valid AS (SELECT * FROM fp WHERE month BETWEEN '1999-01' AND '1999-12')
+"""
+
+
+def factor_panel(spark, d):
+    levels = ft.lot_features(lots(spark, d), spine(spark, d), wide_neighbours(spark, d)).select(
+        "cell", F.floor(F.col("lots_com_lot") / 4).cast("bigint").alias("lots_level"))
+    rows = model_panel(spark, d).join(levels, "cell", "left").join(boroughs(spark, d), "cell", "left").where("exposure > 0")
+    return rows.select("cell", "month", "hour_of_week", "y", "exposure", "boro", (F.col("hour_of_week") % 24).alias("hour"),
+                       F.coalesce("lots_level", F.lit(0)).cast("bigint").alias("lots_level"))
+
+
+def stored_model(spark, d, columns):
+    """A model of the training months, saved and loaded again."""
+    path = scratch(spark, "model")
+    rate_model.RateModel.fit(rate_model.fold(split(factor_panel(spark, d), "train"), columns), columns, []).save(path)
+    return rate_model.RateModel.load(path)
+
+
+FULL_CATEGORIES = ["boro", "hour"]
+FULL_MEASURES = ["inc_cell_12m", "inc_ring1_12m", "background_cell_12m", "trips_cell_12m", "inc_cellhow_12m", "lane_m_total", "lots_com_frontage_ft"]
+FULL = ((with_sql("spine", "ord", "bg", "trips", "nbr", "boro", "panel") + SOURCES).replace(TRIP_IDX, TRIP_GAP) + SEG_CTES + OLD + NBX + LOT_SQL
+        + MP + ", f10 AS (" + F10_ROWS + "), f7 AS (" + SLOT_ROWS.format(c="(SELECT cell, hour_of_week, month_idx, month, y AS n FROM panel)") + """),
+full_train AS (SELECT m.y, CAST(m.hour_of_week % 24 AS INTEGER) AS hour, f10.*, f7.inc_cellhow_12m FROM mp m JOIN f10 USING (cell, month) JOIN f7 ON f7.cell = m.cell AND f7.month = m.month
+  AND f7.hour_of_week = m.hour_of_week WHERE m.month BETWEEN '1995-01' AND '1998-12' AND m.exposure > 0)
+""")
+
+
+def full_design(spark, d):
+    """Model panel on the network with the features of its cell-months and slots, aligned by key."""
+    rows = network_rows(spark, d)
+    cell_month = ft.cell_month_features(rows, feature_inputs(spark, d), "2001-08", "1995-01")
+    wanted = model_panel(spark, d).join(rows.select("cell", "month").distinct(), ["cell", "month"], "left_semi")
+    slots = ft.slot_history(wanted, orders(spark, d)).withColumn("month", index_label("month_idx"))
+    return ft.assemble(wanted, cell_month, slots)
+
+
+@query("M6_poisson_glm", FULL + " UNION ALL ".join(
+    [f"SELECT '{c}' AS input, coalesce(CAST({c} AS VARCHAR), '') AS level, round(sum(y)::DOUBLE, 2) AS observed, round(sum(y)::DOUBLE, 2) AS fitted FROM full_train GROUP BY 2" for c in FULL_CATEGORIES]
+    + [f"SELECT '{c}', '', round(sum(y * ln(1 + coalesce({c}, 0)::DOUBLE)), 2), round(sum(y * ln(1 + coalesce({c}, 0)::DOUBLE)), 2) FROM full_train" for c in FULL_MEASURES]))
+def _(spark, d):
+    # the maximum of the likelihood is the one place where fitted sums equal observed ones for every column of the design
+    folded = cut_lineage(rate_model.fold(split(full_design(spark, d), "train"), FULL_CATEGORIES + FULL_MEASURES))
+    model = rate_model.RateModel.fit(folded, FULL_CATEGORIES, FULL_MEASURES)
+    return rate_model.balance(model, folded).select("input", "level", F.round("observed", 2).alias("observed"), F.round("fitted", 2).alias("fitted"))
+
+
+@query("M6_one_factor", FACTORS + "SELECT hour, round(sum(y) / sum(exposure), 9) AS rate FROM train GROUP BY hour")
+def _(spark, d):
+    folded = rate_model.fold(split(factor_panel(spark, d), "train"), ["hour"])
+    model = rate_model.RateModel.fit(folded, ["hour"], [])
+    return model.score(folded).select("hour", F.round(F.exp(model.log_rate()), 9).alias("rate"))
+
 
 POISSON_FEATURES = ["cell_number", "hour", "day_of_week", "slot_wave"]
 
@@ -254,13 +322,6 @@ def design(df):
                      F.floor(how / 24).cast("double").alias("day_of_week"), F.pmod(n * 5 + how, F.lit(23.0)).alias("slot_wave"))
 
 
-@query("M6_poisson_glm")
-def _(spark, d):
-    p = design(model_panel(spark, d))
-    model = poisson.GlmRates.fit(split(p, "train"), POISSON_FEATURES)
-    return ev.evaluate(model.predict(split(p, "validate"))).withColumn("intercept", F.lit(float(model.model.intercept)))
-
-
 BOOST = {"learning_rate": 0.3, "max_depth": 5, "min_rows_in_leaf": 200, "feature_fraction": 1.0}
 
 
@@ -271,48 +332,63 @@ def _(spark, d):
     return ev.evaluate(model.predict(split(p, "validate"))).withColumn("trees", F.lit(len(model.trees)))
 
 
-@query("M7_expected_counts", with_sql("panel", "ord", "boro") + MP + """SELECT cell, month, hour_of_week, round(exp(-0.01 * hour_of_week + ln(exposure * rate)), 10) AS mu
-FROM mp, (SELECT sum(y) / sum(exposure) AS rate FROM mp WHERE month BETWEEN '1995-01' AND '1998-12') WHERE month BETWEEN '1999-01' AND '1999-12'""")
+@query("M7_expected_counts", FACTORS + """SELECT cell, month, hour_of_week, round(exposure * rate, 8) AS mu
+FROM valid JOIN (SELECT hour, sum(y) / sum(exposure) AS rate FROM train GROUP BY hour) USING (hour)""")
 def _(spark, d):
-    p = model_panel(spark, d)
-    rate = poisson.base_rate(split(p, "train"))
-    mu = F.exp(-0.01 * F.col("hour_of_week") + poisson.offset(rate))
-    return split(p, "validate").select("cell", "month", "hour_of_week", F.round(mu, 10).alias("mu"))
+    model = stored_model(spark, d, ["hour"])
+    return model.predict(split(factor_panel(spark, d), "validate")).select("cell", "month", "hour_of_week", F.round("mu", 8).alias("mu"))
 
 
-@query("M8_saved_model")
+@query("M8_saved_model", FACTORS + """SELECT cell, month, hour_of_week, round(exposure * rate, 8) AS mu
+FROM valid JOIN (SELECT lots_level, sum(y) / sum(exposure) AS rate FROM train GROUP BY lots_level) USING (lots_level)""")
 def _(spark, d):
-    p = design(model_panel(spark, d))
-    model = poisson.train_boosted(split(p, "train"), None, POISSON_FEATURES, BOOST, rounds=2)
-    path = scratch(spark, "model")
-    model.save(path)
-    again = poisson.BoostedRates.load(path).predict(split(p, "validate"))
-    both = again.select("cell", "month", "hour_of_week", F.col("mu").alias("loaded")).join(
-        model.predict(split(p, "validate")).select("cell", "month", "hour_of_week", "mu"), ["cell", "month", "hour_of_week"])
-    return both.agg(F.count("*").alias("rows"), F.max(F.abs(F.col("mu") - F.col("loaded"))).alias("largest_gap"))
+    model = stored_model(spark, d, ["lots_level"])
+    return model.predict(split(factor_panel(spark, d), "validate")).select("cell", "month", "hour_of_week", F.round("mu", 8).alias("mu"))
+
+
+# rates by hour and lot level without interaction: both margins are fitted in turn until they stand still
+MARGINS = FACTORS + """, cells AS (SELECT hour, lots_level, sum(y)::DOUBLE AS y, sum(exposure)::DOUBLE AS e FROM train GROUP BY ALL),
+byh AS (SELECT list(e ORDER BY hour) AS e, list(y ORDER BY hour) AS y, list(hour ORDER BY hour) AS hours FROM (SELECT hour, list(e ORDER BY lots_level) AS e, sum(y) AS y FROM cells GROUP BY hour)),
+byl AS (SELECT list(y ORDER BY lots_level) AS y, list(lots_level ORDER BY lots_level) AS levels FROM (SELECT lots_level, sum(y) AS y FROM cells GROUP BY lots_level)),
+turn AS (SELECT 0 AS n, list_transform(hours, lambda x: 1.0::DOUBLE) AS a, list_transform(levels, lambda x: 1.0::DOUBLE) AS b FROM byh, byl
+  UNION ALL SELECT n + 1, a2, list_transform(range(1, len(levels) + 1), lambda j: byl.y[j] / list_sum(list_transform(range(1, len(hours) + 1), lambda i: e[i][j] * a2[i]))) FROM (
+    SELECT n, e, hours, list_transform(range(1, len(hours) + 1), lambda i: byh.y[i] / list_sum(list_transform(range(1, len(b) + 1), lambda j: e[i][j] * b[j]))) AS a2
+    FROM turn, byh WHERE n < 60) s, byl),
+ab AS (SELECT hours, levels, a, b FROM turn, byh, byl WHERE n = 60),
+ah AS (SELECT unnest(hours) AS hour, unnest(a) AS a FROM ab), bl AS (SELECT unnest(levels) AS lots_level, unnest(b) AS b FROM ab),
+judged AS (SELECT v.*, ln(a) AS la, ln(b) AS lb FROM valid v JOIN ah USING (hour) JOIN bl USING (lots_level))
+"""
+
+
+def mean_deviance_sql(log_rate: str) -> str:
+    return f"avg(2 * (CASE WHEN y > 0 THEN y * (ln(y / exposure) - ({log_rate})) ELSE 0 END - (y - exposure * exp({log_rate}))))"
 
 
-@query("M9_ablation")
+@query("M9_ablation", MARGINS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + EB_STEPS + """, dev AS (
+  SELECT 'full' AS model, """ + mean_deviance_sql("la + lb") + """ AS d FROM judged UNION ALL
+  SELECT 'ablated', """ + mean_deviance_sql("ln(rate)") + """ FROM valid JOIN (SELECT hour, sum(y) / sum(exposure) AS rate FROM train GROUP BY hour) USING (hour) UNION ALL
+  SELECT 'baseline', """ + mean_deviance_sql("ln(coalesce(sr.rate, hr.rate))") + """ FROM valid v LEFT JOIN (SELECT cell, hour_of_week, rate FROM sr) sr USING (cell, hour_of_week) LEFT JOIN (SELECT boro, hour_of_week, rate FROM hr) hr ON hr.boro = v.boro AND hr.hour_of_week = v.hour_of_week),
+pick AS (SELECT max(d) FILTER (model = 'full') AS f, max(d) FILTER (model = 'ablated') AS a, max(d) FILTER (model = 'baseline') AS b FROM dev)
+SELECT model, round(d, 7) AS mean_poisson_deviance, CASE WHEN f < a THEN 'full' ELSE 'ablated' END AS chosen_variant, CASE WHEN least(f, a) < b THEN 'model' ELSE 'baseline' END AS ships FROM dev, pick""")
 def _(spark, d):
-    p = design(model_panel(spark, d))
-    from weekcell.functions.predicates import drop_prefixed
-    full = poisson.GlmRates.fit(split(p, "train"), POISSON_FEATURES)
-    less = poisson.GlmRates.fit(split(p, "train"), drop_prefixed(POISSON_FEATURES, ("slot_",)))
-    base = fitted(spark, d)
-    valid = split(p, "validate")
-    eb = base.predict(valid, boroughs(spark, d)).withColumn("mu", F.col("rate") * F.col("exposure"))
-    dev = {"full": poisson.deviance_of(full.predict(valid)), "no_lots": poisson.deviance_of(less.predict(valid)),
-           "baseline": poisson.deviance_of(eb)}
-    choice = poisson.choose_model(dev)
-    return spark.createDataFrame([(k, float(v), choice["chosen_variant"], choice["ships"]) for k, v in sorted(dev.items())],
+    p = factor_panel(spark, d)
+    dev = rate_model.ablation(split(p, "train"), split(p, "validate"), ["hour", "lots_level"], [], ("lots_",))
+    eb = fitted(spark, d).predict(split(model_panel(spark, d), "validate").where("exposure > 0"), boroughs(spark, d))
+    dev["baseline"] = poisson.deviance_of(eb.withColumn("mu", F.col("rate") * F.col("exposure")))
+    choice = poisson.choose_model(dev, ablated="ablated")
+    return spark.createDataFrame([(k, round(float(v), 7), choice["chosen_variant"], choice["ships"]) for k, v in sorted(dev.items())],
                                  "model string, mean_poisson_deviance double, chosen_variant string, ships string")
 
 
-@query("M10_feature_importance")
+@query("M10_feature_importance", MARGINS.replace("WITH ", "WITH RECURSIVE ", 1) + """, mid AS (SELECT sum(exposure * la) / sum(exposure) AS ma, sum(exposure * lb) / sum(exposure) AS mb FROM judged),
+lost AS (SELECT 'hour' AS feature, """ + mean_deviance_sql("ma + lb") + " - " + mean_deviance_sql("la + lb") + """ AS l FROM judged, mid UNION ALL
+  SELECT 'lots_level', """ + mean_deviance_sql("la + mb") + " - " + mean_deviance_sql("la + lb") + """ FROM judged, mid)
+SELECT feature, round(l, 7) AS deviance_lost, round(greatest(l, 0) / sum(greatest(l, 0)) OVER (), 6) AS share FROM lost""")
 def _(spark, d):
-    p = design(model_panel(spark, d))
-    model = poisson.train_boosted(split(p, "train"), None, POISSON_FEATURES, BOOST, rounds=3)
-    return spark.createDataFrame(model.importance()[:20], "feature string, gain_share double")
+    p, columns = factor_panel(spark, d), ["hour", "lots_level"]
+    model = rate_model.RateModel.fit(rate_model.fold(split(p, "train"), columns), columns, [])
+    out = rate_model.importance(model, rate_model.fold(split(p, "validate"), columns))
+    return out.select("feature", F.round("deviance_lost", 7).alias("deviance_lost"), F.round("share", 6).alias("share"))
 
 
 # -- level ------------------------------------------------------------------------------------
@@ -439,3 +515,10 @@ def _(spark, d):
     rows = fitted(spark, d).predict(split(model_panel(spark, d), "test"), boroughs(spark, d))
     return rows.groupBy("month").agg(F.round(F.sum(F.col("rate") * F.col("exposure")), 6).alias("predicted"), F.sum("y").alias("observed"))
 
+
+@query("E11_saved_model", FACTORS + """SELECT month, round(sum(exposure * rate), 6) AS predicted, CAST(sum(y) AS BIGINT) AS observed
+FROM fp JOIN (SELECT hour, sum(y) / sum(exposure) AS rate FROM train GROUP BY hour) USING (hour) WHERE month BETWEEN '2000-01' AND '2001-07' GROUP BY month""")
+def _(spark, d):
+    # the test months by a model that was saved before
+    scored_rows = stored_model(spark, d, ["hour"]).predict(split(factor_panel(spark, d), "test"))
+    return scored_rows.groupBy("month").agg(F.round(F.sum("mu"), 6).alias("predicted"), F.sum("y").cast("bigint").alias("observed"))
