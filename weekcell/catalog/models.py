@@ -166,6 +166,54 @@ def _(spark, d):
                       F.col("month_of_year").cast("int").alias("month_of_year"))
 
 
+ASSEMBLED = ["inc_cell_3m", "inc_ring1_12m", "trips_cell_12m"]
+
+
+@query("J18_assembled_rows", with_sql("spine", "ord", "bg", "trips", "nbr", "boro", "panel") + SOURCES + ", f7 AS (" + SLOT_ROWS.format(c="(SELECT cell, hour_of_week, month_idx, month, y AS n FROM panel)")
+       + "), cm AS (SELECT cell, month, " + ", ".join(f"{ALL_HISTORY[c]} AS {c}" for c in ASSEMBLED) + " FROM spine r) SELECT p.cell, p.month, hour_of_week, p.y, hour_of_week // 24 AS day_of_week, hour_of_week % 24 AS hour, "
+       + ", ".join(ASSEMBLED) + ", inc_cellhow_12m FROM panel p JOIN cm USING (cell, month) JOIN f7 USING (cell, month, hour_of_week)")
+def _(spark, d):
+    # the keys of both tables are compared month by month within the plan; one row too few or too many fails
+    p = panel(spark, d)
+    slots = ft.slot_history(p, orders(spark, d)).withColumn("month", index_label("month_idx"))
+    rows = ft.assemble(p, history(spark, d).select("cell", "month", *ASSEMBLED), slots, both_ways=True)
+    return rows.select("cell", "month", F.col("hour_of_week").cast("int").alias("hour_of_week"), "y", F.col("day_of_week").cast("int").alias("day_of_week"),
+                       F.col("hour").cast("int").alias("hour"), *ASSEMBLED, "inc_cellhow_12m")
+
+
+LEAK_CUT = "1998-01"
+
+
+@query("F11_leak_safety", BASE + "SELECT cell, month, " + ", ".join(f"{e} AS {c}" for c, e in ALL_HISTORY.items() if c != "months_on_network_12m")
+       + f" FROM spine r LEFT JOIN boro USING (cell) WHERE month <= '{LEAK_CUT}'")
+def _(spark, d):
+    # the SQL has all months; here every input is cut before the last row's month
+    before = F.col("month") < LEAK_CUT
+    rows = spine(spark, d).where(F.col("month") <= LEAK_CUT).select("cell", "month_idx")
+    out = ft.history_features(rows, orders(spark, d).where(before), rows.limit(0), background(spark, d).where(before), trips(spark, d).where(before),
+                              boroughs(spark, d), wide_neighbours(spark, d))
+    return out.select("cell", index_label("month_idx").alias("month"), *[c for c in ALL_HISTORY if c != "months_on_network_12m"])
+
+
+@query("F11_changed_rows", with_sql("spine", "ord", "nbr") + f""", inc AS (SELECT cell, month_idx, count(*) AS n FROM ord GROUP BY ALL),
+late AS (SELECT cell, month_idx, count(*) AS n FROM ord WHERE month >= '{LEAK_CUT}' GROUP BY ALL), nb AS (SELECT cell AS me, neighbour AS cell FROM nbr),
+late_ring AS (SELECT nb.me AS cell, month_idx, sum(n) AS n FROM late JOIN nb USING (cell) GROUP BY ALL),
+ch AS (SELECT month, """ + trail("late", "n", 12) + " AS own, " + trail("late_ring", "n", 12) + """ AS ring FROM spine r)
+SELECT month, count(*) AS n FROM ch WHERE own > 0 OR ring > 0 GROUP BY month""")
+def _(spark, d):
+    # what later incidents change: only rows after the month they were cut at
+    rows, none = spine(spark, d).select("cell", "month_idx"), spine(spark, d).limit(0)
+    no_counts = none.select("cell", "month", F.lit(0).alias("n"))
+    no_trips = none.select("cell", "month", F.lit(0).alias("starts"), F.lit(0).alias("ends"))
+
+    def build(incidents):
+        out = ft.history_features(rows, incidents, none.select("cell", "month_idx"), no_counts, no_trips, boroughs(spark, d), wide_neighbours(spark, d))
+        return out.select("cell", index_label("month_idx").alias("month"), "inc_cell_1m", "inc_cell_12m", "inc_ring1_12m")
+    o = orders(spark, d)
+    changed = ft.changed_rows(build(o.where(F.col("month") < LEAK_CUT)), build(o), ["cell", "month"])
+    return changed.groupBy("month").agg(F.count("*").alias("n"))
+
+
 # -- empirical Bayes ------------------------------------------------------------------------
 
 # counts with real spread: how many orders pass depends on the cell and the slot
@@ -286,11 +334,11 @@ full_train AS (SELECT m.y, CAST(m.hour_of_week % 24 AS INTEGER) AS hour, f10.*,
 """)
 
 
-def full_design(spark, d):
-    """Model panel on the network with the features of its cell-months and slots, aligned by key."""
-    rows = network_rows(spark, d)
+def full_design(spark, d, months_of):
+    """Model panel on the network with the features of its cell-months and slots, for the months of a split."""
+    rows = split(network_rows(spark, d), months_of)
     cell_month = ft.cell_month_features(rows, feature_inputs(spark, d), "2001-08", "1995-01")
-    wanted = model_panel(spark, d).join(rows.select("cell", "month").distinct(), ["cell", "month"], "left_semi")
+    wanted = split(model_panel(spark, d), months_of).join(rows.select("cell", "month").distinct(), ["cell", "month"], "left_semi")
     slots = ft.slot_history(wanted, orders(spark, d)).withColumn("month", index_label("month_idx"))
     return ft.assemble(wanted, cell_month, slots)
 
@@ -300,7 +348,7 @@ def full_design(spark, d):
     + [f"SELECT '{c}', '', round(sum(y * ln(1 + coalesce({c}, 0)::DOUBLE)), 2), round(sum(y * ln(1 + coalesce({c}, 0)::DOUBLE)), 2) FROM full_train" for c in FULL_MEASURES]))
 def _(spark, d):
     # the maximum of the likelihood is the one place where fitted sums equal observed ones for every column of the design
-    folded = cut_lineage(rate_model.fold(split(full_design(spark, d), "train"), FULL_CATEGORIES + FULL_MEASURES))
+    folded = cut_lineage(rate_model.fold(full_design(spark, d, "train"), FULL_CATEGORIES + FULL_MEASURES))
     model = rate_model.RateModel.fit(folded, FULL_CATEGORIES, FULL_MEASURES)
     return rate_model.balance(model, folded).select("input", "level", F.round("observed", 2).alias("observed"), F.round("fitted", 2).alias("fitted"))
 

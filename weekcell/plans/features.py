@@ -159,19 +159,58 @@ def cell_month_features(rows: DataFrame, inputs: Inputs, last_month: str, histor
             .withColumn("month", index_label("month_idx")))
 
 
+def key_digests(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """(by, n, digest): how many rows a group has, and the sum of the hashes of their keys. The order of rows and partitions does not matter."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.xxhash64(*keys).cast("decimal(38,0)")).alias("digest"))
+
+
+def aligned_groups(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """The groups of two tables with the same keys, row for row; evaluating a group whose keys differ fails.
+
+    A group on one side only, a missing row, a foreign row and a repeated row all differ.
+    """
+    a = key_digests(left, keys, by).select(by, F.struct("n", "digest").alias("_a"))
+    b = key_digests(right, keys, by).select(by, F.struct("n", "digest").alias("_b"))
+    same = F.col("_a").eqNullSafe(F.col("_b"))
+    said = F.concat(F.lit(f"rows of two tables do not match at {by} "), F.coalesce(F.col(by).cast("string"), F.lit("null")), F.lit(": "),
+                    F.coalesce(F.col("_a.n").cast("string"), F.lit("0")), F.lit(" and "), F.coalesce(F.col("_b.n").cast("string"), F.lit("0")))
+    return a.join(b, by, "full_outer").where(F.when(same, F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))).select(by)
+
+
 def assemble(panel: DataFrame, cell_month: DataFrame, cell_slot: DataFrame,
-             drop_prefixes: tuple[str, ...] = ()) -> DataFrame:
-    """Panel rows with all features, by keyed joins; a panel row without features fails on use."""
+             drop_prefixes: tuple[str, ...] = (), both_ways: bool = False) -> DataFrame:
+    """Panel rows with all features, by keyed joins. A panel row without features fails when it is evaluated.
+
+    ``both_ways`` also compares the keys of the slot features with the panel's, month by month, within the same plan: features of rows that
+    the panel lacks fail, too.
+    """
     keys = ("cell", "month", "month_idx")
     names = drop_prefixed([c for c in cell_month.columns if c not in keys], drop_prefixes)
     slot_names = [c for c in cell_slot.columns if c.startswith("inc_cellhow_")]
-    rows = _indexed(panel)
+    rows, slots = _indexed(panel), _indexed(cell_slot)
+    if both_ways:
+        rows = rows.join(aligned_groups(rows, slots, ["cell", "hour_of_week"], "month_idx"), "month_idx", "left_semi")
     out = (rows.join(_indexed(cell_month).select("cell", "month_idx", *names, F.lit(True).alias("_cm")),
                      ["cell", "month_idx"], "left")
-           .join(_indexed(cell_slot).select("cell", "month_idx", "hour_of_week", *slot_names, F.lit(True).alias("_cs")),
+           .join(slots.select("cell", "month_idx", "hour_of_week", *slot_names, F.lit(True).alias("_cs")),
                  ["cell", "month_idx", "hour_of_week"], "left"))
-    return (out.withColumn("day_of_week", day_of_week("hour_of_week")).withColumn("hour", hour_of_day("hour_of_week"))
-            .withColumn("aligned", F.col("_cm").isNotNull() & F.col("_cs").isNotNull()).drop("_cm", "_cs"))
+    said = F.concat(F.lit("no features for cell "), F.coalesce("cell", F.lit("null")), F.lit(" in "), index_label("month_idx"))
+    found = F.when(F.col("_cm") & F.col("_cs"), F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))
+    return (out.where(found).drop("_cm", "_cs")
+            .withColumn("day_of_week", day_of_week("hour_of_week")).withColumn("hour", hour_of_day("hour_of_week")))
+
+
+def changed_rows(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, change): rows of two feature builds that were "added", "removed" or "changed" in any column; equal rows are left out.
+
+    Rows are compared by a 64-bit hash of all other columns, nulls included, so only keys and hashes are shuffled.
+    """
+    def hashed(df: DataFrame, name: str) -> DataFrame:
+        marked = [x for c in sorted(set(df.columns) - set(keys)) for x in (F.col(c).isNull(), F.col(c))]
+        return df.select(*keys, F.xxhash64(*marked).alias(name))
+    both = hashed(before, "_a").join(hashed(after, "_b"), keys, "full_outer")
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed")
+    return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys, change.alias("change"))
 
 
 def misaligned(panel: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
