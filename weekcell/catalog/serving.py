@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weekcell.catalog.inputs import SPLITS, background, boroughs, lots, panel, spine, table, with_sql
+from weekcell.catalog.inputs import SPLITS, background, boroughs, lots, neighbours, orders, panel, scored, spine, table, with_sql
 from weekcell.catalog.registry import query
 from weekcell.catalog.stages import scratch, staged
 from weekcell.catalog.times import DAILY, daily
@@ -18,7 +18,9 @@ MONTH, AS_OF = "2000-01", "1999-12-20"
 SERVED = """, grid AS (SELECT cell, h AS hour_of_week FROM (SELECT DISTINCT cell FROM panel), (SELECT CAST(unnest(range(168)) AS INTEGER) AS h)),
 tr AS (SELECT cell, hour_of_week, (sum(y) + 0.5::DOUBLE) / (sum(exposure) + 100.0::DOUBLE) AS mu FROM panel WHERE month BETWEEN '1995-01' AND '1998-12' GROUP BY ALL),
 lf AS (SELECT DATE '1999-10-24' AS window_start, DATE '1999-12-18' AS window_end, sum(observed) AS observed, sum(predicted) AS predicted, sum(observed) / sum(predicted) AS factor FROM daily WHERE day BETWEEN DATE '1999-10-24' AND DATE '1999-12-18'),
-raw AS (SELECT cell, sum(n)::DOUBLE AS value FROM bg WHERE cell IN (SELECT cell FROM panel) GROUP BY cell),
+sees AS (SELECT cell AS me, neighbour AS cell FROM nbr UNION SELECT neighbour, cell FROM nbr UNION SELECT DISTINCT cell, cell FROM panel),
+raw AS (SELECT c.cell, coalesce(sum(n), 0)::DOUBLE AS value FROM (SELECT DISTINCT cell FROM panel) c LEFT JOIN sees ON sees.me = c.cell
+  LEFT JOIN bg ON bg.cell = sees.cell AND bg.month BETWEEN '1999-01' AND '1999-12' GROUP BY c.cell),
 r1 AS (SELECT cell, value / (SELECT quantile_cont(value, 0.5) FROM raw) AS r FROM raw),
 idx AS (SELECT cell, greatest(r, (SELECT quantile_cont(r, 0.05) FROM r1)) AS propensity_index FROM r1),
 hist AS (SELECT cell, hour_of_week, coalesce(y / e, 0) AS historical, coalesce(e, 0)::DOUBLE AS historical_hours FROM grid LEFT JOIN (
@@ -26,8 +28,8 @@ hist AS (SELECT cell, hour_of_week, coalesce(y / e, 0) AS historical, coalesce(e
 preds AS (SELECT cell, hour_of_week, mu * factor AS predicted, mu * factor / propensity_index AS adjusted, historical, historical_hours
   FROM tr JOIN idx USING (cell) JOIN hist USING (cell, hour_of_week), lf)
 """
-BASE = with_sql("panel", "scored", "ord", "bg") + DAILY + SERVED
-INPUTS = with_sql("panel", "scored", "ord", "bg", "boro", "lots") + DAILY + SERVED
+BASE = with_sql("panel", "scored", "ord", "bg", "nbr") + DAILY + SERVED
+INPUTS = with_sql("panel", "scored", "ord", "bg", "boro", "lots", "nbr") + DAILY + SERVED
 
 
 def index(spark, d):
@@ -35,9 +37,9 @@ def index(spark, d):
 
 
 def build_index(spark, d):
-    known = spine(spark, d).select("cell").distinct()
-    raw = background(spark, d).join(known, "cell", "left_semi").groupBy("cell").agg(F.sum("n").alias("value"))
-    return sv.reporting_index(raw)
+    own = neighbours(spark, d)
+    both = own.unionByName(own.select(F.col("neighbour").alias("cell"), F.col("cell").alias("neighbour"))).distinct()
+    return sv.reporting_index(sv.trailing_background(background(spark, d), both, spine(spark, d), MONTH))
 
 
 def factor(spark, d):
@@ -73,6 +75,34 @@ def _(spark, d):
     return factor(spark, d).withColumn("predicted", F.round("predicted", 6)).withColumn("factor", F.round("factor", 9))
 
 
+# days of the served month itself, by the rates that are about to be served
+SERVING_DAYS = """, srv AS (SELECT cell, month, hour_of_week, exposure, exposure * mu AS mu FROM panel JOIN tr USING (cell, hour_of_week) WHERE month = '2000-01'),
+both_ AS (SELECT cell, month, hour_of_week, exposure, mu FROM scored UNION ALL SELECT cell, month, hour_of_week, exposure, mu FROM srv),
+brate AS (SELECT month, hour_of_week // 24 AS dow, sum(mu / exposure) AS predicted FROM both_ WHERE exposure > 0 GROUP BY ALL),
+bobs AS (SELECT CAST(ts AS DATE) AS day, count(*) AS observed FROM ord WHERE (cell, month) IN (SELECT (cell, month) FROM both_) GROUP BY ALL),
+bdays AS (SELECT day, coalesce(observed, 0)::DOUBLE AS observed, predicted FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1999-01-01', TIMESTAMP '2000-01-31', INTERVAL 1 DAY)) AS DATE) AS day)
+  JOIN brate ON month = strftime(day, '%Y-%m') AND dow = isodow(day) - 1 LEFT JOIN bobs USING (day))
+"""
+AS_OF_DAYS = ["1999-12-31", "2000-01-02", "2000-01-03", "2000-01-20", "2000-02-02"]
+
+
+@query("X2_window_into_month", BASE + SERVING_DAYS + "SELECT as_of, min(day) AS window_start, max(day) AS window_end, sum(observed) AS observed, round(sum(predicted), 6) AS predicted, round(sum(observed) / sum(predicted), 9) AS factor FROM (VALUES "
+       + ", ".join(f"('{x}')" for x in AS_OF_DAYS) + ") v(as_of) JOIN bdays ON day BETWEEN CAST(as_of AS DATE) - 57 AND CAST(as_of AS DATE) - 2 GROUP BY as_of")
+def _(spark, d):
+    # windows that end before the served month, on its first days, within it and on its last day
+    p = panel(spark, d)
+    rate = p.where(F.col("month").between(*SPLITS["train"])).groupBy("cell", "hour_of_week").agg(
+        ((F.sum("y") + 0.5) / (F.sum("exposure") + 100.0)).alias("rate"))
+    serving = p.where(F.col("month") == MONTH).join(rate, ["cell", "hour_of_week"]).withColumn("mu", F.col("exposure") * F.col("rate"))
+    starts = orders(spark, d).select("cell", "month", F.col("ts").alias("start"))
+    out = None
+    for as_of in AS_OF_DAYS:
+        one = level.serving_factor(scored(spark, d), serving, starts, MONTH, as_of).select(
+            F.lit(as_of).alias("as_of"), "window_start", "window_end", "observed", F.round("predicted", 6).alias("predicted"), F.round("factor", 9).alias("factor"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("X3_reporting_index", BASE + "SELECT cell, round(propensity_index, 9) AS propensity_index FROM idx")
 def _(spark, d):
     return rounded(build_index(spark, d), "propensity_index", places=9)

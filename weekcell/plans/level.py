@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weekcell.functions.calendar import day_of_week, label_index, month_label
@@ -98,3 +100,23 @@ def factor_as_of(daily: DataFrame, as_of: str, window_days: int = WINDOW_DAYS, l
     ratio = F.when(F.col("days") == window_days, F.col("observed") / F.col("predicted")).otherwise(
         F.raise_error(F.lit("recalibration window is not covered by daily totals")).cast("double"))
     return one.withColumn("factor", ratio).drop("days")
+
+
+def serving_factor(prior: DataFrame, serving: DataFrame, incidents: DataFrame, month: str, as_of: str,
+                   window_days: int = WINDOW_DAYS, lag_days: int = LAG_DAYS) -> DataFrame:
+    """The factor of ``factor_as_of`` for a table that serves ``month``, whose window may reach into that month.
+
+    ``prior`` holds predicted rows of earlier months, as they were stored; days of the serving month come from ``serving``, the rows that are about to be
+    served. Rows of ``prior`` from the serving month on and rows of ``serving`` in other months are left out, so no day counts
+    twice. An as-of date whose window ends after the serving month is refused.
+    """
+    end = date.fromisoformat(as_of) - timedelta(days=lag_days)
+    start = end - timedelta(days=window_days - 1)
+    last = f"{end:%Y-%m}"
+    if last > month:
+        raise ValueError(f"the window as of {as_of} ends in {last}, after the served month {month}")
+    # the months of the window as two literals, so that the scan of the stored rows reads no others
+    inside = F.col("month").between(f"{start:%Y-%m}", last)
+    keep = ["cell", "month", "hour_of_week", "mu", "exposure"]
+    rows = prior.where(inside & (F.col("month") < month)).select(keep).unionByName(serving.where(inside & (F.col("month") == month)).select(keep))
+    return factor_as_of(daily_totals(rows, incidents), as_of, window_days, lag_days)

@@ -34,6 +34,19 @@ def reporting_index(raw: DataFrame, value: str = "value") -> DataFrame:
     return scaled.select("cell", F.greatest("_r", lowest).alias("propensity_index"))
 
 
+def trailing_background(background: DataFrame, neighbours: DataFrame, cells: DataFrame, month: str, window: int = 12) -> DataFrame:
+    """(cell, value): background events of the cell and its ring-1 neighbours over the ``window`` months before ``month``; 0 without any.
+
+    Counts (cell, month, n) are cut to the window before anything is sent to a neighbour, so data of the served month or later has no part.
+    """
+    at = int(month[:4]) * 12 + int(month[5:]) - 1
+    lo = f"{(at - window) // 12:04d}-{(at - window) % 12 + 1:02d}"
+    own = background.where((F.col("month") >= lo) & (F.col("month") < month)).groupBy("cell").agg(F.sum("n").alias("n"))
+    sent = own.join(neighbours, "cell").select(F.col("neighbour").alias("cell"), "n")
+    sums = own.unionByName(sent).groupBy("cell").agg(F.sum("n").cast("double").alias("value"))
+    return cells.select("cell").distinct().join(sums, "cell", "left").select("cell", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def historical_rates(cells: DataFrame, panel: DataFrame, month: str) -> DataFrame:
     """(cell, hour_of_week, historical, historical_hours) over the 12 months before ``month``; no history is 0."""
     year, number = (int(x) for x in month.split("-"))
