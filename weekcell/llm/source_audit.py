@@ -1,8 +1,9 @@
 """Audit of how far the sources of a language diverge in their words, by chunk factorization.
 
 A chunk is a run of other bytes than ASCII white space (``[^\\x20\\x09-\\x0D]+``); a term is a run of ASCII letters and characters beyond ASCII,
-A-Z in lower case, so a term never crosses two chunks. Documents are only split into chunks, which each task counts for itself. The chunks
-are dealt once; where all rows of a chunk meet, it is cut into terms, once for the whole corpus, and its terms are joined back to its counts.
+A-Z in lower case, so a term never crosses two chunks. Documents are only split into chunks. Each globally distinct chunk is cut into terms once,
+and its terms are joined back to the chunk's counts: first to its documents by language, which decides which terms are kept, then to its
+occurrences by source.
 
 Terms are kept where a language has them in ``least`` documents or more. Chunks count their documents exactly, so a term has between
 the most of one chunk and the sum of all its chunks. Where that leaves the question open, the documents with these chunks are looked up in the
@@ -37,7 +38,7 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Different chunks that a task counts before it sends them on, and rows in one batch.
 HELD_CHUNKS = 400_000
 BATCH_ROWS = 50_000
-#: Bits of the filter of open chunks (4 MB); a full one costs time, not results.
+#: Bits of the filters of chunks (4 MB); a full one costs time, not results.
 FILTER_BITS = 1 << 25
 #: Sources in a tile and terms in a block: the sides of the matrices that are compared.
 TILE_SOURCES = 256
@@ -52,35 +53,34 @@ def _texts(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple]:
         yield from zip(*[c.slice(low, high - low).to_pylist() for c in batch.columns])
 
 
-def _flush(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-    """Counts of each (lang, source) by chunk; an empty chunk stands for the group itself."""
-    names = ["chunk", "lang", "source", "n", "docs"]
-    parts = []
-    for (lang, source), (times, docs) in held.items():
-        chunks = pa.array([b"", *times], pa.binary()).cast(pa.string())
-        parts.append(pa.RecordBatch.from_arrays(
-            [chunks, pa.repeat(lang, len(chunks)), pa.repeat(source, len(chunks)), pa.array([0, *times.values()], pa.int64()),
-             pa.array([0, *(docs[c] for c in times)], pa.int64())], names))
-    if parts:
-        yield from pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
-    held.clear()
+def _batches(columns: dict[str, tuple[list, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+    """Lists as batches of BATCH_ROWS rows; chunks are bytes and become strings."""
+    arrays = [pa.array(v, pa.binary()).cast(t) if name == "chunk" else pa.array(v, t) for name, (v, t) in columns.items()]
+    yield from pa.Table.from_arrays(arrays, list(columns)).to_batches(max_chunksize=BATCH_ROWS)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = {}, 0
+def _documents_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, lang, docs): in how many documents of the language each chunk stands, summed as far as memory allows."""
+    held: dict[str, Counter] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, docs in held.items():
+            yield from _batches({"chunk": (list(docs), pa.string()), "lang": ([lang] * len(docs), pa.string()), "docs": (list(docs.values()), pa.int64())})
+        held.clear()
+
+    size = 0
     for batch in batches:
-        for text, lang, source in _texts(batch):
-            times, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            before, own = len(times), None
+        for text, lang in _texts(batch):
+            docs = held.setdefault(lang, Counter())
+            before, own = len(docs), set()
             for words in word_lists(text):
-                times.update(words)
-                own = set(words) if own is None else own.union(words)
-            docs.update(own or ())
-            size += len(times) - before
+                own.update(words)
+            docs.update(own)
+            size += len(docs) - before
             if size > HELD_CHUNKS:
-                yield from _flush(held)
+                yield from flush()
                 size = 0
-    yield from _flush(held)
+    yield from flush()
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -94,57 +94,88 @@ def terms_of(chunk: Column) -> Column:
 
 
 def factorized(docs: DataFrame) -> DataFrame:
-    """(lang, source, chunk, term, n, docs) as a written table: how often the chunk brings the term to the source's documents of the language, and in how many
-    of these the chunk stands. Every (lang, source) has a row, with null term, also where it has no terms.
-    """
-    counted = _prepared(docs).mapInArrow(_count, "chunk string, lang string, source string, n long, docs long").repartition("chunk")
-    sums = counted.groupBy("chunk", "lang", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    # dealt by chunk already: the distinct chunks and the join back need no further exchange
-    cut = (counted.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows")).select("chunk", F.explode(terms_of(F.col("chunk"))).alias("term"))
+    """(lang, chunk, term, times, docs) as a written table: the documents of a language that hold the chunk, and how often the chunk holds the term."""
+    counted = _prepared(docs).select("text", "lang").mapInArrow(_documents_of_chunks, "chunk string, lang string, docs long")
+    chunks = written(counted.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs")), "chunks", compression="zstd")
+    cut = (chunks.select("chunk").distinct().select("chunk", F.explode(terms_of(F.col("chunk"))).alias("term"))
            .groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times")))
-    joined = sums.join(cut, "chunk", "left").filter(F.col("term").isNotNull() | (F.col("chunk") == ""))
-    return written(joined.select("lang", "source", "chunk", "term", (F.col("n") * F.coalesce("times", F.lit(0))).alias("n"), "docs"),
-                   "factors", compression="zstd")
+    return written(chunks.join(cut, "chunk").select("lang", "chunk", "term", "times", "docs"), "factors", compression="zstd")
 
 
-def _open_rows(shared):
-    """(row, lang, chunk) for every different chunk of a document that the filter lets pass."""
+def _second_look(wanted, doubtful):
+    """(chunk, lang, source, n, row) of the chunks that the filter ``wanted`` lets pass: occurrences by source, with null row; and of those that ``doubtful``
+    lets pass a row for each document that holds them, with null source and n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, passes = shared.value, {}
+        first, second = wanted.value, doubtful.value
+        seen: set[bytes] = set()
+        unwanted: set[bytes] = set()
+        open_chunks: set[bytes] = set()
+        held: dict[tuple[str, str], Counter] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, source), times in held.items():
+                kept = [c for c in times if c not in unwanted]
+                n = len(kept)
+                yield from _batches({"chunk": (kept, pa.string()), "lang": ([lang] * n, pa.string()), "source": ([source] * n, pa.string()),
+                                     "n": ([times[c] for c in kept], pa.int64()), "row": ([None] * n, pa.int64())})
+            for v in (held, seen, unwanted, open_chunks):
+                v.clear()
+
         for batch in batches:
-            rows, langs, chunks = [], [], []
-            for text, lang, row in _texts(batch):
-                own = set()
+            chunks, langs, rows = [], [], []
+            for text, lang, source, row in _texts(batch):
+                times = held.setdefault((lang, source), Counter())
+                before, own = len(times), set()
                 for words in word_lists(text):
+                    times.update(words)
                     own.update(words)
-                new = [c for c in own if c not in passes]
+                new = list(own - seen)
                 if new:
-                    if len(passes) > HELD_CHUNKS:
-                        passes, new = {}, list(own)
                     slots = np.array([xxhash.xxh64_intdigest(c, 42) % FILTER_BITS for c in new], dtype=np.int64)
-                    passes.update(zip(new, bitmaps.holds(bitmap, slots).tolist()))
-                hit = [c for c in own if passes[c]]
-                rows += [row] * len(hit)
-                langs += [lang] * len(hit)
+                    seen.update(new)
+                    unwanted.update(c for c, hit in zip(new, bitmaps.holds(first, slots).tolist()) if not hit)
+                    open_chunks.update(c for c, hit in zip(new, bitmaps.holds(second, slots).tolist()) if hit)
+                hit = own & open_chunks
                 chunks += hit
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(langs, pa.string()), pa.array(chunks, pa.binary()).cast(pa.string())],
-                                             ["row", "lang", "chunk"])
+                langs += [lang] * len(hit)
+                rows += [row] * len(hit)
+                size += len(times) - before
+                if size > HELD_CHUNKS:
+                    yield from flush()
+                    size = 0
+            none = [None] * len(rows)
+            yield from _batches({"chunk": (chunks, pa.string()), "lang": (langs, pa.string()), "source": (none, pa.string()), "n": (none, pa.int64()),
+                                 "row": (rows, pa.int64())})
+        yield from flush()
     return run
 
 
-def kept_terms(docs: DataFrame, factors: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(lang, term) of terms that stand in ``least`` documents of the language, as a written table."""
+def kept_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
+    """(lang, term) of the terms that stand in ``least`` documents of the language, and (lang, source, term, n) of their occurrences; both written.
+
+    The filters have a fixed size and pass through the driver; they only spare rows, the joins decide.
+    """
     spark = docs.sparkSession
-    by_chunk = factors.filter(F.col("term").isNotNull()).groupBy("lang", "chunk", "term").agg(F.sum("docs").alias("docs"))
-    bounds = written(by_chunk.groupBy("lang", "term").agg(F.sum("docs").alias("most"), F.max("docs").alias("fewest")).filter(F.col("most") >= least), "bounds")
-    sure, open_terms = bounds.filter(F.col("fewest") >= least), bounds.filter(F.col("fewest") < least)
-    wanted = written(factors.select("lang", "chunk", "term").distinct().join(open_terms.select("lang", "term"), ["lang", "term"]), "open")
-    bitmap = bitmaps.build(wanted.select(bitmaps.slot(F.col("chunk"), FILTER_BITS).alias("slot")).distinct(), FILTER_BITS)
-    rows = (_prepared(docs).select("text", "lang", F.monotonically_increasing_id().alias("row"))
-            .mapInArrow(_open_rows(spark.sparkContext.broadcast(bitmap)), "row long, lang string, chunk string"))
-    found = (rows.join(wanted, ["lang", "chunk"]).select("lang", "term", "row").distinct()
+    factors = factorized(docs)
+    bounds = written(factors.groupBy("lang", "term").agg(F.sum("docs").alias("most"), F.max("docs").alias("fewest")).filter(F.col("most") >= least), "bounds")
+    wanted = written(factors.drop("docs").join(bounds.select("lang", "term", (F.col("fewest") < least).alias("open")), ["lang", "term"]), "wanted",
+                     compression="zstd")
+
+    def shared(chunks: DataFrame):
+        slots = chunks.select(bitmaps.slot(F.col("chunk"), FILTER_BITS).alias("slot")).distinct()
+        return spark.sparkContext.broadcast(bitmaps.build(slots, FILTER_BITS))
+
+    rows = _prepared(docs).withColumn("row", F.monotonically_increasing_id())
+    look = written(rows.mapInArrow(_second_look(shared(wanted), shared(wanted.filter("open"))), "chunk string, lang string, source string, n long, row long"),
+                   "look", compression="zstd")
+    found = (look.filter(F.col("row").isNotNull()).join(wanted.filter("open"), ["lang", "chunk"]).select("lang", "term", "row").distinct()
              .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= least))
-    return written(sure.select("lang", "term").union(found.select("lang", "term")), "kept")
+    kept = written(bounds.filter(F.col("fewest") >= least).select("lang", "term").union(found.select("lang", "term")), "kept")
+    sums = look.filter(F.col("row").isNull()).groupBy("lang", "chunk", "source").agg(F.sum("n").alias("n"))
+    counts = (sums.join(wanted.join(kept, ["lang", "term"]), ["lang", "chunk"]).groupBy("lang", "source", "term")
+              .agg(F.sum(F.col("n") * F.col("times")).alias("n")))
+    return kept, written(counts, "counts")
 
 
 def _p(n: Column, total: Column, terms: Column) -> Column:
@@ -161,11 +192,9 @@ def _f(p: Column, q: Column) -> Column:
 def profiles(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counts (lang, source, term, n, p) of kept terms that occur, levels (lang, source, terms, total, zero) of every group, ``zero`` being the p
     of a count of 0, and the languages' (lang, term, q). Counts and levels are written tables."""
-    factors = factorized(docs)
-    kept = kept_terms(docs, factors, least)
-    counts = written(factors.join(kept, ["lang", "term"]).groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "counts")
+    kept, counts = kept_counts(docs, least)
     terms = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
-    groups = (factors.filter(F.col("chunk") == "").select("lang", "source").distinct().join(terms, "lang", "left")
+    groups = (_prepared(docs).select("lang", "source").distinct().join(terms, "lang", "left")
               .join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
               .select("lang", "source", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("total", F.lit(0)).alias("total")))
     levels = written(groups.withColumn("zero", _p(F.lit(0), F.col("total"), F.col("terms"))), "levels")
