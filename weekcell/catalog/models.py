@@ -531,9 +531,18 @@ def _(spark, d):
     return ev.metric_mismatches(monthly_results(spark, d), ledger(spark, d), metrics=LEDGER_METRICS)
 
 
-@query("E7_fingerprint")
+def digest_sql(columns):
+    text = " || ".join(f"CASE WHEN {c} IS NULL THEN 'n' ELSE 's' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in columns)
+    half = [f"coalesce(sum(CAST('0x' || substr(md5({text}), {at}, 16) AS UBIGINT)), 0)::HUGEINT" for at in (1, 17)]
+    return f"concat_ws('-', {half[0]}, {half[1]}, count(*))"
+
+
+DIGESTED = ["cell", "month", "hour_of_week", "y", "exposure"]
+
+
+@query("E7_fingerprint", with_sql("panel") + f"SELECT {digest_sql(DIGESTED)} AS fingerprint FROM panel")
 def _(spark, d):
-    return ev.fingerprint(panel(spark, d), ["cell", "month", "hour_of_week", "y", "exposure"])
+    return ev.fingerprint(panel(spark, d), DIGESTED)
 
 
 @query("E8_latest_and_new", with_sql("scored") + LEDGER + """SELECT version, 'latest' AS kind, incidents FROM led WHERE evaluated_at = 1
@@ -544,6 +553,20 @@ def _(spark, d):
     return latest.unionByName(new)
 
 
+@query("E8_recorded_once", with_sql("scored") + f""", res AS (SELECT month AS version, {digest_sql(DIGESTED)} AS digest, round({DEV}, 9) AS mean_poisson_deviance, sum(y)::DOUBLE AS incidents, round(sum(mu), 6) AS predicted_incidents FROM scored GROUP BY month)
+SELECT version, digest, mean_poisson_deviance, incidents, predicted_incidents, 1::BIGINT AS entries FROM res""")
+def _(spark, d):
+    # two runs over the months that are there at the time: the second records only what is new
+    path = scratch(spark, "ledger")
+    results = scored(spark, d).groupBy(F.col("month").alias("version")).agg(
+        ev.digest(DIGESTED).alias("digest"), F.round(ev.mean_poisson_deviance(), 9).alias("mean_poisson_deviance"),
+        F.sum("y").cast("double").alias("incidents"), F.round(F.sum("mu"), 6).alias("predicted_incidents"))
+    ev.record_once(path, results.where("version < '1999-08'"), LEDGER_METRICS)
+    ev.record_once(path, results, LEDGER_METRICS)
+    held = spark.read.parquet(path)
+    return held.groupBy("version", "digest", *LEDGER_METRICS).agg(F.count("*").alias("entries"))
+
+
 @query("E9_unseen_slots", with_sql("panel") + """SELECT month, count(*) AS unseen FROM panel WHERE month BETWEEN '1999-01' AND '1999-12'
 AND (cell, hour_of_week) NOT IN (SELECT (cell, hour_of_week) FROM panel WHERE month BETWEEN '1995-01' AND '1998-12' AND y > 0) GROUP BY month""")
 def _(spark, d):

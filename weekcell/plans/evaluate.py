@@ -118,25 +118,56 @@ def metric_mismatches(results: DataFrame, ledger: DataFrame, rel: float = 1e-9,
     return now.join(old, ["version", "metric"]).where(gap > rel * F.greatest(F.lit(1.0), F.abs("recorded")))
 
 
-def new_versions(results: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Results whose version the ledger does not hold: the only rows that may be appended."""
-    return results.join(ledger.select("version").distinct(), "version", "left_anti")
+def new_versions(results: DataFrame, ledger: DataFrame, keys: tuple[str, ...] = ("version",)) -> DataFrame:
+    """Results whose keys the ledger does not hold: the only rows that may be appended."""
+    return results.join(ledger.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def record_once(path: str, results: DataFrame) -> None:
-    """Verify known versions, append new ones; a known version that moved is an error."""
+def reevaluated(results: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(version, digest, recorded) of known versions that come with a digest of other data than any they were recorded with."""
+    known = ledger.select("version", F.col("digest").alias("recorded")).distinct()
+    other = new_versions(results.select("version", "digest"), ledger, ("version", "digest"))
+    return other.join(known, "version")
+
+
+def record_once(path: str, results: DataFrame, metrics: list[str] = METRICS) -> None:
+    """Append versions that the ledger does not hold; a known version is only verified.
+
+    A known version whose metrics moved is an error. Where results carry a ``digest`` of the rows they were evaluated on, so is one that comes with other
+    rows: a version is evaluated once. Nothing is written before both checks have passed.
+    """
     from weekcell.operators.scale import assert_empty
     from weekcell.sources.store import _exists
     spark = results.sparkSession
     stamped = results.withColumn("evaluated_at", F.current_timestamp())
     if _exists(spark, path):
         ledger = spark.read.parquet(path)
-        assert_empty(metric_mismatches(results, ledger), "recorded metrics do not reproduce")
+        if "digest" in results.columns:
+            assert_empty(reevaluated(results, ledger), "a version was evaluated on other rows before")
+        assert_empty(metric_mismatches(results, ledger, metrics=metrics), "recorded metrics do not reproduce")
         stamped = new_versions(stamped, ledger)
     stamped.write.mode("append").parquet(path)
 
 
+def row_text(columns: list[str]) -> Column:
+    """One text for a row that no other row of these columns has: each value with its length before it, nulls marked."""
+    def told(c: str) -> Column:
+        value = F.col(c).cast("string")
+        return F.when(value.isNull(), "n").otherwise(F.concat(F.lit("s"), F.char_length(value).cast("string"), F.lit(":"), value))
+    return F.concat(*[told(c) for c in columns])
+
+
+def digest(columns: list[str]) -> Column:
+    """Aggregate: 128-bit content digest that ignores the order of rows and can be computed by any SQL engine.
+
+    Each row's MD5 is cut into two numbers of 64 bits; both are summed as decimals, which doesn't overflow below 10**18 rows, and told with the count.
+    Rows that occur twice count twice. Floating columns should be rounded to decimals by the caller.
+    """
+    h = F.md5(row_text(columns).cast("binary"))
+    half = lambda at: F.coalesce(F.sum(F.conv(F.substring(h, at, 16), 16, 10).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
+    return F.concat_ws("-", half(1).cast("string"), half(17).cast("string"), F.count("*").cast("string"))
+
+
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: content hash that ignores row order; row hashes are added as decimals, so nothing overflows."""
-    h = F.xxhash64(*columns).cast("decimal(20,0)")
-    return df.agg(F.sha2(F.concat_ws("|", F.sum(h).cast("string"), F.count("*").cast("string")), 256).alias("fingerprint"))
+    """One row: the ``digest`` of a table."""
+    return df.agg(digest(columns).alias("fingerprint"))
