@@ -3,11 +3,12 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from conftest import rows
 from weekcell.functions import calendar as cal
-from weekcell.sources import readers, store
+from weekcell.sources import readers, store, versions
 from weekcell.sources.schemas import GRID_SCHEMA, conform
 
 T = datetime.fromisoformat
@@ -42,7 +43,7 @@ def test_W2_updates_null_changes_and_vanished_rows(spark):
 
 def test_W3_W4_guards_stop_the_write(spark, tmp_path):
     path = str(tmp_path / "s")
-    with pytest.raises(ValueError, match="duplicate"):
+    with pytest.raises(ValueError, match="more than once"):
         store.ingest_rows(spark, path, req(spark, [FIRST[0], FIRST[0]]), ["2023-01"], NOW)
     with pytest.raises(ValueError, match="outside"):
         store.ingest_rows(spark, path, req(spark, FIRST), ["2023-01"], NOW)
@@ -152,3 +153,96 @@ def test_S12_S13_lots(spark):
     with pytest.raises(ValueError, match="version"):
         readers.check_single_version(two)
     assert {r["version"] for r in readers.latest_snapshot(two).collect()} == {"25v1"}
+
+
+def lines(spark, data):
+    return spark.createDataFrame(data, "month string, k bigint, v string")
+
+
+def test_versions_dead_writer_is_never_seen(spark, tmp_path, monkeypatch):
+    path, months = str(tmp_path / "s"), ["2020-05", "2020-06"]
+    versions.replace_months(spark, path, lines(spark, [("2020-05", 1, "a"), ("2020-06", 2, "b")]), months, NOW, ["k"])
+    snapshot = readers.read_store(spark, path)
+
+    def dies(*_):
+        raise RuntimeError("writer lost")
+    with monkeypatch.context() as m:
+        m.setattr(versions, "publish", dies)
+        with pytest.raises(RuntimeError):
+            versions.replace_months(spark, path, lines(spark, [("2020-05", 9, "half")]), months, NOW)
+        with pytest.raises(RuntimeError):
+            store.ingest_rows(spark, str(tmp_path / "r"), req(spark, FIRST[:1]), ["2023-01"], NOW)
+    assert rows(readers.read_store(spark, path), "k") == [(1,), (2,)]
+    assert versions.current(spark, str(tmp_path / "r")) == {}
+    # the same pull again goes through, a month without rows is emptied, and an older reader keeps its snapshot
+    versions.replace_months(spark, path, lines(spark, [("2020-05", 9, "whole")]), months, NOW)
+    assert rows(readers.read_store(spark, path), "month", "k", "v") == [("2020-05", 9, "whole")]
+    assert rows(snapshot, "k") == [(1,), (2,)]
+    assert rows(versions.superseded(spark, path), "month") == [("2020-05",), ("2020-06",)]
+    versions.replace_months(spark, path, lines(spark, []), ["2020-05"], NOW)
+    assert readers.read_store(spark, path).columns == ["k", "v", "month"] and readers.read_store(spark, path).collect() == []
+
+
+def test_versions_two_writers(spark, tmp_path):
+    path = str(tmp_path / "s")
+    versions.replace_months(spark, path, lines(spark, [("2020-05", 1, "a")]), ["2020-05"], NOW)
+    base = versions.current(spark, path)
+    mine = versions.write_pull(lines(spark, [("2020-05", 2, "mine")]), path)
+    other = lines(spark, [("2020-05", 3, "other")])
+    versions.replace_months(spark, path, other, ["2020-05"], NOW)
+    with pytest.raises(ValueError, match="meanwhile"):
+        versions.publish(spark, path, mine, other.schema, ["2020-05"], base, NOW)
+    # months that the other one did not touch go through
+    june = versions.write_pull(lines(spark, [("2020-06", 4, "june")]), path)
+    versions.publish(spark, path, june, other.schema, ["2020-06"], base, NOW)
+    assert rows(readers.read_store(spark, path), "k") == [(3,), (4,)]
+
+
+def test_versions_keep_columns_that_a_later_pull_lacks(spark, tmp_path):
+    path = str(tmp_path / "s")
+    full = req(spark, FIRST)
+    store.ingest_rows(spark, path, full, ["2023-01", "2023-02", "2023-03"], NOW)
+    done = store.ingest_rows(spark, path, full.drop("status").where("unique_key = '2'"), ["2023-02"], NOW)
+    assert rows(done, "month", "fetched", "updated") == [("2023-02", 1, 0)]
+    extra = full.where("unique_key = '3'").withColumn("borough", F.lit("east"))
+    store.ingest_rows(spark, path, extra, ["2023-03"], NOW)
+    got = readers.read_store(spark, path)
+    assert rows(got, "unique_key", "status", "borough") == [("1", "Open", None), ("2", None, None), ("3", "Open", "east")]
+
+
+def test_versions_list_only_the_folders_of_the_months(spark, tmp_path):
+    path, months = str(tmp_path / "s"), [f"2020-{m:02d}" for m in range(1, 7)]
+    versions.replace_months(spark, path, lines(spark, [(m, k, "x") for k, m in enumerate(months)]), months, NOW)
+    files = readers.read_store(spark, path, months=["2020-02", "2020-09"]).inputFiles()
+    assert files and all("month=2020-02" in f for f in files)
+    with pytest.raises(AnalysisException):
+        readers.read_store(spark, str(tmp_path / "nothing"))
+
+
+NEWER = "started_at,ended_at,start_lat,start_lng,end_lat,end_lng"
+OLDER = '"StartTime","stoptime"," start station latitude","start station longitude","end station latitude","end station longitude","note"'
+
+
+def test_trip_files_take_the_same_jobs_however_many(spark, tmp_path):
+    def jobs(count):
+        folder = tmp_path / f"trips {count}"
+        folder.mkdir()
+        want = 0
+        for k in range(count):
+            body = [f"2021-03-0{1 + r} 10:00:00,2021-03-0{1 + r} 10:10:00,40.{k % 10}1,-74.0,40.72,-73.9" for r in range(k % 4)]
+            want += len(body)
+            old = k % 2
+            (folder / f"part {k}+{old}.csv").write_text("\n".join([OLDER if old else NEWER, *(b + (',"a, b"' if old else "") for b in body)]) + "\n")
+        (folder / "empty.csv").write_text("")
+        spark.sparkContext.setJobGroup(f"trips-{count}", "trips")
+        try:
+            trips = readers.read_trips(spark, [str(folder)])
+            got = trips.count()
+        finally:
+            spark.sparkContext.setJobGroup("rest", "rest")
+        assert got == want and trips.columns == ["started", "ended", "start_lat", "start_lng", "end_lat", "end_lng"]
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trips-{count}"))
+    assert jobs(4) == jobs(24)
+    (tmp_path / "odd.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="layout"):
+        readers.read_trips(spark, [str(tmp_path / "odd.csv")])

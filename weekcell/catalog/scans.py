@@ -11,7 +11,7 @@ from weekcell.catalog.registry import query
 from weekcell.catalog.stages import scratch
 from weekcell.functions.calendar import (index_label, is_complete, label_index, month_chunks, month_label, month_span,
                                          month_spine, month_start, overlap_start)
-from weekcell.sources import readers, store
+from weekcell.sources import readers, store, versions
 from weekcell.sources.schemas import LOT_COLUMNS
 
 PAIR = ("1-URGENT", "F")
@@ -131,13 +131,16 @@ def _(spark, d):
                         F.aggregate("points", F.lit(0), lambda a, p: a + F.size(p)).alias("vertices"))
 
 
-@query("S9_trip_layouts", """
+TRIP_ENDS = """
 WITH e AS (
   SELECT 'start' AS kind, strftime(l_shipdate, '%Y-%m') AS month, 40.5::DOUBLE + (l_suppkey % 50) / 100.0::DOUBLE AS lat, -74.0::DOUBLE AS lng FROM lineitem
   UNION ALL SELECT 'end', strftime(l_shipdate + INTERVAL 3 DAY, '%Y-%m'),
     CASE WHEN l_linenumber = 7 THEN NULL ELSE 40.5::DOUBLE + (l_partkey % 40) / 100.0::DOUBLE END, -73.9::DOUBLE FROM lineitem)
-SELECT kind, month, round(lat, 5) AS lat, lng, count(*) AS n FROM e GROUP BY ALL""")
-def _(spark, d):
+SELECT kind, month, round(lat, 5) AS lat, lng, count(*) AS n FROM e GROUP BY ALL"""
+
+
+def trip_frames(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Line items as trips, in the newer and in the older layout."""
     li = table(spark, d, "lineitem")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     base = li.select("l_linestatus", stamp("l_shipdate").alias("t0"),
@@ -152,7 +155,21 @@ def _(spark, d):
         F.col("t0").alias("starttime"), F.col("t1").alias("stoptime"), F.col("la0").alias("Start Station Latitude"),
         F.lit("-74.0").alias("start station longitude"), F.col("la1").alias("end station latitude"),
         F.lit("-73.9").alias("end station longitude"))
-    return readers.trip_ends(readers.unify_trips([new, old]))
+    return [new, old]
+
+
+@query("S9_trip_layouts", TRIP_ENDS)
+def _(spark, d):
+    return readers.trip_ends(readers.unify_trips(trip_frames(spark, d)))
+
+
+@query("S17_delimited_files", TRIP_ENDS)
+def _(spark, d):
+    """The same trips from delimited files of both layouts in one folder tree, each file with a header of its own."""
+    folder = scratch(spark, "trips")
+    for k, frame in enumerate(trip_frames(spark, d)):
+        frame.write.option("header", True).csv(f"{folder}/{k}")
+    return readers.trip_ends(readers.read_trips(spark, [f"{folder}/{k}" for k in range(2)]))
 
 
 def archive_names(spark: SparkSession, d: str) -> DataFrame:
@@ -192,6 +209,19 @@ def _(spark, d):
     return lots.select("bbl", "version", "lotfront", "retailarea", "comarea")
 
 
+@query("S12_single_version", """
+SELECT strftime(o_orderdate, '%Y') AS version, count(*) AS lots, count(*) FILTER (o_orderpriority NOT LIKE '5%') AS with_front FROM orders
+WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders) GROUP BY ALL""")
+def _(spark, d):
+    """Lots of the newest snapshot, after the guard that they come from one version."""
+    raw = table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("bbl"), F.date_format("o_orderdate", "yyyy").alias("version"),
+        F.when(F.col("o_orderpriority").startswith("5"), "none").otherwise(F.col("o_totalprice").cast("string")).alias("lotfront"))
+    lots = readers.normalize_lots(readers.latest_snapshot(raw))
+    readers.check_single_version(lots)
+    return lots.groupBy("version").agg(F.count("*").alias("lots"), F.count("lotfront").alias("with_front"))
+
+
 @query("S13_latest_snapshot", """
 SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y') AS version FROM orders
 WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders)""")
@@ -272,20 +302,38 @@ def _(spark, d):
 
 
 @query("W6_replace_months", """
-SELECT month, grid_lat, grid_lon, CAST(CASE WHEN month >= '2001-01' THEN 2 * n ELSE n END AS BIGINT) AS n FROM (
-  SELECT strftime(l_shipdate, '%Y-%m') AS month, CAST(l_suppkey AS DOUBLE) AS grid_lat,
-    CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_linenumber AS DOUBLE) END AS grid_lon, count(*) AS n FROM lineitem GROUP BY ALL)""")
+WITH g AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, CAST(l_suppkey AS DOUBLE) AS grid_lat,
+    CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_linenumber AS DOUBLE) END AS grid_lon, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT month, grid_lat, grid_lon, CAST(CASE WHEN month >= '2001-01' THEN 2 * n ELSE n END AS BIGINT) AS n FROM g
+WHERE month < (SELECT max(month) FROM g)""")
 def _(spark, d):
+    """All months, then the latest ones again with doubled counts; the last month is asked for, comes back empty and is emptied."""
     path = scratch(spark, "grid")
     line = F.col("l_linenumber")
     grid = table(spark, d, "lineitem").groupBy(
         month_label("l_shipdate").alias("month"), F.col("l_suppkey").cast("double").alias("grid_lat"),
         F.when(line != 1, line.cast("double")).alias("grid_lon")).agg(F.count("*").alias("n"))
-    store.write_months(grid, path, sort=["grid_lat", "grid_lon"])
-    store.write_months(grid.where(F.col("month") >= "2001-01").withColumn("n", F.col("n") * 2), path)
+    months = sorted(r["month"] for r in grid.select("month").distinct().collect())  # the month calendar
+    store.ingest_grid(spark, path, grid, months, NOW)
+    again = [m for m in months if m >= "2001-01"]
+    doubled = grid.where(F.col("month").isin(again[:-1])).withColumn("n", F.col("n") * 2)
+    store.ingest_grid(spark, path, doubled, again, NOW)
     return readers.read_store(spark, path, ["month", "grid_lat", "grid_lon", "n"])
 
 
+@query("W6_superseded", """
+SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS "rows" FROM lineitem WHERE strftime(l_shipdate, '%Y-%m') >= '1998-01' GROUP BY ALL""")
+def _(spark, d):
+    """Months whose first version another one has replaced, with the rows which that version still holds for readers of the older snapshot."""
+    path = scratch(spark, "lines")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", month_label("l_shipdate").alias("month"))
+    months = sorted(r["month"] for r in lines.select("month").distinct().collect())  # the month calendar
+    versions.replace_months(spark, path, lines, months, NOW, ["l_orderkey"])
+    versions.replace_months(spark, path, lines.where("l_linenumber > 1 AND month >= '1998-01'"), [m for m in months if m >= "1998-01"], NOW)
+    old = versions.manifest(spark, path).join(versions.superseded(spark, path), ["month", "pull"], "left_semi")
+    return old.select("month", "rows")
+
+
 @query("W7_all_months", with_sql("months") + """
 SELECT month, coalesce(n, 0) AS n FROM months LEFT JOIN (
   SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'
@@ -374,11 +422,42 @@ def _(spark, d):
             .agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")))
 
 
+def background_store(spark: SparkSession, d: str) -> str:
+    path = scratch(spark, "background")
+    rows = background(spark, d)
+    months = sorted(r["month"] for r in rows.select("month").distinct().collect())  # the month calendar
+    versions.replace_months(spark, path, rows, months, NOW, ["cell"])
+    return path
+
+
 @query("S14_read_store", "SELECT 'c' || (l_orderkey // 600) AS cell, strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n FROM lineitem GROUP BY ALL")
 def _(spark, d):
-    path = scratch(spark, "background")
-    store.write_months(background(spark, d), path, sort=["cell"])
-    return readers.read_store(spark, path, ["cell", "month", "n"])
+    return readers.read_store(spark, background_store(spark, d), ["cell", "month", "n"])
+
+
+@query("S15_month_list", """
+SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n FROM lineitem
+WHERE strftime(l_shipdate, '%m') IN ('03', '11') GROUP BY ALL""")
+def _(spark, d):
+    """Every March and November of a store: the other months' folders are not listed."""
+    path = background_store(spark, d)
+    picked = [m for m in versions.current(spark, path) if m[5:] in ("03", "11")]
+    return readers.read_store(spark, path, ["month", "n"], picked).groupBy("month").agg(F.sum("n").alias("n"))
+
+
+@query("S16_source_callables", """
+SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'archive' ELSE 'current' END AS source_dataset,
+  strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY ALL""")
+def _(spark, d):
+    """Two kinds of source behind one interface, a callable: a table, and text files that a normalizing reader types."""
+    folder = scratch(spark, "texts")
+    as_requests(spark, d).select("unique_key", F.date_format("created_date", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("created_date"),
+                                 "complaint_type", "descriptor").write.json(folder)
+    files = lambda s: readers.normalize_events(
+        s.read.schema("unique_key string, created_date string, complaint_type string, descriptor string").json(folder), "files")
+    sources = [readers.Coverage("archive", lambda s: as_requests(s, d), None, CUT), readers.Coverage("current", files, CUT, None)]
+    found = readers.routed_scan(spark, sources, None, None)
+    return found.groupBy("source_dataset", month_label("created_date").alias("month")).agg(F.count("*").alias("n"))
 
 
 @query("W12_run_counters", "SELECT count(*) AS events_total, count(DISTINCT o_custkey) AS customers, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS months FROM orders")

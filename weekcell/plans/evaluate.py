@@ -137,10 +137,10 @@ def record_once(path: str, results: DataFrame, metrics: list[str] = METRICS) ->
     rows: a version is evaluated once. Nothing is written before both checks have passed.
     """
     from weekcell.operators.scale import assert_empty
-    from weekcell.sources.store import _exists
+    from weekcell.sources.versions import path_exists
     spark = results.sparkSession
     stamped = results.withColumn("evaluated_at", F.current_timestamp())
-    if _exists(spark, path):
+    if path_exists(spark, path):
         ledger = spark.read.parquet(path)
         if "digest" in results.columns:
             assert_empty(reevaluated(results, ledger), "a version was evaluated on other rows before")

@@ -7,9 +7,11 @@ operations; Catalyst pushes them into the file scan.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -20,6 +22,7 @@ from weekcell.operators.scale import assert_empty
 from weekcell.operators.spatial import with_cell, with_metric
 from weekcell.sources.schemas import (EVENT_COLUMNS, EVENT_NUMBERS, EVENT_TIMES, LINE_TEXT, LOT_COLUMNS, LOT_NUMBERS,
                                       TRIP_LAYOUTS, conform, event_schema, text_schema)
+from weekcell.sources.versions import current, read_versions
 
 Reader = Callable[[SparkSession], DataFrame]
 
@@ -136,18 +139,31 @@ def unify_trips(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), named)
 
 
+def header_index(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(header, files): the files under ``paths`` by their first line, from one scan however many they are; empty files are left out.
+
+    Only the first split of a file can hold its first line. Lines of a split stay in order, and what leaves a task is
+    one line for each file in it.
+    """
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("line"))
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    return first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+
+
 def read_trips(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Trip files of either layout as one text frame.
+    """Trip files (or folders of them) of either layout as one text frame; an unknown layout fails.
 
-    Only each file's header line is looked at on the driver; the files themselves
-    are split and read by the tasks, one scan per header.
+    One scan finds the layouts; the files of a layout are then one source, split and read by the tasks. What the driver sees is a list of file names,
+    which it has to list anyway, and one header for each layout.
     """
-    groups: dict[tuple, list[str]] = {}
-    for path in paths:
-        header = tuple(spark.read.option("header", True).csv(path).columns)
-        groups.setdefault(header, []).append(path)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in header_index(spark, paths).collect():
+        header = tuple(next(csv.reader([row["header"].lstrip("\ufeff")]), []))
+        groups.setdefault(header, []).extend(unquote(f) for f in row["files"])
     return unify_trips([spark.read.schema(text_schema(list(header))).option("header", True).csv(files)
-                        for header, files in groups.items()])
+                        for header, files in sorted(groups.items())])
 
 
 def trip_ends(trips: DataFrame) -> DataFrame:
@@ -220,7 +236,14 @@ def latest_snapshot(df: DataFrame, version: str = "version") -> DataFrame:
 
 def read_store(spark: SparkSession, path: str, columns: list[str] | None = None,
                months: list[str] | None = None) -> DataFrame:
-    """A month-partitioned store; the month list prunes folders, the column list prunes the read."""
+    """A store of months: the current version of each where it has a manifest, else its month folders.
+
+    The month list prunes folders, the column list prunes the read.
+    """
+    versions = current(spark, path)
+    if versions:
+        df = read_versions(spark, path, versions, months)
+        return df.select(*columns) if columns else df
     df = spark.read.option("basePath", path).parquet(path)
     df = df.withColumn("month", F.col("month").cast("string")) if "month" in df.columns else df
     if months is not None:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weekcell.functions.calendar import index_label, is_complete, label_index, month_label, month_spine
 from weekcell.operators.scale import assert_empty, first_row
-from weekcell.sources.readers import read_store
+from weekcell.session import cut_lineage
+from weekcell.sources import versions
 
 LINEAGE = ("source_dataset", "ingested_at", "month")
 
@@ -58,35 +59,25 @@ def write_months(df: DataFrame, path: str, mode: str = "overwrite", sort: list[s
     (out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
-
-
 def ingest_rows(spark: SparkSession, path: str, new: DataFrame, months: list[str], now: datetime,
                 ts: str = "created_date", key: str = "unique_key", store: str = "events") -> DataFrame:
     """Upsert one pull of some months into the store; returns the per-month change counts.
 
-    The pull is checked first (no key twice, no row outside the months); only the
-    touched months are read and rewritten, into a side folder that then replaces them,
-    because a dataset cannot be overwritten while it is being read.
+    The pull is evaluated once and checked first (no key twice, no row outside the months). Only the touched months
+    are read; their new version is written beside the old one and then named in the manifest.
     """
-    pull = new.withColumn("month", month_label(ts))
-    assert_empty(stray_rows(new, months, ts), "rows outside the requested months")
-    assert_empty(duplicate_keys(new, key), "duplicate key within a single pull")
+    pull = cut_lineage(new.withColumn("month", month_label(ts)))
+    assert_empty(stray_rows(pull, months, ts), "rows outside the requested months")
+    assert_empty(duplicate_keys(pull, key), "key more than once in a pull")
     content = [c for c in new.columns if c not in (key, *LINEAGE)]
-    if _exists(spark, path):
-        old = read_store(spark, path, months=months)
-    else:
-        old = pull.limit(0)
-    stats = change_counts(old, pull, content, key, by=["month"])
-    side = path.rstrip("/") + "__staged"
-    stats_path = side + "_stats"
-    stats.write.mode("overwrite").parquet(stats_path)
-    merge_newest(old, pull, key).write.mode("overwrite").parquet(side)
-    write_months(spark.read.parquet(side), path, sort=[ts, key])
+    base = versions.current(spark, path)
+    old = versions.read_versions(spark, path, base, months) if base else pull.limit(0)
+    missing = [F.lit(None).cast(pull.schema[c].dataType).alias(c) for c in pull.columns if c not in old.columns]
+    stats = cut_lineage(change_counts(old.select("*", *missing), pull, content, key, by=["month"]))
+    merged = merge_newest(old, pull, key)
+    versions.publish(spark, path, versions.write_pull(merged, path, [ts, key]), merged.schema, months, base, now)
     spine = spark.createDataFrame([(m,) for m in months], "month string")
-    done = with_all_months(spark.read.parquet(stats_path), spine)
+    done = with_all_months(stats, spine)
     update_control(spark, path + "_control", control_rows(done, store, now))
     return done
 
@@ -97,15 +88,10 @@ def ingest_grid(spark: SparkSession, path: str, grid: DataFrame, months: list[st
 
     A requested month without rows in the pull is emptied; rows outside the requested months fail.
     """
+    grid = cut_lineage(grid)
     assert_empty(grid.where(~F.coalesce(F.col("month").isin(months), F.lit(False))), "rows outside the requested months")
-    present = {r["month"] for r in grid.select("month").distinct().collect()}  # calendar-sized
-    if present:
-        write_months(grid, path, sort=["grid_lat", "grid_lon"])
-    none = grid.drop("month").limit(0)
-    for month in sorted(set(months) - present):
-        none.write.mode("overwrite").parquet(f"{path}/month={month}")
-    stored = read_store(spark, path, months=months)
-    per = stored.groupBy("month").agg(
+    versions.replace_months(spark, path, grid, months, now, sort=["grid_lat", "grid_lon"])
+    per = grid.groupBy("month").agg(
         F.count_if(F.col("grid_lat").isNotNull()).alias("cells"), F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(F.col("grid_lat").isNull(), F.col("n"))), F.lit(0)).alias("no_location"))
     spine = spark.createDataFrame([(m,) for m in months], "month string")
