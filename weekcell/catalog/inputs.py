@@ -6,7 +6,7 @@ Every derivation reads its whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weekcell.catalog.stages import staged
 from weekcell.functions.calendar import index_label, month_index, month_label, month_span, month_spine
@@ -48,21 +48,27 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 cte("ev", (), """
 SELECT event_id, ts, user_id, event_type, value, 'c' || (user_id // 8) AS cell,
-  CASE WHEN event_id % 97 = 0 THEN NULL ELSE ((event_id * 7919) % 4000) * 5.0::DOUBLE END AS x,
-  CASE WHEN event_id % 97 = 0 THEN NULL ELSE ((event_id * 104729) % 4000) * 5.0::DOUBLE END AS y,
+  CASE WHEN event_id % 97 = 0 THEN NULL ELSE ((event_id * 7919) % 4000) * 5.0::DOUBLE + event_id // 4000 % 1000 * 20000.0::DOUBLE END AS x,
+  CASE WHEN event_id % 97 = 0 THEN NULL ELSE ((event_id * 104729) % 4000) * 5.0::DOUBLE + event_id // 4000000 * 20000.0::DOUBLE END AS y,
   CASE WHEN event_id % 97 = 0 THEN NULL ELSE 40.4::DOUBLE + ((event_id * 7919) % 6000) / 9973.0::DOUBLE END AS lat,
   CASE WHEN event_id % 97 = 0 THEN NULL ELSE -74.3::DOUBLE + ((event_id * 104729) % 7000) / 9973.0::DOUBLE END AS lon
 FROM events""")
 
 
+def tile(k: Column, size: int) -> tuple[Column, Column]:
+    """Corner of the square of 20 km that key ``k`` lies in, ``size`` keys to a square: larger tables cover more ground, not denser."""
+    at = F.floor(k / size)
+    return at % 1000 * F.lit(20000.0), F.floor(at / 1000) * F.lit(20000.0)
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     located = k % 97 != 0
     return table(spark, d, "events").select(
         "event_id", "ts", "user_id", "event_type", "value",
         F.concat(F.lit("c"), F.floor(F.col("user_id") / 8).cast("string")).alias("cell"),
-        F.when(located, (k * 7919) % 4000 * F.lit(5.0)).alias("x"),
-        F.when(located, (k * 104729) % 4000 * F.lit(5.0)).alias("y"),
+        F.when(located, (k * 7919) % 4000 * F.lit(5.0) + tile(k, 4000)[0]).alias("x"),
+        F.when(located, (k * 104729) % 4000 * F.lit(5.0) + tile(k, 4000)[1]).alias("y"),
         F.when(located, F.lit(40.4) + (k * 7919) % 6000 / F.lit(9973.0)).alias("lat"),
         F.when(located, F.lit(-74.3) + (k * 104729) % 7000 / F.lit(9973.0)).alias("lon"))
 
@@ -96,9 +102,9 @@ FROM (SELECT 's' || s_suppkey AS segment_id, s_suppkey AS k,
   CASE WHEN s_suppkey % 29 = 1 THEN NULL
        ELSE CAST(DATE '2023-07-01' + CAST((s_suppkey * 3) % 365 AS INTEGER) AS TIMESTAMP) END AS valid_from,
   CASE WHEN s_suppkey % 7 = 0 THEN CAST(DATE '2023-07-01' + CAST((s_suppkey * 3) % 365 + (s_suppkey * 11) % 300 - 20 AS INTEGER) AS TIMESTAMP) END AS valid_to,
-  ((s_suppkey * 7919) % 4000) * 5.0::DOUBLE AS x0, ((s_suppkey * 104729) % 4000) * 5.0::DOUBLE AS y0,
-  ((s_suppkey * 7919) % 4000) * 5.0::DOUBLE + ((s_suppkey * 31) % 200 - 100) * 10.0::DOUBLE AS x1,
-  ((s_suppkey * 104729) % 4000) * 5.0::DOUBLE + ((s_suppkey * 17) % 200 - 100) * 10.0::DOUBLE AS y1
+  ((s_suppkey * 7919) % 4000) * 5.0::DOUBLE + s_suppkey // 40 % 1000 * 20000.0::DOUBLE AS x0,
+  ((s_suppkey * 104729) % 4000) * 5.0::DOUBLE + s_suppkey // 40000 * 20000.0::DOUBLE AS y0,
+  x0 + ((s_suppkey * 31) % 200 - 100) * 10.0::DOUBLE AS x1, y0 + ((s_suppkey * 17) % 200 - 100) * 10.0::DOUBLE AS y1
 FROM supplier)""")
 
 
@@ -107,7 +113,8 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     base_day = F.lit("2023-07-01").cast("date")
     at = lambda days: F.date_add(base_day, days.cast("int")).cast("timestamp_ntz")
     pick = lambda m, *vals: F.try_element_at(F.array(*[F.lit(v) for v in vals]), (k % m + 1).cast("int"))
-    x0, y0 = (k * 7919) % 4000 * F.lit(5.0), (k * 104729) % 4000 * F.lit(5.0)
+    left, low = tile(k, 40)  # as many lines to a square for every size of the tables, as there are 100 events to a line
+    x0, y0 = (k * 7919) % 4000 * F.lit(5.0) + left, (k * 104729) % 4000 * F.lit(5.0) + low
     rows = table(spark, d, "supplier").withColumn("k", F.col("s_suppkey")).select(
         F.concat(F.lit("s"), k.cast("string")).alias("segment_id"), "k",
         F.when((k % 7 == 0) | (k % 11 == 0), "Retired").otherwise("Current").alias("status"),

@@ -15,7 +15,7 @@ from weekcell.operators.scale import assert_empty, salted_join
 TOLERANCE_M = 40.0
 BUCKET_M = 100.0
 SALTS = 8  # parts of a crowded bucket; the piece side is copied that often
-SAMPLE_M = 10.0
+SPACING = 0.5  # of a cell's edge, between the points of a piece that name candidate cells; must stay under 1.7
 # fixed values: drop reasons in report order
 DROP_REASONS = ["no_coords", "no_lane_within_tol", "lane_not_installed", "lane_not_active"]
 
@@ -57,19 +57,21 @@ def split_pieces(pieces: DataFrame, longest: float) -> DataFrame:
 # -- line to cells -----------------------------------------------------------
 
 
-def piece_cells(pieces: DataFrame, keys: list[str], edge: float = geo.HEX_EDGE_M, sample: float = SAMPLE_M) -> DataFrame:
-    """(keys, cell, len_m): every cell a piece touches and the metres inside it.
+def piece_cells(pieces: DataFrame, keys: list[str], edge: float = geo.HEX_EDGE_M) -> DataFrame:
+    """(keys, cell, len_m): every cell a piece touches and the metres inside it; equal pieces of a key count once.
 
-    Candidates are the cells of points sampled along the piece and their ring;
-    the exact clip keeps those that really meet it (touching counts).
+    Candidates are the cells of points along the piece and their rings, as one array of each piece, so that nothing is exchanged for
+    them. A cell outside the ring of a point's cell is an edge length away from it at least; points half an edge apart
+    therefore miss no cell. The exact clip keeps those that really meet the piece (touching counts).
     """
-    steps = F.greatest(F.lit(1), F.ceil(piece_length() / sample)).cast("int")
     base = pieces.select(*keys, "x0", "y0", "x1", "y1").distinct()
-    sampled = (base.withColumn("_n", steps).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n"))))
-               .withColumn("_px", F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("_k") / F.col("_n"))
-               .withColumn("_py", F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("_k") / F.col("_n")))
-    seeds = with_cell(sampled, "_px", "_py", "_seed", edge).select(*base.columns, "_seed").distinct()
-    cand = seeds.select(*base.columns, F.explode(geo.ring_cells("_seed", True)).alias("cell")).distinct()
+    n = F.greatest(F.lit(1), F.ceil(piece_length() / (SPACING * edge))).cast("int")
+
+    def seed(k: Column) -> Column:
+        return geo.point_cell(F.col("x0") + (F.col("x1") - F.col("x0")) * k / n, F.col("y0") + (F.col("y1") - F.col("y0")) * k / n, edge)
+    seeds = base.withColumn("_seeds", F.array_distinct(F.transform(F.sequence(F.lit(0), n), seed)))
+    rings = F.array_distinct(F.flatten(F.transform("_seeds", lambda cell: geo.ring_cells(cell, True))))
+    cand = seeds.select(*base.columns, F.explode(rings).alias("cell"))
     cx, cy = geo.cell_centre("cell", edge)
     placed = cand.withColumn("_cx", cx).withColumn("_cy", cy)
     t0, t1 = geo.clip_span(*[F.col(c) for c in ("_cx", "_cy", "x0", "y0", "x1", "y1")], edge)
