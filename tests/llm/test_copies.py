@@ -278,3 +278,24 @@ def test_stages_take_odd_tables(spark, folder):
         assert out.count() <= len(rows)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).collect() == []
+
+
+def test_sketches_differ_in_no_more_bits_than_the_sets(spark):
+    draw, rows = np.random.default_rng(8), []
+    for trial in range(120):
+        size = int(draw.choice([1, 5, 31, 33, 64, 65, 300, 1000]))
+        a = np.unique(draw.integers(0, 2 ** 63, size).astype(np.uint64))
+        gone = int(draw.integers(0, len(a) // 3 + 1))
+        b = np.unique(np.concatenate([a[gone:], draw.integers(0, 2 ** 63, int(draw.integers(0, len(a) // 2 + 2))).astype(np.uint64)]))
+        words, bounds = ngram_join.parity_sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        both = len(np.intersect1d(a, b))
+        for percent in (40, 60, 80, 85, 95):
+            rows.append((trial, percent, (len(a), words[:bounds[1]].tolist()), (len(b), words[bounds[1]:].tolist()), 100 * both >= percent * (len(a) + len(b) - both)))
+    side = "struct<n_shingles: bigint, sketch: array<bigint>>"
+    pairs = spark.createDataFrame(rows, f"trial int, percent int, a {side}, b {side}, linked boolean")
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    for percent in (40, 60, 80, 85, 95):
+        close = ngram_join.NgramJoin(docs, 5, percent)._close("a", "b")
+        got = pairs.filter(F.col("percent") == percent).select("linked", close.alias("close")).collect()
+        assert all(r.close for r in got if r.linked)
+        assert percent < 80 or sum(r.close for r in got) <= sum(r.linked for r in got) + 12

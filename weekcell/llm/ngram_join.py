@@ -30,8 +30,9 @@ from weekcell.llm.words import distinct_by_row, mix, shingles, span_hashes, text
 CHAIN_PARTS = 64
 #: Schemes of a set at most; in the last one its empty parts sign too (which low similarities alone need).
 SCHEMES = 12
-#: Counters of the sketch of a set: features by hash, so that summed differences of two sketches are at most the sets' difference.
-SKETCH = 64
+#: Bits of the sketch of a set for each of its features, rounded up to a power of two: parities of features by hash, so that two sketches
+#: differ in no more bits than the sets do in features. With two bits a feature few differences meet in a bit, and the bound is close.
+SKETCH = 2
 #: Bits of the filter that picks the rows whose sets are fetched; it has this size for any input.
 FILTER_BITS = 1 << 23
 #: Star rounds before the pairs that are left are enumerated.
@@ -104,20 +105,33 @@ def set_rows(column: pa.Array, low: int, high: int, n: int) -> tuple[np.ndarray,
     return values, rows, mix((sums[rows[1:]] - sums[rows[:-1]]) + np.diff(rows).astype(np.uint64))
 
 
+def parity_sketches(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, bounds): bit b of set k is the parity of its features whose hash ends in b; its 64-bit words are words[bounds[k]:bounds[k + 1]].
+
+    A set of s features has the least power of two of bits that is no less than SKETCH * s and 64. Its halves xor-ed are the
+    sketch of half the length, so sketches of different lengths can be compared.
+    """
+    sizes = np.diff(rows)
+    bits = np.int64(1) << np.ceil(np.log2(np.maximum(SKETCH * sizes, 64))).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = starts[owner] + (mix(values + np.uint64(5)).view(np.int64) & (bits[owner] - 1))
+    odd = (np.bincount(at, minlength=int(starts[-1])) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64), starts >> 6
+
+
 def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, sizes, prints, sketches = batch.column("text"), [], [], []
+            column, sizes, prints, words, lengths = batch.column("text"), [], [], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
             for low, high in text_chunks(column):
                 values, rows, fp = set_rows(column, low, high, n)
-                owner = np.repeat(np.arange(high - low), np.diff(rows))
-                counts = np.bincount(owner * SKETCH + (mix(values + np.uint64(5)) >> np.uint64(58)).astype(np.int64),
-                                     minlength=(high - low) * SKETCH)
+                sketch, bounds = parity_sketches(values, rows)
                 sizes.append(np.diff(rows))
                 prints.append(fp)
-                sketches.append(counts.astype(np.int32))
-            flat = np.concatenate(sketches) if sketches else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCH), pa.int32()), pa.array(flat))
+                words.append(sketch)
+                lengths.append(np.diff(bounds))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(lengths)), pa.int32()), pa.array(np.concatenate(words)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()),
                  pa.array(np.concatenate(prints).view(np.int64) if prints else [], pa.int64()), lists],
@@ -170,14 +184,22 @@ class NgramJoin:
     def __init__(self, docs: DataFrame, n: int = 5, percent: int = 80):
         self.n, self.percent = n, percent
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        self.base = written(self.docs.mapInArrow(_fingerprints(n), "doc_id long, n_shingles long, fp long, sketch array<int>"), "base")
+        self.base = written(self.docs.mapInArrow(_fingerprints(n), "doc_id long, n_shingles long, fp long, sketch array<bigint>"), "base")
 
     def _close(self, left: str, right: str) -> Column:
-        """Cheap conditions that every link meets: sizes, and summed differences of the sketches."""
+        """Cheap conditions that every link meets: sizes, and bits in which the sketches differ."""
         a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
-        gap = F.aggregate(F.zip_with(F.col(f"{left}.sketch"), F.col(f"{right}.sketch"), lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        x, y = F.col(f"{left}.sketch"), F.col(f"{right}.sketch")
+
+        def folded(longer: Column, other: Column) -> Column:
+            half = (F.size(longer) / 2).cast("int")
+            return F.when(F.size(longer) > F.size(other), F.zip_with(
+                F.slice(longer, 1, half), F.slice(longer, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(longer)
+        gap = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, d: total + d)
+        # lengths more than two times apart (low similarities alone) are not compared
+        near = F.greatest(F.size(x), F.size(y)) <= 2 * F.least(F.size(x), F.size(y))
         return ((F.lit(100) * F.least(a, b) >= F.lit(self.percent) * F.greatest(a, b))
-                & (gap * F.lit(100 + self.percent) <= (a + b) * F.lit(100 - self.percent)))
+                & (~near | (gap * F.lit(100 + self.percent) <= (a + b) * F.lit(100 - self.percent))))
 
     def _linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of pairs (u, v), those whose similarity is high enough, by exact counts."""
@@ -192,9 +214,9 @@ class NgramJoin:
 
         Signatures are dealt by value once. Per signature, classes are first compared with the one that shares most signatures
         with others (the text that the others are copies of, as a rule), then with others in turn; classes that a
-        link has joined need no comparison among them, so a group of near copies costs its size, not its square. After
-        STAR_ROUNDS rounds, all pairs of classes that share a signature and are still apart are compared, if size and
-        sketch allow a link; nothing is left out.
+        link has joined need no comparison among them, so a group of near copies costs its size, not its square. A class that
+        was the centre of a signature is settled there and leaves it. After STAR_ROUNDS rounds, the pairs of classes that
+        still share a signature and are apart are compared, if size and sketch allow a link; nothing is left out.
         """
         signatures = self.docs.select("text").mapInArrow(_signatures(self.n, self.percent), "sig long, fp long")
         same = Window.partitionBy("sig")
@@ -213,20 +235,22 @@ class NgramJoin:
         fetched = (self.docs.withColumn("slot", bitmaps.slot(F.col("doc_id"), FILTER_BITS)).mapInArrow(fetch_sets(self.n, bits), "fp long, items array<bigint>"))
         sets = written(fetched.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
         traits = info.select("fp", "n_shingles", "sketch")
-        links, labels = None, None
+        links, labels, rest = None, None, shared
         for turn in range(STAR_ROUNDS + 1):
             if labels is None:
-                held = shared.join(info.select("fp", "degree"), "fp").withColumn("root", F.col("fp"))
+                held = rest.join(info.select("fp", "degree"), "fp").withColumn("root", F.col("fp"))
             else:
-                held = shared.join(labels.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+                held = rest.join(labels.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
                 open_ = held.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("sig")
-                held = written(held.join(open_, "sig", "left_semi"), "held")
+                held = written(held.join(open_, "sig", "left_semi").select("sig", "fp", "root"), "held")
                 if held.isEmpty():
                     break
             if turn < STAR_ROUNDS:
                 rank = F.struct("degree", "fp") if turn == 0 else F.struct(F.xxhash64("fp", F.lit(turn)), "fp")
                 centre = held.groupBy("sig").agg(F.max_by(F.struct("fp", "root"), rank).alias("c"))
-                pairs = (held.join(centre, "sig").filter(F.col("root") != F.col("c.root"))
+                starred = held.join(centre, "sig")
+                rest = starred.filter(F.col("fp") != F.col("c.fp")).select("sig", "fp")
+                pairs = (starred.filter(F.col("root") != F.col("c.root"))
                          .select(F.greatest("fp", "c.fp").alias("u"), F.least("fp", "c.fp").alias("v")).distinct())
                 named = (pairs.join(traits.withColumnRenamed("fp", "u").select("u", F.struct("n_shingles", "sketch").alias("a")), "u")
                          .join(traits.withColumnRenamed("fp", "v").select("v", F.struct("n_shingles", "sketch").alias("b")), "v"))
