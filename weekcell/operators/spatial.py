@@ -6,11 +6,12 @@ y1`` in metres). A multi-part line is several pieces with one id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weekcell.functions import geo
 from weekcell.functions.predicates import active_at
-from weekcell.operators.scale import assert_empty, salted_join
+from weekcell.operators.scale import assert_empty, salted_join, spread_rows
+from weekcell.session import cut_lineage
 
 TOLERANCE_M = 40.0
 BUCKET_M = 100.0
@@ -64,7 +65,7 @@ def piece_cells(pieces: DataFrame, keys: list[str], edge: float = geo.HEX_EDGE_M
     them. A cell outside the ring of a point's cell is an edge length away from it at least; points half an edge apart
     therefore miss no cell. The exact clip keeps those that really meet the piece (touching counts).
     """
-    base = pieces.select(*keys, "x0", "y0", "x1", "y1").distinct()
+    base = spread_rows(pieces.select(*keys, "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1").distinct()
     n = F.greatest(F.lit(1), F.ceil(piece_length() / (SPACING * edge))).cast("int")
 
     def seed(k: Column) -> Column:
@@ -91,29 +92,50 @@ def _bucket(c: Column, bucket: float) -> Column:
     return F.floor(c / bucket)
 
 
-def within_distance(points: DataFrame, pieces: DataFrame, tolerance: float = TOLERANCE_M, bucket: float = BUCKET_M,
-                    salts: int = 1, spread: list[str] | None = None) -> DataFrame:
-    """Point columns x piece columns for every pair at most ``tolerance`` apart, with ``dist_m`` and fraction ``t``.
+def _bucketed(pieces: DataFrame, reach: float, bucket: float) -> DataFrame:
+    """Pieces copied to each bucket that one of their parts, widened by ``reach``, meets; a piece is in a bucket once."""
+    whole = pieces.select("*", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+    parts = split_pieces(spread_rows(whole, "x0", "y0", "x1", "y1"), bucket)
+    lo = lambda a, b: _bucket(F.least(F.col(a), F.col(b)) - reach, bucket)
+    hi = lambda a, b: _bucket(F.greatest(F.col(a), F.col(b)) + reach, bucket)
+    copies = (parts.withColumn("_bx", F.explode(F.sequence(lo("x0", "x1"), hi("x0", "x1"))))
+              .withColumn("_by", F.explode(F.sequence(lo("y0", "y1"), hi("y0", "y1"))))
+              .drop("x0", "y0", "x1", "y1").withColumnsRenamed({f"_{c}": c for c in ("x0", "y0", "x1", "y1")}))
+    return copies.repartition("_bx", "_by").distinct()
+
 
-    Pieces are cut to bucket length and copied to each bucket their widened box
-    meets; a point is in one bucket, so no pair of point and cut piece comes
-    twice. ``salts`` spreads the points of a crowded bucket (needs ``spread``,
-    the point key).
+def near_positions(points: DataFrame, pieces: DataFrame, tolerance: float = TOLERANCE_M, bucket: float = BUCKET_M,
+                   salts: int = 1) -> DataFrame:
+    """Distinct positions (x, y) of the points x piece columns for every pair at most ``tolerance`` apart, with ``dist_m``, fraction ``t``
+    and the nearest point (near_x, near_y).
+
+    A position that many points share is compared once. It is in one bucket, a piece in each bucket that its parts of
+    bucket length come near, so no pair comes twice. Distances are taken from the whole piece. ``salts`` spreads the
+    positions of a crowded bucket.
+
+    The planner takes the copies of the pieces for as small as the lines are and would broadcast them through the
+    driver; the hint keeps them in an exchange.
     """
-    small = split_pieces(pieces, bucket)
-    lo = lambda a, b: _bucket(F.least(F.col(a), F.col(b)) - tolerance, bucket)
-    hi = lambda a, b: _bucket(F.greatest(F.col(a), F.col(b)) + tolerance, bucket)
-    spread_out = (small.withColumn("_bx", F.explode(F.sequence(lo("x0", "x1"), hi("x0", "x1"))))
-                  .withColumn("_by", F.explode(F.sequence(lo("y0", "y1"), hi("y0", "y1")))))
-    binned = (points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    binned = (points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("x", "y").distinct()
               .withColumn("_bx", _bucket(F.col("x"), bucket)).withColumn("_by", _bucket(F.col("y"), bucket)))
-    pairs = salted_join(binned, spread_out, ["_bx", "_by"], "inner", spread or [], salts)
+    # a hair wider than asked, so that the distance alone decides at the bound
+    pairs = salted_join(binned, _bucketed(pieces, tolerance + 0.01, bucket).hint("merge"), ["_bx", "_by"], "inner",
+                        ["x", "y"], salts)
     t = geo.nearest_fraction(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")])
-    return (pairs.withColumn("t", t)
+    dx, dy = F.col("x") - F.col("near_x"), F.col("y") - F.col("near_y")
+    return (pairs.drop("_bx", "_by").withColumn("t", t)
             .withColumn("near_x", F.col("x0") + F.col("t") * (F.col("x1") - F.col("x0")))
             .withColumn("near_y", F.col("y0") + F.col("t") * (F.col("y1") - F.col("y0")))
-            .withColumn("dist_m", F.hypot(F.col("x") - F.col("near_x"), F.col("y") - F.col("near_y")))
-            .where(F.col("dist_m") <= tolerance).drop("_bx", "_by"))
+            .withColumn("dist_m", F.sqrt(dx * dx + dy * dy)).where(F.col("dist_m") <= tolerance))
+
+
+def within_distance(points: DataFrame, pieces: DataFrame, tolerance: float = TOLERANCE_M, bucket: float = BUCKET_M,
+                    salts: int = 1, spread: list[str] | None = None) -> DataFrame:
+    """Point columns x columns of ``near_positions`` for every pair at most ``tolerance`` apart.
+
+    ``salts`` spreads the points of a crowded position or bucket (needs ``spread``, the point key).
+    """
+    return salted_join(points, near_positions(points, pieces, tolerance, bucket, salts), ["x", "y"], "inner", spread or [], salts)
 
 
 def snap(points: DataFrame, pieces: DataFrame, tolerance: float = TOLERANCE_M, edge: float = geo.HEX_EDGE_M,
@@ -123,25 +145,30 @@ def snap(points: DataFrame, pieces: DataFrame, tolerance: float = TOLERANCE_M, e
     ``points``: point_id, ts, x, y (nullable). ``pieces``: in-scope pieces with
     segment_id, valid_from, valid_to, usable. Result: point_id, ts, raw_cell,
     segment_id, snap_dist_m, cell, drop_reason, one row per point.
+
+    Candidates are numbered by distance once for each position, so that a point only looks for its lowest valid number.
+    Distances equal to the nanometre are ties, which the lower id wins.
     """
-    near = within_distance(points.select("point_id", "ts", "x", "y"), pieces.select(
-        "segment_id", "valid_from", "valid_to", "usable", "x0", "y0", "x1", "y1"), tolerance, salts=salts,
-        spread=["point_id"])
+    points = points.select("point_id", "ts", "x", "y")
+    order = Window.partitionBy("x", "y").orderBy(F.round("dist_m", 9), "segment_id", "dist_m", "near_x", "near_y")
+    near = cut_lineage(near_positions(points, pieces.select(
+        "segment_id", "valid_from", "valid_to", "usable", "x0", "y0", "x1", "y1"), tolerance, salts=salts)
+        .withColumn("_n", F.row_number().over(order))
+        .select("x", "y", "_n", "segment_id", "valid_from", "valid_to", "usable", "dist_m", "near_x", "near_y"))
     valid = active_at(F.col("ts"))
     future = F.coalesce(F.col("usable") & (F.col("valid_from") > F.col("ts")), F.lit(False))
     # One pass per point: the nearest valid candidate and whether all candidates lie in the future.
-    best = F.min(F.when(valid, F.struct("dist_m", "segment_id", "near_x", "near_y"))).alias("_best")
-    summary = near.groupBy("point_id").agg(best, F.bool_and(future).alias("_future"))
-    joined = with_cell(points.select("point_id", "ts", "x", "y"), "x", "y", "raw_cell", edge).join(
-        summary, "point_id", "left")
-    placed = with_cell(joined.withColumn("_nx", F.col("_best.near_x")).withColumn("_ny", F.col("_best.near_y")),
-                       "_nx", "_ny", "cell", edge)
+    asked = salted_join(points, near.select("x", "y", "_n", "valid_from", "valid_to", "usable"), ["x", "y"], "inner", ["point_id"], salts)
+    summary = asked.groupBy("point_id").agg(F.min(F.when(valid, F.col("_n"))).alias("_n"), F.bool_and(future).alias("_future"))
+    joined = with_cell(points, "x", "y", "raw_cell", edge).join(summary, "point_id", "left")
+    found = near.select("x", "y", "_n", "segment_id", "dist_m", F.col("near_x").alias("_nx"), F.col("near_y").alias("_ny"))
+    placed = with_cell(joined.join(found, ["x", "y", "_n"], "left"), "_nx", "_ny", "cell", edge)
     reason = (F.when(F.col("x").isNull() | F.col("y").isNull(), DROP_REASONS[0])
-              .when(F.col("_best").isNotNull(), F.lit(None))
+              .when(F.col("_n").isNotNull(), F.lit(None))
               .when(F.col("_future").isNull(), DROP_REASONS[1])
               .when(F.col("_future"), DROP_REASONS[2]).otherwise(DROP_REASONS[3]))
-    return placed.select("point_id", "ts", "raw_cell", F.col("_best.segment_id").alias("segment_id"),
-                         F.col("_best.dist_m").alias("snap_dist_m"), "cell", reason.alias("drop_reason"))
+    return placed.select("point_id", "ts", "raw_cell", "segment_id", F.col("dist_m").alias("snap_dist_m"), "cell",
+                         reason.alias("drop_reason"))
 
 
 def drop_stats(snapped: DataFrame) -> DataFrame:
@@ -158,7 +185,7 @@ def drop_stats(snapped: DataFrame) -> DataFrame:
 
 def cells_off_segment(snapped: DataFrame, bridge: DataFrame) -> DataFrame:
     """Kept points whose (segment, cell) is not in the bridge; expected empty."""
-    return snapped.where(F.col("cell").isNotNull()).join(bridge, ["segment_id", "cell"], "left_anti")
+    return snapped.where(F.col("cell").isNotNull()).join(bridge.hint("merge"), ["segment_id", "cell"], "left_anti")
 
 
 def check_cells_on_segments(snapped: DataFrame, bridge: DataFrame) -> None:
