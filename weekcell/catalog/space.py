@@ -70,8 +70,8 @@ def _(spark, d):
                           F.round(F.array_max(F.transform("_c", lambda c: c["x"])), 3).alias("x_right"))
 
 
-def pieces(spark, d):
-    return segments(spark, d).select("segment_id", "x0", "y0", "x1", "y1")
+def pieces(spark, d, dense=False):
+    return segments(spark, d, dense).select("segment_id", "x0", "y0", "x1", "y1")
 
 
 # Every hexagon of the bounding box against every line, clipped by three strips: brute force
@@ -116,14 +116,15 @@ NEAR = """, near AS (SELECT * FROM (SELECT *, sqrt((x - nx) * (x - nx) + (y - ny
 
 
 def points(spark, d):
-    return events(spark, d).select(F.col("event_id").alias("point_id"), "ts", "x", "y")
+    return events(spark, d, dense=True).select(F.col("event_id").alias("point_id"), "ts", "x", "y")
 
 
-@query("H8_within_distance", with_sql("ev", "seg") + NEAR + "SELECT DISTINCT event_id AS point_id, segment_id, round(dist_m, 6) AS dist_m FROM near")
+@query("H8_within_distance", with_sql("ev", "seg", dense=True) + NEAR + "SELECT DISTINCT event_id AS point_id, segment_id, round(dist_m, 6) AS dist_m FROM near")
 def _(spark, d):
-    near = spatial.within_distance(points(spark, d), pieces(spark, d), salts=4, spread=["point_id"])
-    # a line cut at bucket borders can meet a point with two of its parts
-    return near.groupBy("point_id", "segment_id").agg(F.round(F.min("dist_m"), 6).alias("dist_m"))
+    # distinct points and distinct lines meet once, so the pairs need no exchange of their own
+    each = points(spark, d).select("point_id", "x", "y").distinct()
+    near = spatial.within_distance(each, pieces(spark, d, dense=True), salts=4, spread=["point_id"])
+    return near.select("point_id", "segment_id", F.round("dist_m", 6).alias("dist_m"))
 
 
 SNAPPED = NEAR.replace("FROM ev e, seg s WHERE", "FROM ev e, seg s WHERE s.lane_class IN ('I', 'II') AND s.on_street = 'ON' AND") + """,
@@ -138,22 +139,22 @@ snapped AS (SELECT e.event_id AS point_id, e.ts, e.x, e.y, b.segment_id, b.dist_
 
 
 def snapped(spark, d):
-    return spatial.snap(points(spark, d), scoped_segments(spark, d))
+    return spatial.snap(points(spark, d), scoped_segments(spark, d, dense=True))
 
 
-@query("H9_nearest_valid_segment", with_sql("ev", "seg") + SNAPPED + "SELECT point_id, segment_id, round(snap_dist_m, 6) AS snap_dist_m FROM snapped WHERE segment_id IS NOT NULL")
+@query("H9_nearest_valid_segment", with_sql("ev", "seg", dense=True) + SNAPPED + "SELECT point_id, segment_id, round(snap_dist_m, 6) AS snap_dist_m FROM snapped WHERE segment_id IS NOT NULL")
 def _(spark, d):
     kept = snapped(spark, d).where(F.col("segment_id").isNotNull())
     return kept.select("point_id", "segment_id", F.round("snap_dist_m", 6).alias("snap_dist_m"))
 
 
-@query("H10_snapped_cell", with_sql("ev", "seg") + SNAPPED + "SELECT point_id, hexcell AS cell FROM " + HEX.format(
+@query("H10_snapped_cell", with_sql("ev", "seg", dense=True) + SNAPPED + "SELECT point_id, hexcell AS cell FROM " + HEX.format(
     src="(SELECT point_id, nx AS x, ny AS y FROM snapped WHERE segment_id IS NOT NULL)"))
 def _(spark, d):
     return snapped(spark, d).where(F.col("cell").isNotNull()).select("point_id", "cell")
 
 
-@query("H11_drop_reasons", with_sql("ev", "seg") + SNAPPED + "SELECT point_id, drop_reason FROM snapped")
+@query("H11_drop_reasons", with_sql("ev", "seg", dense=True) + SNAPPED + "SELECT point_id, drop_reason FROM snapped")
 def _(spark, d):
     return snapped(spark, d).select("point_id", "drop_reason")
 
@@ -164,17 +165,17 @@ STATS = """SELECT count(*) AS points, count(*) FILTER (drop_reason IS NULL) AS k
   count(*) FILTER (near_cell <> raw_cell) AS kept_moved_cell FROM """
 
 
-@query("H12_drop_stats", with_sql("ev", "seg") + SNAPPED + STATS + "(SELECT s.*, h.hexcell AS near_cell, g.hexcell AS raw_cell FROM snapped s LEFT JOIN (SELECT point_id, hexcell FROM "
+@query("H12_drop_stats", with_sql("ev", "seg", dense=True) + SNAPPED + STATS + "(SELECT s.*, h.hexcell AS near_cell, g.hexcell AS raw_cell FROM snapped s LEFT JOIN (SELECT point_id, hexcell FROM "
        + HEX.format(src="(SELECT point_id, nx AS x, ny AS y FROM snapped)") + ") h USING (point_id) LEFT JOIN (SELECT point_id, hexcell FROM "
        + HEX.format(src="(SELECT point_id, x, y FROM snapped)") + ") g USING (point_id))")
 def _(spark, d):
     return spatial.drop_stats(snapped(spark, d))
 
 
-@query("H13_cells_on_segments", with_sql("ev", "seg") + SNAPPED + "SELECT count(*) AS kept, 0::BIGINT AS off_segment FROM snapped WHERE segment_id IS NOT NULL")
+@query("H13_cells_on_segments", with_sql("ev", "seg", dense=True) + SNAPPED + "SELECT count(*) AS kept, 0::BIGINT AS off_segment FROM snapped WHERE segment_id IS NOT NULL")
 def _(spark, d):
     snap = snapped(spark, d).where(F.col("cell").isNotNull())
-    bridge = spatial.segment_cells(scoped_segments(spark, d).select("segment_id", "x0", "y0", "x1", "y1"))
+    bridge = spatial.segment_cells(scoped_segments(spark, d, dense=True).select("segment_id", "x0", "y0", "x1", "y1"))
     off = spatial.cells_off_segment(snap, bridge).agg(F.count("*").alias("n"))
     return snap.agg(F.count("*").alias("kept")).withColumn("off_segment", off.scalar())
 
