@@ -113,3 +113,25 @@ def test_M10_importance_against_rows(spark):
     for c in want:
         assert got[c].deviance_lost == pytest.approx(want[c], rel=1e-6, abs=1e-9)
         assert got[c].share == pytest.approx(want[c] / sum(want.values()), rel=1e-6)
+
+
+def test_M6_glm_iterations_read_encoded_rows(spark, monkeypatch):
+    read = []
+    fit = rate_model.GeneralizedLinearRegression.fit
+    monkeypatch.setattr(rate_model.GeneralizedLinearRegression, "fit", lambda self, df: read.append(df) or fit(self, df))
+    rows_ = spark.range(0, 400).selectExpr("concat('h', id % 3) AS hour", "id % 5 AS size", "id % 4 AS y", "4 AS exposure")
+    folded = rate_model.fold(rows_, ["hour", "size"])
+    once = rate_model.RateModel.fit(folded, ["hour"], ["size"])
+    plan = read[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert read[0].columns == ["_x", "y", "_offset"] and "UDF" not in plan and "Aggregate" not in plan
+    twice = rate_model.RateModel.fit(folded.unionByName(folded), ["hour"], ["size"])  # a design need not be one row
+    assert twice.pipeline.stages[-1].coefficients.toArray().tolist() == pytest.approx(once.pipeline.stages[-1].coefficients.toArray().tolist(), abs=1e-9)
+
+
+def test_M7_scores_slots_and_writes_no_dense_panel(spark, folder):
+    from weekcell.catalog import load_catalog, stages
+    from weekcell.catalog.registry import QUERIES
+    load_catalog()
+    stages._WRITTEN.clear()
+    assert QUERIES["M7_expected_counts"](spark, folder).where("mu > 0").count() > 0
+    assert {name for _, _, name in stages._WRITTEN}.isdisjoint({"model_panel", "panel"})

@@ -52,14 +52,16 @@ class RateModel:
 
     @classmethod
     def fit(cls, folded: DataFrame, categories: list[str], measures: list[str], max_iter: int = 50, ridge: float = 0.0) -> "RateModel":
-        """Fit folded rows; columns of them that are in neither list are summed over.
+        """Fit folded rows; columns of them that are in neither list are summed over. They are read three times before the fit: bring a table.
 
+        Designs are encoded once and written: every iteration reads vectors, and neither strings nor indexes.
         A category without a second level says nothing beyond the intercept and is refused by the encoder.
         """
         columns = [*categories, *measures]
-        same = folded.groupBy(*columns).agg(F.sum("y").alias("y"), F.sum("exposure").alias("exposure"))
+        same = folded  # rows of one design need not be one row: the likelihood is the same
+        if set(folded.columns) - set(columns) - set(STATISTICS):
+            same = cut_lineage(folded.groupBy(*columns).agg(F.sum("y").alias("y"), F.sum("exposure").alias("exposure")))
         rate = base_rate(same)
-        rows = cut_lineage(same.withColumn("_offset", offset(rate)))  # read once for each iteration
         if columns:
             parts = [f"coalesce('=' || CAST(`{c}` AS STRING), 'null') AS `_s_{c}`" for c in categories] + [
                 f"ln(1 + coalesce(CAST(`{c}` AS DOUBLE), 0)) AS `_m_{c}`" for c in measures]
@@ -71,10 +73,12 @@ class RateModel:
             stages.append(VectorAssembler(inputCols=[f"_h_{c}" for c in categories] + [f"_m_{c}" for c in measures], outputCol="_x"))
         else:
             raise ValueError("a design has a column at least")
-        stages.append(GeneralizedLinearRegression(family="poisson", link="log", featuresCol="_x", labelCol="y", offsetCol="_offset",
-                                                  linkPredictionCol="_eta", maxIter=max_iter, tol=1e-12, regParam=ridge))
+        encoder = Pipeline(stages=stages).fit(same)
+        rows = cut_lineage(encoder.transform(same).select("_x", "y", offset(rate).alias("_offset")))
+        model = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="_x", labelCol="y", offsetCol="_offset",
+                                            linkPredictionCol="_eta", maxIter=max_iter, tol=1e-12, regParam=ridge).fit(rows)
         types = dict(folded.dtypes)
-        return cls(Pipeline(stages=stages).fit(rows), rate, list(categories), list(measures), [(c, types[c]) for c in columns])
+        return cls(PipelineModel(stages=[*encoder.stages, model]), rate, list(categories), list(measures), [(c, types[c]) for c in columns])
 
     # -- scores
 
@@ -93,7 +97,11 @@ class RateModel:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Rows with ``mu``, the expected count over their exposure."""
-        return self.score(rows).withColumn("mu", F.exp(F.col("score") + offset(self.rate))).drop("score")
+        return self.expected(self.score(rows))
+
+    def expected(self, scored: DataFrame) -> DataFrame:
+        """Rows with ``score`` and exposure, with ``mu`` in place of the score. Rows may take the score of their design."""
+        return scored.withColumn("mu", F.exp(F.col("score") + offset(self.rate))).drop("score")
 
     def log_rate(self) -> Column:
         """Logarithm of the rate of a row with ``score``."""
