@@ -135,3 +135,12 @@ def test_M7_scores_slots_and_writes_no_dense_panel(spark, folder):
     stages._WRITTEN.clear()
     assert QUERIES["M7_expected_counts"](spark, folder).where("mu > 0").count() > 0
     assert {name for _, _, name in stages._WRITTEN}.isdisjoint({"model_panel", "panel"})
+
+
+def test_M6_boosted_tasks_are_sized_by_rows(spark, folder, monkeypatch):
+    from weekcell.catalog import models
+    whole = sum(models.boosted_rows(spark, folder, "validate").rdd.glom().map(len).collect())
+    monkeypatch.setattr(poisson, "ROWS_OF_A_TASK", 2_000)
+    parts = models.boosted_rows(spark, folder, "validate").rdd.glom().map(len).collect()
+    assert sum(parts) == whole == models.split(models.model_panel(spark, folder), "validate").count()
+    assert len(parts) == -(-whole // 2_000) > 1
