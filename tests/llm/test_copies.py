@@ -299,3 +299,26 @@ def test_sketches_differ_in_no_more_bits_than_the_sets(spark):
         got = pairs.filter(F.col("percent") == percent).select("linked", close.alias("close")).collect()
         assert all(r.close for r in got if r.linked)
         assert percent < 80 or sum(r.close for r in got) <= sum(r.linked for r in got) + 12
+
+
+def test_hints_tell_texts_with_one_passage_apart(spark):
+    """Texts that share a passage meet in signatures; before, each such meeting became a pair that was joined with both sketches."""
+    draw, percent = random.Random(8), 80
+    passage, rows = " ".join(f"p{k}" for k in range(60)), []
+    for k in range(40):
+        own = " ".join(f"w{draw.randrange(10 ** 6)}" for _ in range(draw.choice([60, 90, 150])))
+        rows.append((k, f"{passage} {own}"))
+    rows += [(100 + k, t) for k, (_, t) in enumerate(near_copies(5, families=20, size=4))]
+    base = ngram_join.NgramJoin(spark.createDataFrame(rows, "doc_id long, text string"), 5, percent).base.select(
+        "doc_id", *ngram_join.hints(F.col("n_shingles"), F.col("sketch"))).filter("h1 <> 0")
+    pairs = (base.alias("a").join(base.alias("b"), F.col("a.doc_id") < F.col("b.doc_id"))
+             .select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v"), ngram_join.may_link("a.", "b.", percent).alias("open")))
+    sets = {d: shingle_set(t, 5) for d, t in rows}
+    apart = opened = 0
+    for u, v, is_open in pairs.collect():
+        both = len(sets[u] & sets[v])
+        if 100 * both >= percent * (len(sets[u]) + len(sets[v]) - both):
+            assert is_open, (u, v)
+        elif u < 100 and v < 100:
+            apart, opened = apart + 1, opened + is_open
+    assert apart == 780 and opened < 80

@@ -35,6 +35,9 @@ SCHEMES = 12
 SKETCH = 2
 #: Bits of the filter that picks the rows whose sets are fetched; it has this size for any input.
 FILTER_BITS = 1 << 23
+#: Bits of the first half of a set's hint, a long: its size (up to HINT_SIZE) above that many of the parities of its features. The second half has 64 more.
+HINT_BITS = 54
+HINT_SIZE = (1 << 63 - HINT_BITS) - 1
 #: Star rounds before the pairs that are left are enumerated.
 STAR_ROUNDS = 3
 #: Sets that a worker remembers to leave out repeated ones.
@@ -173,6 +176,31 @@ def fetch_sets(n: int, bits):
     return run
 
 
+def hints(n_shingles: Column, sketch: Column) -> list[Column]:
+    """Size and parities of a set in two longs (h1, h2), so that the rows of a signature can carry them.
+
+    A sketch of one word has no second half; one of several is folded to two words, which keep apart what a single word would mix.
+    """
+    def folded(words: Column) -> Column:
+        return F.aggregate(words, F.lit(0).cast("bigint"), lambda sofar, word: sofar.bitwiseXOR(word))
+    even, odd = F.filter(sketch, lambda _, k: k % 2 == 0), F.filter(sketch, lambda _, k: k % 2 == 1)
+    size = F.least(n_shingles, F.lit(HINT_SIZE)).cast("bigint")
+    first = F.shiftleft(size, HINT_BITS).bitwiseOR(folded(even).bitwiseAND(F.lit((1 << HINT_BITS) - 1)))
+    return [first.alias("h1"), F.when(F.size(sketch) > 1, folded(odd)).alias("h2")]
+
+
+def may_link(left: str, right: str, percent: int) -> Column:
+    """Whether the hints (h1, h2) of two sets leave a link open: parities differ in no more places than the sets do in features.
+
+    Sizes of HINT_SIZE or more leave it open, and so does a sketch of one word beside one of several.
+    """
+    x, y = F.col(f"{left}h1"), F.col(f"{right}h1")
+    p, q = F.col(f"{left}h2"), F.col(f"{right}h2")
+    a, b = F.shiftright(x, HINT_BITS), F.shiftright(y, HINT_BITS)
+    gap = F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit((1 << HINT_BITS) - 1))) + F.coalesce(F.bit_count(p.bitwiseXOR(q)), F.lit(0))
+    return (F.greatest(a, b) >= HINT_SIZE) | (p.isNull() != q.isNull()) | (gap * F.lit(100 + percent) <= (a + b) * F.lit(100 - percent))
+
+
 class NgramJoin:
     """The join over one table: its classes of equal sets, links between classes, and components.
 
@@ -209,48 +237,49 @@ class NgramJoin:
         return (both.select("u", "v", common.alias("common"), (F.size("left") + F.size("right") - common).alias("total"))
                 .filter(F.lit(100) * F.col("common") >= F.lit(self.percent) * F.col("total")).select("u", "v"))
 
-    def links(self) -> DataFrame:
-        """Links (u, v) between classes (fingerprints) that connect just what all links connect.
+    def roots(self) -> DataFrame:
+        """(u, root) of classes (fingerprints) that links connect with others, root being the least class of the component.
 
         Signatures are dealt by value once. Per signature, classes are first compared with the one that shares most signatures
         with others (the text that the others are copies of, as a rule), then with others in turn; classes that a
         link has joined need no comparison among them, so a group of near copies costs its size, not its square. A class that
-        was the centre of a signature is settled there and leaves it. After STAR_ROUNDS rounds, the pairs of classes that
-        still share a signature and are apart are compared, if size and sketch allow a link; nothing is left out.
+        was the centre of a signature is settled there and leaves it. Rows of signatures carry hints, so that most classes that only share a passage
+        are told apart where they meet and no pair of them is made. What a round has linked goes on as one edge from each class to its root.
+        After STAR_ROUNDS rounds, the pairs of classes that still share a signature and are apart are compared, if size and sketch allow a link; nothing is left out.
         """
         signatures = self.docs.select("text").mapInArrow(_signatures(self.n, self.percent), "sig long, fp long")
         same = Window.partitionBy("sig")
         shared = written(signatures.withColumns({"least": F.min("fp").over(same), "most": F.max("fp").over(same)})
                          .filter("least < most").select("sig", "fp").distinct(), "shared")
         if shared.isEmpty():
-            return shared.selectExpr("fp AS u", "fp AS v")
+            return shared.selectExpr("fp AS u", "fp AS root")
         sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
         degrees = shared.join(sizes, "sig").groupBy("fp").agg(F.sum("size").alias("degree"))
         wanted = shared.select("fp").distinct()
         classes = self.base.filter("n_shingles > 0").groupBy("fp").agg(
             F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
-        info = written(classes.join(degrees, "fp"), "info")
+        info = written(classes.join(degrees, "fp").select("*", *hints(F.col("n_shingles"), F.col("sketch"))), "info")
         bits = self.docs.sparkSession.sparkContext.broadcast(
             bitmaps.build(info.select(bitmaps.slot(F.col("doc_id"), FILTER_BITS).alias("slot")), FILTER_BITS))
         fetched = (self.docs.withColumn("slot", bitmaps.slot(F.col("doc_id"), FILTER_BITS)).mapInArrow(fetch_sets(self.n, bits), "fp long, items array<bigint>"))
         sets = written(fetched.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
         traits = info.select("fp", "n_shingles", "sketch")
-        links, labels, rest = None, None, shared
+        labels, rest = None, shared
         for turn in range(STAR_ROUNDS + 1):
             if labels is None:
-                held = rest.join(info.select("fp", "degree"), "fp").withColumn("root", F.col("fp"))
+                held = rest.join(info.select("fp", "degree", "h1", "h2"), "fp").withColumn("root", F.col("fp"))
             else:
                 held = rest.join(labels.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
                 open_ = held.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("sig")
-                held = written(held.join(open_, "sig", "left_semi").select("sig", "fp", "root"), "held")
+                held = written(held.join(open_, "sig", "left_semi").select("sig", "fp", "root", "h1", "h2"), "held")
                 if held.isEmpty():
                     break
             if turn < STAR_ROUNDS:
                 rank = F.struct("degree", "fp") if turn == 0 else F.struct(F.xxhash64("fp", F.lit(turn)), "fp")
-                centre = held.groupBy("sig").agg(F.max_by(F.struct("fp", "root"), rank).alias("c"))
-                starred = held.join(centre, "sig")
-                rest = starred.filter(F.col("fp") != F.col("c.fp")).select("sig", "fp")
-                pairs = (starred.filter(F.col("root") != F.col("c.root"))
+                centre = held.groupBy("sig").agg(F.max_by(F.struct("fp", "root", "h1", "h2"), rank).alias("c"))
+                starred = written(held.join(centre, "sig").select("sig", "fp", "root", "h1", "h2", "c"), "starred")
+                rest = starred.filter(F.col("fp") != F.col("c.fp")).select("sig", "fp", "h1", "h2")
+                pairs = (starred.filter((F.col("root") != F.col("c.root")) & may_link("", "c.", self.percent))
                          .select(F.greatest("fp", "c.fp").alias("u"), F.least("fp", "c.fp").alias("v")).distinct())
                 named = (pairs.join(traits.withColumnRenamed("fp", "u").select("u", F.struct("n_shingles", "sketch").alias("a")), "u")
                          .join(traits.withColumnRenamed("fp", "v").select("v", F.struct("n_shingles", "sketch").alias("b")), "v"))
@@ -261,20 +290,20 @@ class NgramJoin:
                 largest = (held.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("size"))
                            .groupBy("sig").agg(F.max_by("root", F.struct("size", "root")).alias("largest")))
                 left, right = rich.join(largest, "sig").filter("root <> largest").alias("l"), rich.alias("r")
-                pairs = (left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.root") != F.col("r.root")) & self._close("l", "r"))
+                pairs = (left.join(right, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.root") != F.col("r.root"))
+                                   & may_link("l.", "r.", self.percent) & self._close("l", "r"))
                          .select(F.greatest("l.fp", "r.fp").alias("u"), F.least("l.fp", "r.fp").alias("v")).distinct())
             found = self._linked(pairs, sets)
             found = written(found, "found")
-            if links is not None and found.isEmpty():
+            if labels is not None and found.isEmpty():
                 continue  # nothing is joined that was apart
-            links = written(found if links is None else links.union(found), "links")
-            labels = written(connected_components(links), "labels")
-        return links
+            edges = found if labels is None else found.union(labels.filter("u <> root").select("u", F.col("root").alias("v")))
+            labels = written(connected_components(edges), "labels")
+        return labels
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id (least doc_id of the component), fp and the component's root for every row of ``docs``."""
-        labels = connected_components(self.links())
-        rooted = self.base.select("doc_id", "n_shingles", "fp").join(labels.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        rooted = self.base.select("doc_id", "n_shingles", "fp").join(self.roots().withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         least = (rooted.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")))
         return (rooted.join(least, "root", "left")
                 .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "fp", "root"))
