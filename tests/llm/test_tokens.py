@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -68,6 +69,20 @@ def test_words_are_the_librarys(corpus):
         assert own.encode(text.encode()) == ids, text
 
 
+def test_words_with_accents_and_marks_are_the_librarys():
+    """Also with the memo turning over: a word in use is then not encoded again (before, a full memo forgot all words at once)."""
+    draw = random.Random(4)
+    library, own = Tokenizer.from_file(WORDS), token_files.WordEncoder(WORDS)
+    own.words.limit, calls, letters = 40_000, Counter(), own._letters
+    own._letters = lambda word: calls.update([word]) or letters(word)
+    parts = ["été", "ÉTÉ", "Über", "straße", "ÿ", "Þorn", "×", "÷", "ab", "Zq", "'", "'s", "…", "!!", ",", "_", "7", "\x00", "\x1c", "|", "\u00a0", "e\u0301", "İ", "Σ", "ſ"]
+    for turn in range(1500):
+        text = " ".join("".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(3)) + " house house, garden"
+        text += " " + "".join(draw.choices("abcdefgh", k=9))
+        assert own.encode(text.encode()) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+    assert own.words.former and calls["house"] == calls["garden"] == 1
+
+
 def test_blocks_round_trip():
     draw = np.random.default_rng(5)
     for _ in range(200):

@@ -14,6 +14,7 @@ The width is that of the 95th percentile of the block; larger values are excepti
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import uuid
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weekcell.llm.memo import Memo
+from weekcell.llm.memo import Generations, Memo
 from weekcell.llm.registry import query, table
 from weekcell.session import ensure_checkpoint_dir
 
@@ -82,8 +83,10 @@ def unpack(starts, payload: bytes, first: int = 0, last: int | None = None) -> n
     return np.concatenate(blocks) if blocks else np.zeros(0, dtype=np.uint32)
 
 
-#: A word that the vocabulary's normalizer and splitter leave in one piece, and what ASCII marks may follow it.
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([^\\w\\s']*)", re.ASCII)
+#: A word that the vocabulary's normalizer and splitter leave in one piece.
+_PLAIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+#: ASCII marks that may follow it.
+_MARKS = bytes(b for b in range(128) if not re.match("[\\w\\s']", chr(b), re.ASCII))
 
 
 class WordEncoder:
@@ -101,29 +104,32 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
         hidden = [b for b in range(256) if b not in set(shown)]
-        self.sign = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        sign = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.signs = "".join(sign[b] for b in range(256))
         self.special = b"<|"
-        self.words = Memo(self._word, limit=64 << 20)
-        self.letters = Memo(self._letters, limit=48 << 20)
-        self.marks = Memo(self._whole, limit=1 << 20)
+        self.words = Generations(self._word)
+        self.marks = Memo(self._marks, limit=1 << 20)
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, word: str) -> bytes:
         return self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
+    def _marks(self, marks: bytes) -> bytes:
+        return self._whole(marks.decode("ascii"))
+
     def _letters(self, word: str) -> bytes:
-        """A run of letters that need no normalizing goes straight to the library's merges."""
-        signs = word if word.isascii() else "".join(self.sign[b] for b in word.encode("utf-8"))
+        """A run of letters that need no normalizing but lower case (one for one in _PLAIN) goes straight to the library's merges."""
+        signs = word if word.isascii() else codecs.charmap_decode(word.lower().encode("utf-8"), "strict", self.signs)[0]
         return self._pack([t.id for t in self.tokenizer.model.tokenize(signs)])
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8")
-        plain = _PLAIN.fullmatch(text)
-        if plain and plain[2].isascii():
-            return self.letters[plain[1]] + (self.marks[plain[2]] if plain[2] else b"")
-        return self._whole(text)
+        """A word without its marks is remembered as the word that it is."""
+        letters = word.rstrip(_MARKS)
+        if letters.isalpha() or _PLAIN.fullmatch(letters.decode("utf-8")):  # of bytes, isalpha() holds for ASCII alone
+            return self._letters(word.decode("utf-8")) if len(letters) == len(word) else self.words[letters] + self.marks[word[len(letters):]]
+        return self._whole(word.decode("utf-8"))
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
