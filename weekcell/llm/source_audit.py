@@ -1,9 +1,8 @@
 """Audit of how far the sources of a language diverge in their words, by chunk factorization.
 
 A chunk is a run of other bytes than ASCII white space (``[^\\x20\\x09-\\x0D]+``); a term is a run of ASCII letters and characters beyond ASCII,
-A-Z in lower case, so a term never crosses two chunks. Documents are only split into chunks. Each globally distinct chunk is cut into terms once,
-and its terms are joined back to the chunk's counts: first to its documents by language, which decides which terms are kept, then to its
-occurrences by source.
+A-Z in lower case, so a term never crosses two chunks. Documents are only split into chunks. Each distinct chunk of a language is cut into terms once,
+beside its number of documents, which decides which terms are kept; kept terms are then joined to the chunk's occurrences by source.
 
 Terms are kept where a language has them in ``least`` documents or more. Chunks count their documents exactly, so a term has between
 the most of one chunk and the sum of all its chunks. Where that leaves the question open, the documents with these chunks are looked up in the
@@ -35,6 +34,8 @@ from weekcell.llm.words import text_chunks
 LEAST_DOCUMENTS = 10
 #: A term, in the syntax of java.util.regex.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Characters of a chunk up to which equal terms are counted where the chunk lies; the terms of a longer chunk are dealt out for that.
+SHORT_CHUNK = 64
 #: Different chunks that a task counts before it sends them on, and rows in one batch.
 HELD_CHUNKS = 400_000
 BATCH_ROWS = 50_000
@@ -97,9 +98,13 @@ def factorized(docs: DataFrame) -> DataFrame:
     """(lang, chunk, term, times, docs) as a written table: the documents of a language that hold the chunk, and how often the chunk holds the term."""
     counted = _prepared(docs).select("text", "lang").mapInArrow(_documents_of_chunks, "chunk string, lang string, docs long")
     chunks = written(counted.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs")), "chunks", compression="zstd")
-    cut = (chunks.select("chunk").distinct().select("chunk", F.explode(terms_of(F.col("chunk"))).alias("term"))
-           .groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times")))
-    return written(chunks.join(cut, "chunk").select("lang", "chunk", "term", "times", "docs"), "factors", compression="zstd")
+    cut = chunks.withColumn("terms", terms_of(F.col("chunk")))
+    short, long = cut.filter(F.length("chunk") <= SHORT_CHUNK), cut.filter(F.length("chunk") > SHORT_CHUNK)
+    times = F.size(F.filter("terms", lambda t: t == F.col("term"))).cast("long").alias("times")
+    here = short.withColumn("term", F.explode(F.array_distinct("terms"))).select("lang", "chunk", "term", times, "docs")
+    dealt = (long.select("lang", "chunk", "docs", F.explode("terms").alias("term"))
+             .groupBy("lang", "chunk", "term").agg(F.count(F.lit(1)).alias("times"), F.first("docs").alias("docs")))
+    return written(here.unionByName(dealt), "factors", compression="zstd")
 
 
 def _second_look(wanted, doubtful):
