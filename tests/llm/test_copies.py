@@ -322,3 +322,15 @@ def test_hints_tell_texts_with_one_passage_apart(spark):
         elif u < 100 and v < 100:
             apart, opened = apart + 1, opened + is_open
     assert apart == 780 and opened < 80
+
+
+def test_signatures_of_a_large_batch_come_in_small_pieces():
+    """A worker holds the signatures of about 1 MB of text at once (before: of 4 MB), and they are the same."""
+    draw = random.Random(11)
+    texts = [" ".join(str(draw.randrange(10 ** 6)) for _ in range(500)) for _ in range(1000)]  # 3.4 MB
+    parts = list(ngram_join._signatures(5, 80)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    assert max(p.nbytes for p in parts) < 2 << 20
+    values, rows, fp = ngram_join.set_rows(pa.array(texts), 0, len(texts), 5)
+    owner, sig = ngram_join.part_signatures(values, rows, 80)
+    want = sorted(zip(sig.view(np.int64).tolist(), fp[owner].view(np.int64).tolist()))
+    assert sorted((s, f) for p in parts for s, f in zip(p.column(0).to_pylist(), p.column(1).to_pylist())) == want

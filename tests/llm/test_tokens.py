@@ -150,3 +150,16 @@ def test_pairs_by_history_are_pairs_by_merging():
         wrong += own._compatible((a, b)) != apart
     assert wrong == 0
     assert sum(own.origins[k] is pieces._ODD for k in tokens) < len(tokens) // 20
+
+
+def test_ids_are_remembered_alone():
+    """A worker that only needs ids holds bytes of ids for a piece (before: their digits and the decoded text as well)."""
+    import pyarrow as pa
+
+    texts = ["one two three", "", None, "trois  four"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["__text"])
+    out = [x for b in pieces._encoded(PIECES)(iter([batch])) for x in b.column("ids").to_pylist()]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert out == [library.encode(t or "") for t in texts]
+    _, memo = pieces._ids(PIECES)
+    assert memo and all(isinstance(v, bytes) for v in memo.values())

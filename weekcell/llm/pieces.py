@@ -210,7 +210,7 @@ _TABLES: dict[str, tuple[PieceTable, Memo]] = {}
 
 
 def _table(model_file: str) -> tuple[PieceTable, Memo]:
-    """The worker's table, and a memo of cut pieces: number of ids, ids as text, decoded text, ids as 32-bit integers."""
+    """The worker's table, and a memo of cut pieces: number of ids, ids as text, decoded text."""
     if model_file not in _TABLES:
         pieces = PieceTable(model_file)
 
@@ -218,11 +218,22 @@ def _table(model_file: str) -> tuple[PieceTable, Memo]:
             ids = pieces.encode_piece(piece)
             # a mark before the piece keeps its own spaces: decode() drops one space at the start of a text only
             text = pieces.decode([pieces.ids[SPACE], *ids])
-            return len(ids), ",".join(map(str, ids)), text, array("i", ids).tobytes()
+            return len(ids), ",".join(map(str, ids)), text
         _TABLES[model_file] = pieces, Memo(compute, limit=96 << 20)
     return _TABLES[model_file]
 
 
+_IDS: dict[str, tuple[PieceTable, Memo]] = {}
+
+
+def _ids(model_file: str) -> tuple[PieceTable, Memo]:
+    """The worker's table, and a memo of the ids of cut pieces as 32-bit integers; digests and decoded texts are not held beside them."""
+    if model_file not in _IDS:
+        pieces = PieceTable(model_file)
+        _IDS[model_file] = pieces, Memo(lambda piece: array("i", pieces.encode_piece(piece)).tobytes(), limit=64 << 20)
+    return _IDS[model_file]
+
+
 def encode(text: str, model_file: str) -> list[int]:
     pieces, _ = _table(model_file)
     return [k for piece in pieces.cut(text) for k in pieces.encode_piece(piece)]
@@ -247,9 +258,9 @@ def _digests(model_file: str):
 
 def _encoded(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, memo = _table(model_file)
+        pieces, memo = _ids(model_file)
         for batch in batches:
-            found = [[memo[p][3] for p in pieces.cut(x.as_py() or "")] for x in batch.column("__text")]
+            found = [[memo[p] for p in pieces.cut(x.as_py() or "")] for x in batch.column("__text")]
             data = [b"".join(x) for x in found]
             offsets = np.cumsum([0] + [len(x) // 4 for x in data])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(data), np.int32)))

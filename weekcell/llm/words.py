@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that are worked on at once; a longer text is a chunk of its own. Hashes, sort keys and signatures of a chunk take some fifty times its bytes.
+CHUNK_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
