@@ -105,3 +105,22 @@ def test_terms_of_chunks_are_counted_where_they_lie(spark):
     assert got == want
     plan = writes["factors"]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and "Join" not in plan
+
+
+def test_occurrences_come_once_for_each_chunk_of_a_piece(spark):
+    """A piece of text gives one row for each chunk, with its sources as a list (before: one row for each chunk and source), and exact sums."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Full:
+        value = np.full(source_audit.FILTER_BITS // 8, 255, np.uint8)
+
+    class Empty:
+        value = np.zeros(source_audit.FILTER_BITS // 8, np.uint8)
+    texts = [" a\tb a ", "b", "", "a\x0bc\x1cd", "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["x", "x", "x", "x", "y"]), pa.array(["s", "t", "t", "t", "s"]), pa.array(range(5))], ["text", "lang", "source", "row"])
+    out = [r for b in source_audit._second_look(Full, Empty)(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["lang"], r["chunk"], sorted(zip(r["sources"], r["n"]))) for r in out) == [
+        ("x", "a", [("s", 2), ("t", 1)]), ("x", "b", [("s", 1), ("t", 1)]), ("x", "c\x1cd", [("t", 1)]), ("y", "a", [("s", 1)])]
+    every = [r for b in source_audit._second_look(Empty, Full)(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["lang"], r["chunk"], r["row"]) for r in every) == [("x", "a", 0), ("x", "a", 3), ("x", "b", 0), ("x", "b", 1), ("x", "c\x1cd", 3), ("y", "a", 4)]

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,8 +37,9 @@ LEAST_DOCUMENTS = 10
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Characters of a chunk up to which equal terms are counted where the chunk lies; the terms of a longer chunk are dealt out for that.
 SHORT_CHUNK = 64
-#: Different chunks that a task counts before it sends them on, and rows in one batch.
+#: Different chunks that a task counts before it sends them on, for which a piece of text has TEXT_BYTES bytes each, and rows in one batch.
 HELD_CHUNKS = 400_000
+TEXT_BYTES = 40
 BATCH_ROWS = 50_000
 #: Bits of the filters of chunks (4 MB); a full one costs time, not results.
 FILTER_BITS = 1 << 25
@@ -48,40 +50,44 @@ BLOCK_TERMS = 8192
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _texts(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple]:
-    """Rows of a batch of (text, ...) as tuples, ``limit`` bytes of text at a time."""
-    for low, high in text_chunks(batch.column(0), limit):
-        yield from zip(*[c.slice(low, high - low).to_pylist() for c in batch.columns])
+def _split(column: pa.Array, low: int, high: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct chunks of the texts in rows low..high, and (place of the chunk, row, times) for each chunk of a row.
 
-
-def _batches(columns: dict[str, tuple[list, pa.DataType]]) -> Iterator[pa.RecordBatch]:
-    """Lists as batches of BATCH_ROWS rows; chunks are bytes and become strings."""
-    arrays = [pa.array(v, pa.binary()).cast(t) if name == "chunk" else pa.array(v, t) for name, (v, t) in columns.items()]
-    yield from pa.Table.from_arrays(arrays, list(columns)).to_batches(max_chunksize=BATCH_ROWS)
+    Arrow parts at exactly the six characters. A text that is a piece of its own is split in parts; its distinct chunks are held.
+    """
+    if high - low == 1 and column.slice(low, 1).nbytes > HELD_CHUNKS * TEXT_BYTES:
+        own: Counter = Counter()
+        for words in word_lists(column[low].as_py()):
+            own.update(words)
+        chunks = pa.array(list(own), pa.binary()).cast(pa.string())
+        return chunks, np.arange(len(own)), np.full(len(own), low), np.fromiter(own.values(), np.int64, len(own))
+    lists = pc.ascii_split_whitespace(column.slice(low, high - low))
+    coded = lists.flatten().dictionary_encode()
+    chunks, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(low, high), lists.value_lengths().to_numpy())
+    blank = pc.index(chunks, "").as_py()  # before a white space that opens a text, and after one that ends it
+    if blank >= 0:
+        row, code = row[code != blank], code[code != blank]
+    size = max(1, len(chunks))
+    key, times = np.unique(row * size + code, return_counts=True)
+    return chunks, key % size, key // size, times
+
+
+def _batches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    """Columns as batches of BATCH_ROWS rows."""
+    yield from pa.table(columns).to_batches(max_chunksize=BATCH_ROWS)
 
 
 def _documents_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, lang, docs): in how many documents of the language each chunk stands, summed as far as memory allows."""
-    held: dict[str, Counter] = {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, docs in held.items():
-            yield from _batches({"chunk": (list(docs), pa.string()), "lang": ([lang] * len(docs), pa.string()), "docs": (list(docs.values()), pa.int64())})
-        held.clear()
-
-    size = 0
+    """(chunk, lang, docs): in how many documents of the language each chunk stands, summed over a piece of a batch."""
     for batch in batches:
-        for text, lang in _texts(batch):
-            docs = held.setdefault(lang, Counter())
-            before, own = len(docs), set()
-            for words in word_lists(text):
-                own.update(words)
-            docs.update(own)
-            size += len(docs) - before
-            if size > HELD_CHUNKS:
-                yield from flush()
-                size = 0
-    yield from flush()
+        langs = batch.column("lang").dictionary_encode()
+        lang = langs.indices.to_numpy()
+        for low, high in text_chunks(batch.column("text"), HELD_CHUNKS * TEXT_BYTES):
+            chunks, code, row, _ = _split(batch.column("text"), low, high)
+            size = max(1, len(chunks))
+            key, docs = np.unique(lang[row] * np.int64(size) + code, return_counts=True)
+            yield from _batches({"chunk": chunks.take(pa.array(key % size)), "lang": langs.dictionary.take(pa.array(key // size)), "docs": pa.array(docs, pa.int64())})
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -108,54 +114,40 @@ def factorized(docs: DataFrame) -> DataFrame:
 
 
 def _second_look(wanted, doubtful):
-    """(chunk, lang, source, n, row) of the chunks that the filter ``wanted`` lets pass: occurrences by source, with null row; and of those that ``doubtful``
-    lets pass a row for each document that holds them, with null source and n."""
+    """(chunk, lang, sources, n, row) of the chunks that the filter ``wanted`` lets pass: a piece's sources and occurrences in each, with null row; and of those
+    that ``doubtful`` lets pass a row for each document that holds them, with null sources and n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = wanted.value, doubtful.value
-        seen: set[bytes] = set()
-        unwanted: set[bytes] = set()
-        open_chunks: set[bytes] = set()
-        held: dict[tuple[str, str], Counter] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), times in held.items():
-                kept = [c for c in times if c not in unwanted]
-                n = len(kept)
-                yield from _batches({"chunk": (kept, pa.string()), "lang": ([lang] * n, pa.string()), "source": ([source] * n, pa.string()),
-                                     "n": ([times[c] for c in kept], pa.int64()), "row": ([None] * n, pa.int64())})
-            for v in (held, seen, unwanted, open_chunks):
-                v.clear()
-
         for batch in batches:
-            chunks, langs, rows = [], [], []
-            for text, lang, source, row in _texts(batch):
-                times = held.setdefault((lang, source), Counter())
-                before, own = len(times), set()
-                for words in word_lists(text):
-                    times.update(words)
-                    own.update(words)
-                new = list(own - seen)
-                if new:
-                    slots = np.array([xxhash.xxh64_intdigest(c, 42) % FILTER_BITS for c in new], dtype=np.int64)
-                    seen.update(new)
-                    unwanted.update(c for c, hit in zip(new, bitmaps.holds(first, slots).tolist()) if not hit)
-                    open_chunks.update(c for c, hit in zip(new, bitmaps.holds(second, slots).tolist()) if hit)
-                hit = own & open_chunks
-                chunks += hit
-                langs += [lang] * len(hit)
-                rows += [row] * len(hit)
-                size += len(times) - before
-                if size > HELD_CHUNKS:
-                    yield from flush()
-                    size = 0
-            none = [None] * len(rows)
-            yield from _batches({"chunk": (chunks, pa.string()), "lang": (langs, pa.string()), "source": (none, pa.string()), "n": (none, pa.int64()),
-                                 "row": (rows, pa.int64())})
-        yield from flush()
+            langs, sources = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
+            lang, source = langs.indices.to_numpy(), sources.indices.to_numpy()
+            width = max(1, len(sources.dictionary))
+            for low, high in text_chunks(batch.column("text"), HELD_CHUNKS * TEXT_BYTES):
+                chunks, code, row, times = _split(batch.column("text"), low, high)
+                slots = np.fromiter((xxhash.xxh64_intdigest(c, 42) % FILTER_BITS for c in chunks.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(chunks))
+                kept, open_ = bitmaps.holds(first, slots)[code], bitmaps.holds(second, slots)[code]
+                size = max(1, len(chunks))
+                key, n = _sums((lang[row[kept]] * np.int64(size) + code[kept]) * width + source[row[kept]], times[kept])
+                of = key // width
+                starts = np.flatnonzero(np.diff(of, prepend=-1))
+                ends, of = pa.array(np.append(starts, len(key)), pa.int32()), of[starts]
+                yield from _batches({"chunk": chunks.take(pa.array(of % size)), "lang": langs.dictionary.take(pa.array(of // size)),
+                                     "sources": pa.ListArray.from_arrays(ends, sources.dictionary.take(pa.array(key % width))),
+                                     "n": pa.ListArray.from_arrays(ends, pa.array(n, pa.int64())), "row": pa.nulls(len(of), pa.int64())})
+                at = pa.array(row[open_])
+                yield from _batches({"chunk": chunks.take(pa.array(code[open_])), "lang": batch.column("lang").take(at), "sources": pa.nulls(len(at), pa.list_(pa.string())),
+                                     "n": pa.nulls(len(at), pa.list_(pa.int64())), "row": batch.column("row").take(at)})
     return run
 
 
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of ``n`` over each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
 def kept_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """(lang, term) of the terms that stand in ``least`` documents of the language, and (lang, source, term, n) of their occurrences; both written.
 
@@ -172,14 +164,16 @@ def kept_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFram
         return spark.sparkContext.broadcast(bitmaps.build(slots, FILTER_BITS))
 
     rows = _prepared(docs).withColumn("row", F.monotonically_increasing_id())
-    look = written(rows.mapInArrow(_second_look(shared(wanted), shared(wanted.filter("open"))), "chunk string, lang string, source string, n long, row long"),
+    look = written(rows.mapInArrow(_second_look(shared(wanted), shared(wanted.filter("open"))), "chunk string, lang string, sources array<string>, n array<bigint>, row long"),
                    "look", compression="zstd")
     found = (look.filter(F.col("row").isNotNull()).join(wanted.filter("open"), ["lang", "chunk"]).select("lang", "term", "row").distinct()
              .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= least))
     kept = written(bounds.filter(F.col("fewest") >= least).select("lang", "term").union(found.select("lang", "term")), "kept")
-    sums = look.filter(F.col("row").isNull()).groupBy("lang", "chunk", "source").agg(F.sum("n").alias("n"))
-    counts = (sums.join(wanted.join(kept, ["lang", "term"]), ["lang", "chunk"]).groupBy("lang", "source", "term")
-              .agg(F.sum(F.col("n") * F.col("times")).alias("n")))
+    # occurrences meet a hash table of their chunks' factors as they come, a row for each chunk of a piece of text, neither summed nor sorted before
+    here = wanted.join(kept, ["lang", "term"]).select("lang", "chunk", "term", "times").hint("shuffle_hash")
+    held = look.filter(F.col("row").isNull()).select("lang", "chunk", "sources", "n").join(here, ["lang", "chunk"])
+    counts = (held.select("lang", "term", "times", "n", F.posexplode("sources").alias("at", "source")).groupBy("lang", "source", "term")
+              .agg(F.sum(F.col("n")[F.col("at")] * F.col("times")).alias("n")))
     return kept, written(counts, "counts")
 
 
