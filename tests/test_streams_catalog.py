@@ -104,3 +104,44 @@ def test_no_query_joins_everything_with_everything(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = entry.queries()["S15_pruned_scan"](spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "o_custkey" not in plan
+
+
+def test_T5_windows_of_a_cell_come_as_columns():
+    """Closed windows leave the state as one frame of columns (before: a dict and a Timestamp for each window), the same as opening them one by one."""
+    import pandas as pd
+
+    class Value:
+        def __init__(self):
+            self.v = None
+        exists = lambda self: self.v is not None
+        get = lambda self: self.v
+
+        def put(self, v):
+            self.v = v
+        update = put
+
+        def clear(self):
+            self.v = None
+
+    class Handle:
+        getValueState = getListState = lambda self, *a: Value()
+        registerTimer = deleteTimer = lambda self, at: None
+    draw, us = random.Random(5), 15 * 60 * 1_000_000
+    times = sorted({draw.randrange(40 * us) for _ in range(300)})
+    held = [(t, draw.randint(1, 3)) for t in times]
+    want, anchor, n = [], None, 0
+    for t, k in held:
+        if anchor is not None and t <= anchor + us:
+            n += k
+            continue
+        if anchor is not None:
+            want.append((anchor, n))
+        anchor, n = t, k
+    want.append((anchor, n))
+    windows = live.AnchoredWindows()
+    windows.init(Handle())
+    windows.waiting.put(draw.sample(held, len(held)))
+    out = windows._release(("c",), 100 * us)
+    assert isinstance(out, pd.DataFrame)
+    assert list(zip(out["start"].astype("datetime64[us]").astype("int64"), out["n_events"])) == want
+    assert windows._release(("c",), 101 * us) is None
