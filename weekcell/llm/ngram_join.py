@@ -40,6 +40,8 @@ HINT_BITS = 54
 HINT_SIZE = (1 << 63 - HINT_BITS) - 1
 #: Star rounds before the pairs that are left are enumerated.
 STAR_ROUNDS = 3
+#: Bytes of text whose shingles are worked on at once: hashes, sort keys and signatures take many times that.
+PIECE_BYTES = 1 << 20
 #: Sets that a worker remembers to leave out repeated ones.
 REMEMBERED = 200_000
 
@@ -127,7 +129,7 @@ def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, sizes, prints, words, lengths = batch.column("text"), [], [], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
-            for low, high in text_chunks(column):
+            for low, high in text_chunks(column, PIECE_BYTES):
                 values, rows, fp = set_rows(column, low, high, n)
                 sketch, bounds = parity_sketches(values, rows)
                 sizes.append(np.diff(rows))
@@ -147,7 +149,7 @@ def _signatures(n: int, percent: int):
         seen: set[int] = set()
         for batch in batches:
             column = batch.column("text")
-            for low, high in text_chunks(column):
+            for low, high in text_chunks(column, PIECE_BYTES):
                 values, rows, fp = set_rows(column, low, high, n)
                 new = np.zeros(high - low, dtype=bool)
                 for k, x in enumerate(fp.tolist()):
@@ -169,7 +171,7 @@ def fetch_sets(n: int, bits):
             slot = np.asarray(batch.column("slot"))
             batch = batch.filter(pa.array(bitmaps.holds(filled, slot)))
             column = batch.column("text")
-            for low, high in text_chunks(column):
+            for low, high in text_chunks(column, PIECE_BYTES):
                 values, rows, fp = set_rows(column, low, high, n)
                 lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), lists], ["fp", "items"])
@@ -313,7 +315,7 @@ def _marked(n: int, keep: list[str], bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, sizes, prints = batch.column("__text"), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for low, high in text_chunks(column):
+            for low, high in text_chunks(column, PIECE_BYTES):
                 _, rows, fp = set_rows(column, low, high, n)
                 sizes.append(np.diff(rows))
                 prints.append(fp)
