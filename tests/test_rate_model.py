@@ -144,3 +144,19 @@ def test_M6_boosted_tasks_are_sized_by_rows(spark, folder, monkeypatch):
     parts = models.boosted_rows(spark, folder, "validate").rdd.glom().map(len).collect()
     assert sum(parts) == whole == models.split(models.model_panel(spark, folder), "validate").count()
     assert len(parts) == -(-whole // 2_000) > 1
+
+
+def test_M6_boosted_rounds_work_on_designs(spark, monkeypatch):
+    """Rows of equal bins are one row of the trainer; the deviance of a round is that of the rows, and months may come added up."""
+    rows_ = spark.range(0, 6_000).selectExpr("concat('c', id % 50) AS cell", "id % 50 * 1.0 AS f", "cast(id % 3 AS double) AS g", "cast(id div 50 % 4 AS int) AS hour_of_week",
+                                             "cast((id % 50) * (id % 7) % 11 > 6 AS int) AS y", "4 + cast(id % 2 AS int) AS exposure")
+    params = {"learning_rate": 0.5, "max_depth": 2, "min_rows_in_leaf": 100, "feature_fraction": 1.0, "bagging_fraction": 1.0, "lambda_l2": 1.0, "max_bin": 20}
+    read = []
+    fit = poisson.RandomForestRegressor.fit
+    monkeypatch.setattr(poisson.RandomForestRegressor, "fit", lambda self, df: read.append(df.count()) or fit(self, df))
+    model = poisson.train_boosted(rows_, rows_, ["f", "g"], params, rounds=3, early_stop=3)
+    assert max(read) <= 20 * 3 and all(len(e) <= 20 for e in model.edges) and model.edges[1] == [0.0, 1.0, 2.0]
+    assert poisson.deviance_of(model.predict(rows_)) == pytest.approx(model.log[len(model.trees) - 1], rel=1e-9)
+    slots = rows_.groupBy("cell", "f", "g", "hour_of_week").agg(F.sum("y").alias("y"), F.sum("exposure").alias("exposure"), F.count("*").alias("rows"))
+    monkeypatch.setattr(poisson, "bin_edges", lambda rows, feature, most: model.edges[["f", "g"].index(feature)])  # quantiles of slots are those of slots
+    assert poisson.train_boosted(slots, rows_, ["f", "g"], params, rounds=3, early_stop=3).log == pytest.approx(model.log, rel=1e-9)
