@@ -160,3 +160,22 @@ def test_M6_boosted_rounds_work_on_designs(spark, monkeypatch):
     slots = rows_.groupBy("cell", "f", "g", "hour_of_week").agg(F.sum("y").alias("y"), F.sum("exposure").alias("exposure"), F.count("*").alias("rows"))
     monkeypatch.setattr(poisson, "bin_edges", lambda rows, feature, most: model.edges[["f", "g"].index(feature)])  # quantiles of slots are those of slots
     assert poisson.train_boosted(slots, rows_, ["f", "g"], params, rounds=3, early_stop=3).log == pytest.approx(model.log, rel=1e-9)
+
+
+def test_M6_boosted_query_boosts_to_the_end(spark, folder, monkeypatch):
+    """Rounds and early stop are the operator's own, whatever the query sets besides."""
+    import inspect
+    from weekcell.catalog import load_catalog
+    from weekcell.catalog.registry import QUERIES
+    load_catalog()
+    signature, asked = inspect.signature(poisson.train_boosted), []
+
+    def train(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        asked.append((bound.arguments["rounds"], bound.arguments["early_stop"]))
+        raise InterruptedError
+    monkeypatch.setattr(poisson, "train_boosted", train)
+    with pytest.raises(InterruptedError):
+        QUERIES["M6_poisson_boosted"](spark, folder)
+    assert asked == [(poisson.ROUNDS, poisson.EARLY_STOP)] == [(3000, 100)]
