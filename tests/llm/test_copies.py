@@ -141,6 +141,37 @@ def test_items_against_brute_force(spark):
     assert decontamination.contained_items(docs.limit(0), nothing).collect() == []
 
 
+def test_minima_are_taken_of_blocks_with_an_items_shingle(monkeypatch):
+    """The same keys as without the filter of shingles, from the few blocks that hold one."""
+    from types import SimpleNamespace
+    draw = random.Random(4)
+    item = [f"i{k}" for k in range(40)]
+    words = [[f"w{draw.randrange(10 ** 6)}" for _ in range(400)] for _ in range(60)]
+    words[7][100:100], words[30][:0] = item, item[:35]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([" ".join(w) for w in words[:-1]] + [None])], ["doc_id", "text"])
+    known = next(decontamination._items(5)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(item)])], ["item_id", "text"])])))
+    every = np.full(decontamination.SIGNATURE_BITS // 8, 255, np.uint8)
+
+    def bits(column):
+        out = np.zeros(decontamination.SIGNATURE_BITS, np.uint8)
+        out[decontamination._slots(np.asarray(known.column(column).flatten()).view(np.uint64))] = 1
+        return np.packbits(out, bitorder="little")
+
+    def keys(held):
+        run = decontamination._document_keys(5, [6], SimpleNamespace(value=(bits("keys"), held)))
+        wanted = set(known.column("keys").flatten().to_pylist())
+        return {x for r in run(iter([docs])) for x in zip(*(c.to_pylist() for c in r.columns)) if x[0] in wanted}
+    seen, minima = [], decontamination.block_minima
+
+    def watched(*args):
+        out = minima(*args)
+        seen.append(len(out[0]))
+        return out
+    monkeypatch.setattr(decontamination, "block_minima", watched)
+    assert keys(bits("items")) == keys(every) and len({doc for _, _, doc in keys(every)}) == 2
+    assert seen[0] < 20 < 300 < seen[1]
+
+
 # ---- language model
 
 @pytest.mark.parametrize("order", [1, 2, 3])

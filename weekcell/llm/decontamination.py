@@ -2,7 +2,8 @@
 
 Test items are partitioned by the size of their shingle set: class c holds sizes over 2**(c - 1) up to 2**c. For each
 class, a document is read in blocks of 2**c shingles, so that an item meets something of its own size however long the document is, and each block gets
-PERMUTATIONS minima. An item and a document that share a minimum in one block are candidates.
+PERMUTATIONS minima. An item and a document that share a minimum in one block are candidates. A minimum of a block that holds no shingle of any
+item is none of an item, so such blocks are left out first.
 
 With containment t or more spread over any blocks, the Jaccard similarities of the blocks with the item add up to t / 3 at least
 (the block is at most twice the item), so a candidate is missed with a chance below exp(-PERMUTATIONS * t / 3): 1e-6 for 52 and 0.8.
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 
 from weekcell.llm import bitmaps
 from weekcell.llm.components import written
-from weekcell.llm.ngram_join import FILTER_BITS, fetch_sets, rows_without, set_rows
+from weekcell.llm.ngram_join import FILTER_BITS, fetch_sets, fingerprints, rows_without, set_rows
 from weekcell.llm.registry import query, table
-from weekcell.llm.words import mix, shingles, span_hashes, text_bytes, text_chunks, word_spans
+from weekcell.llm.words import distinct_by_row, mix, shingles, span_hashes, text_bytes, text_chunks, word_spans
 
 PERMUTATIONS = 52
-#: Bits of the filter of signatures (2 MB for any number of test items).
+#: Bits of the filters of signatures and of the items' shingles (2 MB each for any number of test items).
 SIGNATURE_BITS = 1 << 24
 #: Odd factors of the permutations of 32-bit hashes.
 _FACTORS = (mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(77)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -41,12 +42,16 @@ def _permutations(c: int) -> int:
     return 1 if c == 0 else PERMUTATIONS
 
 
-def block_minima(values: np.ndarray, rows: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each block, minima by permutation and block) of the shingles in rows[k]:rows[k + 1]."""
+def block_minima(values: np.ndarray, rows: np.ndarray, c: int, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each block, minima by permutation and block) of the shingles in rows[k]:rows[k + 1]; only of blocks with a shingle that is ``marked``, if given."""
     size = 1 << c
     blocks = -(-np.diff(rows) // size)
     owner = np.repeat(np.arange(len(blocks)), blocks)
     first = rows[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * size
+    if marked is not None:
+        upto = np.concatenate([[0], np.cumsum(marked)])
+        held = upto[np.minimum(first + size, rows[1:][owner])] > upto[first]
+        owner, first = owner[held], first[held]
     if not len(owner):
         return owner, np.zeros((_permutations(c), 0), dtype=np.uint32)
     # places beyond the row's end repeat the block's first shingle: that changes no minimum
@@ -86,19 +91,28 @@ def _items(n: int):
 
 
 def _document_keys(n: int, classes: list[int], shared):
-    """(key, fp, doc_id) of minima that the filter of the items' signatures lets pass, once for each document."""
+    """(key, fp, doc_id) of minima that the filter of the items' signatures lets pass, once for each document.
+
+    Equal minima come from shingles of equal upper halves, so what the filter of the items' shingles (by their first bits) stops is in no candidate.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        bitmap, held = shared.value
         for batch in batches:
             column, ids = batch.column("text"), batch.column("doc_id")
             for low, high in text_chunks(column):
-                _, _, fp = set_rows(column, low, high, n)
                 data, offsets = text_bytes(column, low, high)
                 starts, lengths, word_rows = word_spans(data, offsets)
                 values, rows = shingles(span_hashes(data, starts, lengths), word_rows, n)
+                marked = bitmaps.holds(held, _slots(values))
+                sizes = np.diff(rows)
+                upto = np.concatenate([[0], np.cumsum(marked)])
+                some = upto[rows[1:]] > upto[rows[:-1]]
+                values, marked = values[np.repeat(some, sizes)], marked[np.repeat(some, sizes)]
+                kept, rows = np.flatnonzero(some), np.concatenate([[0], np.cumsum(sizes[some])])
+                fp = fingerprints(*distinct_by_row(values, rows))
                 out_keys, out_rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for c in classes:
-                    owner, minima = block_minima(values, rows, c)
+                    owner, minima = block_minima(values, rows, c, marked)
                     for k in range(len(minima)):
                         keys = _keys(minima[k], c, k)
                         hit = bitmaps.holds(bitmap, _slots(keys))
@@ -111,7 +125,7 @@ def _document_keys(n: int, classes: list[int], shared):
                 keep[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
                 keys, owner = keys[keep], owner[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(fp[owner].view(np.int64)), ids.take(pa.array(low + owner))], ["key", "fp", "doc_id"])
+                    [pa.array(keys.view(np.int64)), pa.array(fp[owner].view(np.int64)), ids.take(pa.array(low + kept[owner]))], ["key", "fp", "doc_id"])
     return run
 
 
@@ -129,8 +143,9 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int
                     .filter("n_shingles > 0"), "items")
     classes = sorted(r["class"] for r in known.select("class").distinct().collect())
     signed = known.select("item_id", F.explode("keys").alias("key"))
-    bitmap = bitmaps.build(signed.select(F.shiftrightunsigned("key", 40).alias("slot")), SIGNATURE_BITS)
-    passed = written(docs.mapInArrow(_document_keys(n, classes, spark.sparkContext.broadcast(bitmap)), "key long, fp long, doc_id long")
+    shingled = known.select(F.explode("items").alias("key"))
+    shared = spark.sparkContext.broadcast(tuple(bitmaps.build(x.select(F.shiftrightunsigned("key", 40).alias("slot")), SIGNATURE_BITS) for x in (signed, shingled)))
+    passed = written(docs.mapInArrow(_document_keys(n, classes, shared), "key long, fp long, doc_id long")
                      .join(signed, "key").select("fp", "doc_id", "item_id").distinct(), "passed")
     wanted = passed.select("fp").distinct()
     bits = bitmaps.build(passed.select(bitmaps.slot(F.col("doc_id"), FILTER_BITS).alias("slot")), FILTER_BITS)

@@ -106,8 +106,13 @@ def set_rows(column: pa.Array, low: int, high: int, n: int) -> tuple[np.ndarray,
     data, offsets = text_bytes(column, low, high)
     starts, lengths, word_rows = word_spans(data, offsets)
     values, rows = distinct_by_row(*shingles(span_hashes(data, starts, lengths), word_rows, n))
+    return values, rows, fingerprints(values, rows)
+
+
+def fingerprints(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A fingerprint of each set of distinct shingles."""
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + np.uint64(11)), dtype=np.uint64)])
-    return values, rows, mix((sums[rows[1:]] - sums[rows[:-1]]) + np.diff(rows).astype(np.uint64))
+    return mix((sums[rows[1:]] - sums[rows[:-1]]) + np.diff(rows).astype(np.uint64))
 
 
 def parity_sketches(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
