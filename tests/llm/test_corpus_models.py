@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,32 @@ def test_many_languages_share_one_table(spark):
     assert all(r.lang == r.lang_pred for r in got)
 
 
+def test_language_ngrams_come_from_distinct_words(monkeypatch):
+    """Counts against n-grams of whole texts, while a word that comes again is looked at once."""
+    texts = ["ab ab, x1y ab\t\u00c9t\u00e9\nab. " * 50, None, "", "ab", "a", "K\u212ak \U0001f600 99", "longer words than five"]
+    want: dict[bytes, int] = {}
+    for text in texts:
+        plain = b" " + bytes(x if x >= 128 or 97 <= x <= 122 else 32 for x in (text or "").lower().encode()) + b" "
+        for g in {plain[k:k + n] for n in languages.GRAMS for k in range(len(plain) - n + 1) if 32 not in plain[k + 1:k + n - 1]}:
+            want[g] = want.get(g, 0) + 1
+    looked_at, grams = [], languages._grams
+    monkeypatch.setattr(languages, "_grams", lambda words: looked_at.append(len(words)) or grams(words))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["xx"] * len(texts))], ["text", "lang"])
+    got = pa.Table.from_batches(list(languages._count(["xx"])(iter([batch]))))
+    hashes = {int(languages.mix(np.array([int.from_bytes(g, "little")], np.uint64) + np.uint64(len(g)))[0]): n for g, n in want.items()}
+    assert {x & (1 << 64) - 1: n for x, n in zip(got["gram"].to_pylist(), got["documents"].to_pylist())} == hashes
+    assert sum(looked_at) == len({w for t in texts for w in (t or "").split()} | {""})
+
+
+def test_languages_return_no_text(spark, odd):
+    filters = languages.fit_languages(odd)
+    got = languages.identify(odd, filters, keep=["doc_id"])
+    assert got.columns == ["doc_id", "lang_pred", "lang_score"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("MapInArrow")[1].split("\n")[0].count("text#") <= 1  # the one that is read; none comes back
+    assert sorted(map(str, got.collect())) == sorted(map(str, languages.identify(odd, filters).select(*got.columns).collect()))
+
+
 def test_languages_odd_rows(spark, odd):
     filters = languages.fit_languages(odd)
     got = languages.identify(odd, filters)

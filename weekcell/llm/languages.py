@@ -55,14 +55,22 @@ def has_letter(text) -> F.Column:
     return F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")
 
 
-def _grams(column: pa.Array, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every n-gram that has a letter and no space within (only at its ends)."""
-    part = pc.utf8_lower(column.slice(low, high - low).fill_null(""))
+def _words(column: pa.Array, low: int, high: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and number of every word (a run without ASCII white space) of some rows, and the distinct words by number."""
+    lists = pc.ascii_split_whitespace(column.slice(low, high - low).fill_null(""))
+    words = lists.flatten().dictionary_encode()
+    rows = np.repeat(np.arange(high - low), np.diff(np.asarray(lists.offsets)))
+    return rows, np.asarray(words.indices).astype(np.int64), words.dictionary
+
+
+def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the word and hash of every n-gram that has a letter and no space within (only at its ends); a space stands at either end of a word."""
+    part = pc.utf8_lower(words)
     offsets = offsets_of(part)
     data = part.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    # a space before and after each row
+    # a space before and after each word
     out = np.full(len(raw) + len(part) + 1 + 8, 32, dtype=np.uint8)
     row = np.repeat(np.arange(len(part)), np.diff(offsets))
     out[np.arange(len(raw)) + row + 1] = _LETTER[raw]
@@ -82,8 +90,29 @@ def _grams(column: pa.Array, low: int, high: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(rows), np.concatenate(hashes)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(values), 1), dtype=bool), values[1:] != values[:-1]]))
+    return values[first], np.diff(np.append(first, len(values)))
+
+
+def _grams_by_row(rows: np.ndarray, codes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number of the n-gram), once for each row, and the n-grams by number. A word that a row repeats is expanded once."""
+    word, hashes = _grams(words)
+    order = np.argsort(word, kind="stable")
+    known = pa.array(hashes[order]).dictionary_encode()
+    number, grams = np.asarray(known.indices).astype(np.int64), np.asarray(known.dictionary)
+    first = np.searchsorted(word[order], np.arange(len(words) + 1))
+    rows, codes = np.divmod(_distinct(rows * len(words) + codes)[0], max(len(words), 1))
+    n = first[codes + 1] - first[codes]
+    at = np.repeat(first[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    rows, number = np.divmod(_distinct(np.repeat(rows, n) * len(grams) + number[at])[0], max(len(grams), 1))
+    return rows, number, grams
+
+
 def _count(languages: list[str]):
-    """(language, n-gram, documents) of some rows, folded over each task's batches while the table stays small."""
+    """(language, n-gram, documents) of some rows."""
     places = {x: k for k, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,20 +120,11 @@ def _count(languages: list[str]):
             column = batch.column("text")
             lang = np.array([places[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
             for low, high in text_chunks(column):
-                rows, hashes = _grams(column, low, high)
-                order = np.lexsort((rows, hashes))
-                rows, hashes = rows[order], hashes[order]
-                keep = np.ones(len(rows), dtype=bool)
-                keep[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
-                which, hashes = lang[low + rows[keep]], hashes[keep]
-                order = np.lexsort((hashes, which))
-                which, hashes = which[order], hashes[order]
-                first = np.ones(len(which), dtype=bool)
-                first[1:] = (which[1:] != which[:-1]) | (hashes[1:] != hashes[:-1])
-                at = np.flatnonzero(first)
+                rows, number, grams = _grams_by_row(*_words(column, low, high))
+                found, documents = _distinct(lang[low + rows] * len(grams) + number)
+                which, number = np.divmod(found, max(len(grams), 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(which[at].astype(np.int32)), pa.array(hashes[at].view(np.int64)),
-                     pa.array(np.diff(np.append(at, len(which))))], ["language", "gram", "documents"])
+                    [pa.array(which.astype(np.int32)), pa.array(grams[number].view(np.int64)), pa.array(documents)], ["language", "gram", "documents"])
     return run
 
 
@@ -153,8 +173,10 @@ def _decide(filters: LanguageFilters, text: str, keep: list[str], shared):
             column = batch.column(text)
             labels, scores = [], []
             for low, high in text_chunks(column):
-                rows, hashes = _grams(column, low, high)
-                total = np.bincount(rows, minlength=high - low).astype(float)
+                rows, codes, words = _words(column, low, high)
+                word, hashes = _grams(words)
+                size = np.bincount(word, minlength=len(words))
+                total = np.bincount(rows, weights=size[codes], minlength=high - low)
                 hits = np.zeros((high - low, n_languages))
                 probes = _probes(hashes)
                 for w in range(tables.shape[1]):
@@ -162,8 +184,8 @@ def _decide(filters: LanguageFilters, text: str, keep: list[str], shared):
                     for p in probes[1:]:
                         mask &= tables[p, w]
                     for k in range(64 * w, min(n_languages, 64 * w + 64)):
-                        hit = (mask >> np.uint64(k % 64)) & np.uint64(1)
-                        hits[:, k] = np.bincount(rows, weights=hit, minlength=high - low)
+                        hit = np.bincount(word, weights=(mask >> np.uint64(k % 64)) & np.uint64(1), minlength=len(words))
+                        hits[:, k] = np.bincount(rows, weights=hit[codes], minlength=high - low)
                 if n_languages:
                     share = np.clip((hits / np.maximum(total, 1)[:, None] - chance) / np.maximum(1 - chance, 1e-9), 0, 1)
                     best, sums = share.argmax(axis=1), share.sum(axis=1)
@@ -177,20 +199,21 @@ def _decide(filters: LanguageFilters, text: str, keep: list[str], shared):
     return run
 
 
-def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` (columns of those names are replaced).
+def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``lang_pred`` and ``lang_score`` (columns of those names are replaced).
 
     A text that is null or has no letter is ``und`` with score 0, as is every text when no language was learned. Equal shares go to the first
     language in sorted order. The score is the winner's part of the sum of all languages' shares.
     """
-    docs = docs.drop("lang_pred", "lang_score")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score")]
     shared = docs.sparkSession.sparkContext.broadcast((filters.table, filters.by_chance()))
     small = LanguageFilters(filters.languages, filters.table[:0])
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    found = docs.withColumn("__text", F.col(text).cast("string")).mapInArrow(_decide(small, "__text", docs.columns, shared), schema)
-    known = has_letter(text) & F.col("lang_pred").isNotNull()
-    return found.withColumns({"lang_pred": F.when(known, F.col("lang_pred")).otherwise("und"),
-                              "lang_score": F.when(known, F.col("lang_score")).otherwise(0.0)})
+    asked = docs.select(*kept, F.col(text).cast("string").alias("__text"), has_letter(text).alias("__letter"))
+    schema = T.StructType([*asked.drop("__text").schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    found = asked.mapInArrow(_decide(small, "__text", [*kept, "__letter"], shared), schema)
+    known = F.col("__letter") & F.col("lang_pred").isNotNull()
+    return found.select(*kept, F.when(known, F.col("lang_pred")).otherwise("und").alias("lang_pred"),
+                        F.when(known, F.col("lang_score")).otherwise(0.0).alias("lang_score"))
 
 
 @query("op5_languages")
@@ -198,5 +221,5 @@ def op5_languages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     out = F.coalesce(held_out(F.col("doc_id"), 3, 1), F.lit(False))
     filters = fit_languages(docs.filter(~out))
-    return (identify(docs.select("doc_id", "text"), filters)
+    return (identify(docs.select("doc_id", "text"), filters, keep=["doc_id"])
             .select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score")))
